@@ -102,16 +102,11 @@ def snippet(lines: Column, line: Column, context: int) -> Column:
 
 def shannon_entropy(value: Column) -> Column:
     """Bits per character; 0.0 for an empty string."""
-    return let(
-        F.split(value, ""),
-        lambda chars: F.when(F.length(value) == 0, F.lit(0.0)).otherwise(
-            F.aggregate(
-                F.array_distinct(chars),
-                F.lit(0.0),
-                lambda total, char: let(
-                    F.size(F.filter(chars, lambda c: c == char)) / F.length(value),
-                    lambda share: total - share * F.log2(share),
-                ),
-            )
-        ),
+
+    def added(total: Column, char: Column) -> Column:
+        occurrences = F.length(value) - F.length(F.replace(value, char, F.lit("")))
+        return let(occurrences / F.length(value), lambda share: total - share * F.log2(share))
+
+    return F.when(F.length(value) == 0, F.lit(0.0)).otherwise(
+        F.aggregate(F.array_distinct(F.split(value, "")), F.lit(0.0), added)
     )
