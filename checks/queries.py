@@ -441,12 +441,13 @@ def section_context(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def json_extract(spark: SparkSession, sf: str) -> DataFrame:
     rows = view(spark, sf, "v_responses")
-    found = replies.extract_json(F.col("content"))
+    rows = rows.withColumn("found", F.explode(F.array(replies.extract_json(F.col("content")))))
+    found = F.col("found")
     return rows.select(
         "stage", "finding_id",
-        F.coalesce(replies.kind(found).rlike("^OBJECT"), F.lit(False)).alias("is_object"),
-        F.when(replies.kind(found).rlike("^OBJECT"), replies.text_field(found, "severity", None)).alias("severity"),
-        F.when(replies.kind(found).rlike("^OBJECT"), replies.text_field(found, "final_verdict", None)).alias("verdict"),
+        F.coalesce(replies.is_object(found), F.lit(False)).alias("is_object"),
+        F.when(replies.is_object(found), replies.text_field(found, "severity", None)).alias("severity"),
+        F.when(replies.is_object(found), replies.text_field(found, "final_verdict", None)).alias("verdict"),
     )
 
 
@@ -597,7 +598,8 @@ def patch_line_delta(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def confirmed(spark: SparkSession, sf: str) -> DataFrame:
-    rows = verdicts.confirmed(verdicts.severity_gate(validated(spark, sf), RuleConfig()))
+    """Written down once, as a scan does: every report reads it several times."""
+    rows = skew.cut(verdicts.confirmed(verdicts.severity_gate(validated(spark, sf), RuleConfig())))
     return rows.withColumn("metadata", F.create_map(F.lit("rule"), F.col("rule_id")))
 
 
@@ -611,18 +613,17 @@ def event_patches(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def results(spark: SparkSession, sf: str) -> DataFrame:
+def results(spark: SparkSession, sf: str, rows: DataFrame) -> DataFrame:
     found = view(spark, sf, "v_event_findings")
     summary = found.groupBy("repo_id").agg(
         F.countDistinct("file_path").alias("files_included"), F.sum("line_start").alias("total_lines")
     )
-    rows = confirmed(spark, sf)
     return report.scan_results(repos(spark, sf), summary, found, rows, report.latest_patches(event_patches(spark, sf)))
 
 
 @query
 def scan_result(spark: SparkSession, sf: str) -> DataFrame:
-    return results(spark, sf).select(
+    return results(spark, sf, confirmed(spark, sf)).select(
         "repo_id", "repo_name", "files_analyzed", "total_lines", "raw_findings_count", "confirmed_count", "critical_count",
         "high_count", "patches_count", F.array_join("vuln_types", ",").alias("vuln_types"),
         F.array_join("severities", ",").alias("severities"), "executive_summary", "last_stage",
@@ -645,9 +646,10 @@ SARIF = (
 @query
 def sarif_results(spark: SparkSession, sf: str) -> DataFrame:
     """The SARIF documents, read back into one row per result."""
-    logs = report.sarif_reports(results(spark, sf), confirmed(spark, sf), event_patches(spark, sf), findings_per_part=300)
-    run = F.from_json("report", SARIF)["runs"][0]
-    rows = logs.select("repo_id", "part", "file_name", F.size(run["tool"]["driver"]["rules"]).alias("rules"), F.explode(run["results"]).alias("r"))
+    rows = confirmed(spark, sf)
+    logs = report.sarif_reports(results(spark, sf, rows), rows, event_patches(spark, sf), findings_per_part=300)
+    runs = logs.select("repo_id", "part", "file_name", F.explode(F.from_json("report", SARIF)["runs"]).alias("run"))
+    rows = runs.select("repo_id", "part", "file_name", F.size("run.tool.driver.rules").alias("rules"), F.explode("run.results").alias("r"))
     at = F.col("r.locations")[0]["physicalLocation"]
     return rows.select(
         "repo_id", "part", "file_name", "rules", "r.ruleId", "r.level", F.col("r.message.text").alias("text"),
@@ -659,13 +661,14 @@ def sarif_results(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def json_findings(spark: SparkSession, sf: str) -> DataFrame:
     """The JSON reports, read back into counts and sums."""
-    docs = report.json_reports(results(spark, sf), confirmed(spark, sf), event_patches(spark, sf))
+    rows = confirmed(spark, sf)
+    docs = report.json_reports(results(spark, sf, rows), rows, event_patches(spark, sf))
     schema = (
         "repo_name string, raw_findings_count bigint, confirmed_findings array<struct<enriched:struct<raw:struct<id:string,"
         "line_start:bigint>,severity:string>,validation_status:string>>, patches array<struct<finding_id:string>>, executive_summary string"
     )
     doc = F.from_json("report", schema)
-    return docs.select(doc.alias("d"), "part").select(
+    return docs.select(F.explode(F.array(doc)).alias("d"), "part").select(
         F.col("d.repo_name").alias("repo_name"), "part", "d.raw_findings_count",
         F.size("d.confirmed_findings").alias("findings"), F.size("d.patches").alias("patches"),
         F.aggregate("d.confirmed_findings", F.lit(0).cast("bigint"), lambda a, f: a + f["enriched"]["raw"]["line_start"]).alias("lines"),
@@ -675,7 +678,8 @@ def json_findings(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def text_report(spark: SparkSession, sf: str) -> DataFrame:
-    return report.text_reports(results(spark, sf), confirmed(spark, sf))
+    rows = confirmed(spark, sf)
+    return report.text_reports(results(spark, sf, rows), rows)
 
 
 @query

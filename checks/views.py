@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
+from vulnloom.sources.files import spread
+
 TABLES = ["documents", "pages", "events"]
 
 # Each view may use the tables and the views above it.
@@ -114,12 +118,19 @@ def with_clause(names: list[str]) -> list[str]:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(rows, rows.columns[0])
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    tables = [f"{t} AS (SELECT * FROM parquet.`{sf_dir}/{t}.parquet`)" for t in TABLES]
-    return spark.sql(f"WITH {', '.join(tables + with_clause([name]))} SELECT * FROM {name}")
+    definitions = with_clause([name])
+    tables = []
+    for t in TABLES:
+        if any(t in sql for sql in definitions):
+            temporary = re.sub(r"\W", "_", f"{t}_{sf_dir}")
+            table(spark, sf_dir, t).createOrReplaceTempView(temporary)
+            tables.append(f"{t} AS (SELECT * FROM {temporary})")
+    return spark.sql(f"WITH {', '.join(tables + definitions)} SELECT * FROM {name}")
 
 
 def oracle(views: list[str], query: str, *ctes: str) -> str:

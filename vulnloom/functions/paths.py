@@ -14,7 +14,7 @@ from vulnloom.constants import (
     SECRET_FILE_SUFFIXES,
     SKIPPED_DIRECTORIES,
 )
-from vulnloom.functions.text import strip
+from vulnloom.functions.text import let, strip
 
 
 def parts(path: Column) -> Column:
@@ -106,16 +106,16 @@ def glob_regex(pattern: str) -> str:
 
 def path_excluded(path: Column, excluded_paths: list[str], excluded_globs: list[str]) -> Column:
     """True if `path` is or lies under an excluded path, or matches a glob in full or by name."""
-    normal = normalize_path(path)
-    hit = F.lit(False)
-    for excluded in excluded_paths:
-        prefix = normalized(excluded)
-        if prefix:
-            hit = hit | (normal == prefix) | F.startswith(normal, F.lit(prefix.rstrip("/") + "/"))
-    if excluded_globs:
-        regex = "|".join(glob_regex(g) for g in excluded_globs)
-        hit = hit | normal.rlike(regex) | file_name(normal).rlike(regex)
-    return hit
+    prefixes = [p.rstrip("/") for p in map(normalized, excluded_paths) if p]
+    regex = "|".join(glob_regex(g) for g in excluded_globs)
+
+    def excluded(normal: Column) -> Column:
+        hit = normal.isin(prefixes) if prefixes else F.lit(False)
+        for prefix in prefixes:
+            hit = hit | F.startswith(normal, F.lit(prefix + "/"))
+        return hit | normal.rlike(regex) | file_name(normal).rlike(regex) if regex else hit
+
+    return let(normalize_path(path), excluded)
 
 
 def normalized(path: str) -> str:

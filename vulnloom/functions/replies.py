@@ -39,6 +39,10 @@ def field(value: Column, name: str) -> Column:
     return F.try_variant_get(value, f"$.{name}", "variant")
 
 
+def is_object(value: Column) -> Column:
+    return kind(value).rlike("^OBJECT")
+
+
 def is_container(value: Column) -> Column:
     """True for a list or object, which cannot be looked up as a word."""
     return F.coalesce(kind(value).rlike("^(?:ARRAY|OBJECT)"), F.lit(False))

@@ -101,12 +101,19 @@ def snippet(lines: Column, line: Column, context: int) -> Column:
 
 
 def shannon_entropy(value: Column) -> Column:
-    """Bits per character; 0.0 for an empty string."""
-
-    def added(total: Column, char: Column) -> Column:
-        occurrences = F.length(value) - F.length(F.replace(value, char, F.lit("")))
-        return let(occurrences / F.length(value), lambda share: total - share * F.log2(share))
-
-    return F.when(F.length(value) == 0, F.lit(0.0)).otherwise(
-        F.aggregate(F.array_distinct(F.split(value, "")), F.lit(0.0), added)
-    )
+    """Bits per character; 0.0 for an empty string. Equal characters are counted as sorted runs."""
+
+    def bits(chars: Column) -> Column:
+        size = F.size(chars)
+        last_of_run = lambda i: (i == size) | (F.get(chars, i) != F.get(chars, i - 1))
+        ends = F.filter(F.sequence(F.lit(1), size), last_of_run)
+        return let(
+            ends,
+            lambda at: F.aggregate(
+                F.transform(at, lambda end, k: (end - F.coalesce(F.get(at, k - 1), F.lit(0))) / size),
+                F.lit(0.0),
+                lambda total, share: total - share * F.log2(share),
+            ),
+        )
+
+    return F.when(value == "", F.lit(0.0)).otherwise(let(F.sort_array(F.split(value, "")), bits))

@@ -15,7 +15,7 @@ from vulnloom import constants as c
 from vulnloom.functions import replies
 from vulnloom.functions.text import let, split_lines
 from vulnloom.operators.findings import LINES_PER_LOOKUP
-from vulnloom.operators.verdicts import with_reply
+from vulnloom.operators.verdicts import stage_replies
 
 # Executors need not have this package: the diff helpers travel with the task.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -132,13 +132,11 @@ def assemble_patches(confirmed: DataFrame, responses: DataFrame, files: DataFram
         replies.kind(replies.field(reply, "fixed_code")) == "STRING", F.try_variant_get(reply, "$.fixed_code", "string")
     )
     span = ["repo_id", "file_path", "line_start", "line_end"]
-    fixed = (
-        with_reply(confirmed, responses, "patch")
-        .select(
-            *span, F.col("id").alias("finding_id"), "seq", code.alias("fixed_code"),
-            replies.text_field(reply, "explanation", c.NO_EXPLANATION).alias("explanation"),
-        )
-        .filter(F.col("fixed_code") != "")
+    answers = stage_replies(responses, "patch").select(
+        "repo_id", "id", code.alias("fixed_code"), replies.text_field(reply, "explanation", c.NO_EXPLANATION).alias("explanation")
+    )
+    fixed = confirmed.join(answers.filter(F.col("fixed_code") != ""), ["repo_id", "id"]).select(
+        *span, F.col("id").alias("finding_id"), "seq", "fixed_code", "explanation"
     )
     texts = fixed.join(original_code(fixed, files), span).select(
         "repo_id", "finding_id", "file_path", "seq", "original", "fixed_code", "explanation"

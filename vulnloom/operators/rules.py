@@ -20,7 +20,7 @@ from vulnloom.constants import (
     SQLI_KEYWORDS,
     XSS_KEYWORDS,
 )
-from vulnloom.functions.text import any_contains
+from vulnloom.functions.text import any_contains, let
 
 
 @dataclass(frozen=True)
@@ -75,18 +75,20 @@ RULES = [
 
 def classify(rule_id: Column, message: Column) -> Column:
     """sqli, hardcoded_secret, xss, or null when out of scope. The first keyword list that hits wins."""
-    rule, text = F.lower(rule_id), F.lower(message)
+    both = F.struct(F.lower(rule_id).alias("rule"), F.lower(message).alias("text"))
+    return let(both, lambda lowered: _by_keyword(lowered["rule"], lowered["text"]))
+
+
+def _by_keyword(rule: Column, text: Column) -> Column:
     either = lambda words: any_contains(rule, words) | any_contains(text, words)
-    found = None
-    for word, vuln_type in RULE_ID_KEYWORDS:
-        hit = F.contains(rule, F.lit(word))
-        found = F.when(hit, vuln_type) if found is None else found.when(hit, vuln_type)
-    return (
-        found.when(either(SQLI_KEYWORDS), "sqli")
-        .when(any_contains(text, EVAL_KEYWORDS), "sqli")
-        .when(either(SECRET_KEYWORDS), "hardcoded_secret")
-        .when(either(XSS_KEYWORDS), "xss")
-    )
+    by_id = [(F.contains(rule, F.lit(word)), vuln_type) for word, vuln_type in RULE_ID_KEYWORDS]
+    by_text = [
+        (either(SQLI_KEYWORDS), "sqli"),
+        (any_contains(text, EVAL_KEYWORDS), "sqli"),
+        (either(SECRET_KEYWORDS), "hardcoded_secret"),
+        (either(XSS_KEYWORDS), "xss"),
+    ]
+    return F.coalesce(*[F.when(hit, F.lit(vuln_type)) for hit, vuln_type in by_id + by_text])
 
 
 def in_scope(vuln_type: Column, targets: list[str] | None = None) -> Column:

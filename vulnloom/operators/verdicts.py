@@ -78,21 +78,22 @@ def review_prompts(enriched: DataFrame, sections: DataFrame, exact_context: bool
     return ready.select("repo_id", F.col("id").alias("finding_id"), F.lit("review").alias("stage"), text.alias("text"))
 
 
-def with_reply(findings: DataFrame, responses: DataFrame, stage: str) -> DataFrame:
-    """Findings with `reply`, the JSON of their response, null when there is nothing to read.
+def _evaluated(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Add a column that later expressions read instead of recomputing: the optimizer does not
+    inline the output of a generator."""
+    return df.withColumn(name, F.explode(F.array(value)))
 
-    An empty object, list or text and a bare null, zero or false count as nothing.
-    """
-    stage_rows = responses.filter(F.col("stage") == stage).select(
-        "repo_id", F.col("finding_id").alias("id"),
-        F.when(F.col("success"), replies.extract_json(F.col("content"))).alias("_json"),
-    )
-    joined = findings.join(stage_rows, ["repo_id", "id"], "left")
-    return joined.withColumn("reply", F.when(~replies.falsy(F.col("_json")), F.col("_json"))).drop("_json")
 
+def stage_replies(responses: DataFrame, stage: str) -> DataFrame:
+    """`repo_id, id, reply` of one stage, the JSON null when there is nothing to read.
 
-def _is_object(reply: Column) -> Column:
-    return replies.kind(reply).rlike("^OBJECT")
+    An empty object, list or text and a bare null, zero or false count as nothing. Verdicts are
+    worked out on these rows, so that only their few columns are shuffled to the findings.
+    """
+    rows = responses.filter(F.col("stage") == stage).select("repo_id", F.col("finding_id").alias("id"), "success", "content")
+    rows = _evaluated(rows, "json", F.when(F.col("success"), replies.extract_json(F.col("content"))))
+    rows = _evaluated(rows, "reply", F.when(~replies.falsy(F.col("json")), F.col("json")))
+    return rows.select("repo_id", "id", "reply")
 
 
 def analysis_outcome(reply: Column) -> Column:
@@ -111,7 +112,7 @@ def analysis_outcome(reply: Column) -> Column:
     )
     return (
         F.when(reply.isNull(), "missing")
-        .when(~_is_object(reply), "error")
+        .when(~replies.is_object(reply), "error")
         .when(replies.falsy(member("is_vulnerable")), F.when(quotable, "rejected").otherwise("error"))
         .when(unusable, "error")
         .otherwise("accepted")
@@ -121,23 +122,39 @@ def analysis_outcome(reply: Column) -> Column:
 def analyzed(findings: DataFrame, responses: DataFrame) -> DataFrame:
     """Findings with `outcome` and the enriched columns; rejected ones still included."""
     reply = F.col("reply")
-    ready = with_reply(findings, responses, "analyze").withColumn("outcome", analysis_outcome(reply))
+    judged = _evaluated(stage_replies(responses, "analyze"), "_outcome", analysis_outcome(reply))
+    judged = judged.select(
+        "repo_id",
+        "id",
+        "_outcome",
+        F.when(
+            F.col("_outcome") == "accepted",
+            F.struct(
+                replies.word_field(reply, "severity", c.MODEL_SEVERITIES, "medium").alias("severity"),
+                replies.number_field(reply, "cvss_estimate", F.lit(5.0)).alias("cvss_estimate"),
+                replies.text_field(reply, "reasoning", c.NO_REASONING).alias("reasoning"),
+                replies.text_field(reply, "taint_chain", None).alias("taint_chain"),
+                replies.word_field(reply, "exploitability", c.EXPLOITABILITIES, "possible").alias("exploitability"),
+                replies.text_field(reply, "blast_radius", c.NO_IMPACT).alias("blast_radius"),
+                replies.boolean_field(reply, "is_reachable").alias("is_reachable"),
+            ),
+        ).alias("_verdict"),
+    )
     accepted = F.col("outcome") == "accepted"
     fallback = F.when(F.col("outcome") == "error", c.ANALYSIS_ERROR).otherwise(c.ANALYSIS_MISSING)
-    columns = {
-        "severity": F.when(accepted, replies.word_field(reply, "severity", c.MODEL_SEVERITIES, "medium")).otherwise("medium"),
-        "cvss_estimate": F.when(accepted, replies.number_field(reply, "cvss_estimate", F.lit(5.0))).otherwise(5.0),
-        "reasoning": F.when(accepted, replies.text_field(reply, "reasoning", c.NO_REASONING)).otherwise(fallback),
-        "taint_chain": F.when(accepted, replies.text_field(reply, "taint_chain", None)),
-        "exploitability": F.when(
-            accepted, replies.word_field(reply, "exploitability", c.EXPLOITABILITIES, "possible")
-        ).otherwise("possible"),
-        "blast_radius": F.when(accepted, replies.text_field(reply, "blast_radius", c.NO_IMPACT)).otherwise(
-            c.ANALYSIS_MISSING_IMPACT
-        ),
-        "is_reachable": F.when(accepted, replies.boolean_field(reply, "is_reachable")),
+    otherwise = {
+        "severity": F.lit("medium"),
+        "cvss_estimate": F.lit(5.0),
+        "reasoning": fallback,
+        "taint_chain": F.lit(None),
+        "exploitability": F.lit("possible"),
+        "blast_radius": F.lit(c.ANALYSIS_MISSING_IMPACT),
+        "is_reachable": F.lit(None),
     }
-    return ready.withColumns(columns).drop("reply")
+    joined = findings.join(judged, ["repo_id", "id"], "left")
+    joined = joined.withColumn("outcome", F.coalesce("_outcome", F.lit("missing")))
+    columns = {n: F.when(accepted, F.col(f"_verdict.{n}")).otherwise(v) for n, v in otherwise.items()}
+    return joined.withColumns(columns).drop("_outcome", "_verdict")
 
 
 def apply_analysis(findings: DataFrame, responses: DataFrame) -> DataFrame:
@@ -162,25 +179,34 @@ def apply_reviews(enriched: DataFrame, responses: DataFrame, confidence_threshol
     `confidence_threshold` is opt-in: confirmed findings below it become likely false positives.
     """
     reply = F.col("reply")
-    ready = with_reply(enriched, responses, "review")
-    confidence = replies.number_field(reply, "adjusted_confidence", F.col("confidence"))
-    usable = F.coalesce(
-        _is_object(reply) & ~replies.is_container(replies.field(reply, "final_verdict")) & confidence.isNotNull(),
-        F.lit(False),
+    given = replies.field(reply, "adjusted_confidence")
+    confidence = replies.number_field(reply, "adjusted_confidence", F.lit(None).cast("double"))
+    usable = (
+        replies.is_object(reply)
+        & ~replies.is_container(replies.field(reply, "final_verdict"))
+        & (given.isNull() | confidence.isNotNull())
     )
     verdict = replies.word_field(reply, "final_verdict", list(c.REVIEW_STATUS), "confirmed_vulnerable")
     status = F.create_map(*[F.lit(x) for pair in c.REVIEW_STATUS.items() for x in pair])[verdict]
+    judged = _evaluated(stage_replies(responses, "review"), "_usable", F.coalesce(usable, F.lit(False)))
+    judged = judged.filter("_usable").select(
+        "repo_id",
+        "id",
+        F.struct(
+            status.alias("validation_status"),
+            replies.text_field(reply, "fp_argument", c.NO_ARGUMENT).alias("fp_argument"),
+            replies.text_field(reply, "rebuttal", c.NO_REBUTTAL).alias("fp_rebuttal"),
+            confidence.alias("final_confidence"),
+        ).alias("_review"),
+    )
+    reviewed = F.col("_review").isNotNull()
     columns = {
-        "validation_status": F.when(usable, status).otherwise("confirmed"),
-        "fp_argument": F.when(usable, replies.text_field(reply, "fp_argument", c.NO_ARGUMENT)).otherwise(
-            c.REVIEW_MISSING_ARGUMENT
-        ),
-        "fp_rebuttal": F.when(usable, replies.text_field(reply, "rebuttal", c.NO_REBUTTAL)).otherwise(
-            c.REVIEW_MISSING_REBUTTAL
-        ),
-        "final_confidence": F.when(usable, confidence).otherwise(F.col("confidence")),
+        "validation_status": F.when(reviewed, F.col("_review.validation_status")).otherwise("confirmed"),
+        "fp_argument": F.when(reviewed, F.col("_review.fp_argument")).otherwise(c.REVIEW_MISSING_ARGUMENT),
+        "fp_rebuttal": F.when(reviewed, F.col("_review.fp_rebuttal")).otherwise(c.REVIEW_MISSING_REBUTTAL),
+        "final_confidence": F.coalesce("_review.final_confidence", "confidence"),
     }
-    validated = ready.withColumns(columns).drop("reply")
+    validated = enriched.join(judged, ["repo_id", "id"], "left").withColumns(columns).drop("_review")
     if confidence_threshold is None:
         return validated
     doubtful = (F.col("validation_status") == "confirmed") & (F.col("final_confidence") < confidence_threshold)

@@ -38,3 +38,10 @@ def as_files(table: DataFrame) -> DataFrame:
         universal_newlines(F.col("content")).alias("content"),
         F.octet_length("content").cast("bigint").alias("size_bytes"),
     )
+
+
+def spread(table: DataFrame, key: str) -> DataFrame:
+    """A table with fewer splits than cores is spread over all of them by a hash of `key`, so that
+    regular expressions over one small file use the whole machine; a large one stays as it lies."""
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    return table.repartition(cores, key) if table.rdd.getNumPartitions() < cores else table
