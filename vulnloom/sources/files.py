@@ -2,31 +2,105 @@
 
 from __future__ import annotations
 
-import re
+import os
+import sys
+from collections.abc import Callable, Iterator
+from functools import reduce
 
+import pandas as pd
+from pyarrow import fs
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from vulnloom.functions.text import decode_utf8, universal_newlines
+from vulnloom.operators.skew import cut
 
+# Executors need not have this package: the readers travel with the task.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-def read_trees(spark: SparkSession, root: str, glob: str | None = None) -> DataFrame:
+Batches = Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]
+# Bytes of content a reading task hands on at a time.
+READ_BATCH_BYTES = 16 << 20
+
+
+def _children(root: str) -> Batches:
+    """Lists the folders of each batch. Links to folders are not followed; `.git` is left out."""
+
+    def list_folders(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        store, base = fs.FileSystem.from_uri(root)
+        local = isinstance(store, fs.LocalFileSystem)
+        for batch in batches:
+            for folder in batch["path"]:
+                rows = []
+                for info in store.get_file_info(fs.FileSelector(f"{base}/{folder}".rstrip("/"))):
+                    is_folder = info.type == fs.FileType.Directory
+                    if is_folder and (info.base_name == ".git" or (local and os.path.islink(info.path))):
+                        continue
+                    if is_folder or info.type == fs.FileType.File:
+                        path = f"{folder}/{info.base_name}".lstrip("/")
+                        rows.append((path, is_folder, 0 if is_folder else info.size))
+                yield pd.DataFrame(rows, columns=["path", "is_folder", "size"])
+
+    return list_folders
+
+
+def _contents(root: str) -> Batches:
+    """Reads the files of each batch; an unreadable one is empty."""
+
+    def read_files(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        store, base = fs.FileSystem.from_uri(root)
+        rows, held = [], 0
+        for batch in batches:
+            for path, size in zip(batch["path"], batch["size"], strict=True):
+                try:
+                    with store.open_input_stream(f"{base}/{path}", compression=None) as stream:
+                        content = stream.read()
+                except OSError:
+                    content = b""
+                rows.append((path, content, size))
+                held += len(content)
+                if held >= READ_BATCH_BYTES:
+                    yield pd.DataFrame(rows, columns=["path", "content", "size"])
+                    rows, held = [], 0
+        yield pd.DataFrame(rows, columns=["path", "content", "size"])
+
+    return read_files
+
+
+def list_trees(spark: SparkSession, root: str) -> DataFrame:
+    """`path, size` of all files below `root`, one Spark job per folder level.
+
+    Spark's own file sources leave out names that start with a dot or an underscore, which would
+    lose `.env` and `__init__.py`.
+    """
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    folders = spark.createDataFrame([("",)], "path string")
+    levels = []
+    while True:
+        listed = folders.repartition(tasks, "path").mapInPandas(
+            _children(root), "path string, is_folder boolean, size bigint"
+        )
+        listed = cut(listed)
+        levels.append(listed.filter(~F.col("is_folder")).select("path", "size"))
+        folders = listed.filter("is_folder").select("path")
+        if folders.isEmpty():
+            return reduce(DataFrame.unionByName, levels)
+
+
+def read_trees(spark: SparkSession, root: str) -> DataFrame:
     """Files of the repositories below `root`, one folder each; the folder name is the repo_id.
 
-    `glob` filters file names before anything is read. For repeated scans write the result as
-    parquet: a table lists and prunes far faster than a tree of small files.
+    `root` is a path or address that all executors can read. For repeated scans write the result
+    as parquet: a table lists and prunes far faster than a tree of small files.
     """
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
-    if glob:
-        reader = reader.option("pathGlobFilter", glob)
-    # Paths come back as URIs; the repository starts after the root's own path.
-    prefix = re.sub(r"^[A-Za-z][A-Za-z0-9+.-]*://[^/]*", "", root).rstrip("/") + "/"
-    at = F.instr("path", prefix)
-    below = F.substring(F.col("path"), at + len(prefix), F.length("path"))
-    return reader.load(root).select(
-        F.split(below, "/")[0].alias("repo_id"),
-        F.regexp_replace(below, "^[^/]*/", "").alias("relative_path"),
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    listed = list_trees(spark, root).filter(F.contains("path", F.lit("/"))).repartition(tasks, "path")
+    read = listed.mapInPandas(_contents(root), "path string, content binary, size bigint")
+    return read.select(
+        F.split("path", "/")[0].alias("repo_id"),
+        F.regexp_replace("path", "^[^/]*/", "").alias("relative_path"),
         decode_utf8(F.col("content")).alias("content"),
-        F.col("length").alias("size_bytes"),
+        F.col("size").alias("size_bytes"),
     )
 
 
