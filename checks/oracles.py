@@ -608,6 +608,12 @@ ORACLES["patch_prompt"] = code(
 ORACLES["patch_assembly"] = oracle(
     ["v_code_findings"], "SELECT repo_id, id AS finding_id, 'why' AS explanation, file_path AS file FROM v_code_findings"
 )
+# A long file's reply holds the whole file and the excerpt is what it is compared with.
+ORACLES["patch_line_delta"] = code(
+    """SELECT f.repo_id, id AS finding_id, 1 + CASE WHEN len(ls) > 200 THEN len(ls) - len(ls[greatest(line_start - 50, 0) + 1 : least(line_end + 50, len(ls))])
+ ELSE 0 END AS lines_added, 0 AS lines_removed FROM v_code_findings f JOIN split USING (repo_id, file_path)""",
+    SPLIT, views=("v_code_findings",),
+)
 
 # ---- Reports ----------------------------------------------------------------
 

@@ -572,10 +572,10 @@ def patch_prompt(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def patch_rows(spark: SparkSession, sf: str) -> DataFrame:
-    """Every document patched: first line dropped, a line added at the end."""
+    """Every document patched with a new first line."""
     files = code(spark, sf)
     found = view(spark, sf, "v_code_findings")
-    fixed = F.concat(F.substring_index("content", "\n", -3), F.lit("\nadded\n"))
+    fixed = F.concat(F.lit("patched\n"), "content")
     reply = F.to_json(F.struct(fixed.alias("fixed_code"), F.lit("why").alias("explanation")))
     answers = files.select("repo_id", F.col("relative_path").alias("file_path"), reply.alias("content")).join(
         found.select("repo_id", "file_path", F.col("id").alias("finding_id")), ["repo_id", "file_path"]

@@ -93,7 +93,10 @@ def detect(
     )
     found = found.select(
         "repo_id", "file_path", "line_start", "line_end", "code_snippet",
-        "f.vuln_type", "f.detection_method", "f.confidence", "f.message", "f.rule_id", "f.metadata",
+        F.when(F.col("f.detector") == 1, "hardcoded_secret")
+        .otherwise(rule_ops.classify(F.col("f.rule_id"), F.col("f.message")))
+        .alias("vuln_type"),
+        "f.detection_method", "f.confidence", "f.message", "f.rule_id", "f.metadata",
         F.struct(
             F.col("f.detector").alias("detector"),
             paths.parts(F.col("file_path")).alias("path"),

@@ -110,15 +110,14 @@ def hint(rules: list[Rule], language: Column, text: Column) -> Column:
 
 
 def rule_matches(rules: list[Rule], language: Column, line: Column) -> list[Column]:
-    """For each rule a finding struct, null where the rule does not match `line`."""
+    """For each rule a finding struct, null where the rule does not match `line`. Its type comes from `classify`."""
     return [
         F.when(
             language.isin(*rule.languages) & line.rlike(rule.regex),
             F.struct(
                 F.lit(0).alias("detector"),
-                classify(F.lit(rule.rule_id), F.lit(rule.message)).alias("vuln_type"),
                 F.lit("semgrep").alias("detection_method"),
-                scanner_confidence(F.lit(rule.severity)).alias("confidence"),
+                F.lit(SCANNER_CONFIDENCE.get(rule.severity, OTHER_SCANNER_CONFIDENCE)).alias("confidence"),
                 F.lit(rule.message).alias("message"),
                 F.lit(rule.rule_id).alias("rule_id"),
                 F.create_map(

@@ -74,7 +74,6 @@ def secret_matches(patterns: list[SecretPattern], line: Column) -> list[Column]:
             matches(p, line),
             F.struct(
                 F.lit(1).alias("detector"),
-                F.lit("hardcoded_secret").alias("vuln_type"),
                 F.lit("entropy" if p.entropy_floor else "regex").alias("detection_method"),
                 F.lit(p.confidence).alias("confidence"),
                 F.lit(p.message).alias("message"),
