@@ -3,10 +3,13 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from vulnloom.config import RuleConfig
-from vulnloom.operators import detection, findings, manifest, scope
+from vulnloom.config import USER_CONFIG, RuleConfig
+from vulnloom.operators import detection, findings, manifest, repo_config, rules, scope
 from vulnloom.operators.rules import classify
+from vulnloom.operators.skew import fits_broadcast
+from vulnloom.plans import scan
 from vulnloom.sources import scanner
+from vulnloom.sources.files import save_files
 
 
 def found(table, **options):
@@ -175,3 +178,58 @@ def test_manifest_order_and_limit(files):
     assert (summary.files_discovered, summary.files_included, summary.files_excluded, summary.total_lines) == (6, 4, 2, 13)
     assert summary.language_breakdown == {"python": 4} and summary.risk_breakdown == {"high": 1, "medium": 1, "low": 2}
     assert summary.fits_single_context and summary.total_estimated_tokens == 130
+
+
+def test_rules_from_a_table(spark, files):
+    table = rules.rule_table(spark)
+    assert sorted(r.rule_id for r in rules.rules_of(table)) == sorted(CASES)
+    own = spark.createDataFrame([("no-xss-sink", ["go"], r"template\.HTML\(", "INFO", "XSS sink", None)], rules.RULE_TABLE)
+    extended = rules.rules_of(table.unionByName(own))
+    rows = detection.detect(files({"a.go": "x\ntemplate.HTML(y)\n"}), rules=extended).collect()
+    assert [(r.rule_id, r.line_start, r.vuln_type, r.confidence) for r in rows] == [("no-xss-sink", 2, "xss", 0.5)]
+
+
+def test_configurations_of_repositories(spark, files):
+    texts = {
+        ("a", USER_CONFIG): "checks: {sqli: false}\nmin_severity: high",
+        ("b", USER_CONFIG): "exclude: {paths: [gen/], patterns: ['q*']}",
+        ("c", USER_CONFIG): "checks: [",
+        ("c", "sub/" + USER_CONFIG): "min_severity: high",
+    }
+    configs = repo_config.repo_configs(files(texts))
+    rows = [(r, p, 1, t, "medium") for r in "abcd" for p in ("gen/x.py", "vendor/x.py", "q.py") for t in ("sqli", "xss")]
+    table = spark.createDataFrame(rows, "repo_id string, file_path string, line_start int, vuln_type string, severity string")
+    default = RuleConfig(exclude_patterns=[])
+    kept = {(r.repo_id, r.file_path, r.vuln_type) for r in repo_config.filter_findings(table, configs, default).collect()}
+    both = ("sqli", "xss")
+    expected = {("a", p, "xss") for p in ("gen/x.py", "q.py")} | {("b", "vendor/x.py", t) for t in both}
+    assert kept == expected | {(r, p, t) for r in "cd" for p in ("gen/x.py", "q.py") for t in both}
+    gated = repo_config.severity_gate(table, configs, default).groupBy("repo_id").count().collect()
+    assert {r.repo_id: r["count"] for r in gated} == {"b": 6, "c": 6, "d": 6}
+    line = 'cur.execute(f"{x}")\n'
+    found = scan.detect(files(texts | {(r, "x.py"): line for r in "ab"}), repo_configs=configs).findings
+    assert [(r.repo_id, r.file_path) for r in found.collect()] == [("b", "x.py")]
+
+
+def test_many_changes_filter_findings_instead_of_contents(spark, files, monkeypatch):
+    table = files({p: 'cur.execute(f"{x}")\ndef f(): pass\n' for p in ("a.py", "b.py", "c.py")})
+    changed = spark.createDataFrame([("r", "./a.py", "M"), ("r", "b.py", "D")], "repo_id string, path string, change_type string")
+    assert fits_broadcast(scope.changed_paths(changed)) and not fits_broadcast(scope.changed_paths(changed), limit=3)
+    for small in (True, False):
+        monkeypatch.setattr(scan, "fits_broadcast", lambda _, small=small: small)
+        found = scan.detect(table, changed_files=changed)
+        assert [r.file_path for r in found.findings.collect()] == [r.file_path for r in found.functions.collect()] == ["a.py"]
+
+
+def test_bucketed_files_are_not_shuffled(spark, files, tmp_path):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    table = save_files(files({"a.py": "x\ny"}), "bucketed_files", str(tmp_path / "t"), buckets=2)
+    wanted = spark.createDataFrame([("r", "a.py", 1), ("r", "a.py", 2)], "repo_id string, file_path string, line_start int")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    shown = findings.line_snippets(wanted, table)
+    plan = shown._jdf.queryExecution().executedPlan().toString()
+    assert shown.count() == 2
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    scan_side = plan[plan.rindex("Sort [repo_id"):]
+    assert "Bucketed: true" in scan_side and "Exchange" not in scan_side
+    spark.sql("DROP TABLE bucketed_files")

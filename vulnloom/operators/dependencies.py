@@ -67,7 +67,8 @@ def _package_json(content: Column) -> Column:
 
 
 def _is_requirements(path: Column) -> Column:
-    return path.rlike("|".join(REQUIREMENT_GLOBS))
+    # The plain prefix can be checked against the statistics of a parquet file.
+    return F.startswith(path, F.lit("req")) & path.rlike("|".join(REQUIREMENT_GLOBS))
 
 
 def dependencies(files: DataFrame, duplicate_per_glob: bool = False) -> DataFrame:

@@ -33,12 +33,8 @@ def line_snippets(targets: DataFrame, files: DataFrame, context: int = SNIPPET_C
     Each file is split once per lookup group rather than once per line, and only files that are
     asked for take part in the join.
     """
-    wanted = (
-        targets.select(*FINDING_KEY)
-        .distinct()
-        .groupBy("repo_id", "file_path", F.floor(F.col("line_start") / LINES_PER_LOOKUP).alias("_group"))
-        .agg(F.collect_list("line_start").alias("_lines"))
-    )
+    group = F.floor(F.col("line_start") / LINES_PER_LOOKUP).alias("_group")
+    wanted = targets.groupBy("repo_id", "file_path", group).agg(F.collect_set("line_start").alias("_lines"))
     texts = files.select("repo_id", F.col("relative_path").alias("file_path"), "content")
     shown = let(
         split_lines(F.col("content")),

@@ -4,11 +4,9 @@ from __future__ import annotations
 
 import ast
 import difflib
-import sys
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, functions as F
 
 from vulnloom import constants as c
@@ -17,9 +15,6 @@ from vulnloom.functions.text import let, split_lines
 from vulnloom.operators.findings import LINES_PER_LOOKUP
 from vulnloom.operators.verdicts import stage_replies
 
-# Executors need not have this package: the diff helpers travel with the task.
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
-
 PATCH_PROMPT = """\
 Fix this vulnerability with as few changes as possible.
 
@@ -44,13 +39,8 @@ def original_code(findings: DataFrame, files: DataFrame) -> DataFrame:
 
     A file of up to 200 lines is shown whole, a longer one 50 lines around the finding.
     """
-    span = ["repo_id", "file_path", "line_start", "line_end"]
-    wanted = (
-        findings.select(*span)
-        .distinct()
-        .groupBy("repo_id", "file_path", F.floor(F.col("line_start") / LINES_PER_LOOKUP).alias("_group"))
-        .agg(F.collect_list(F.struct("line_start", "line_end")).alias("_spans"))
-    )
+    group = F.floor(F.col("line_start") / LINES_PER_LOOKUP).alias("_group")
+    wanted = findings.groupBy("repo_id", "file_path", group).agg(F.collect_set(F.struct("line_start", "line_end")).alias("_spans"))
     texts = files.select("repo_id", F.col("relative_path").alias("file_path"), "content")
 
     def shown(lines: Column, at: Column) -> Column:

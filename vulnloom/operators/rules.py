@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from vulnloom.constants import (
     EVAL_KEYWORDS,
@@ -73,6 +73,22 @@ RULES = [
 ]
 
 
+MAX_RULES = 1000
+RULE_TABLE = "rule_id string, languages array<string>, regex string, severity string, message string, needle string"
+
+
+def rule_table(spark: SparkSession, rules: list[Rule] = RULES) -> DataFrame:
+    return spark.createDataFrame([(r.rule_id, list(r.languages), r.regex, r.severity, r.message, r.needle) for r in rules], RULE_TABLE)
+
+
+def rules_of(table: DataFrame) -> list[Rule]:
+    """Rules of a user's table. Every rule becomes an expression, so their number is limited."""
+    rows = table.select(*[c.split()[0] for c in RULE_TABLE.split(", ")]).limit(MAX_RULES + 1).collect()
+    if len(rows) > MAX_RULES:
+        raise ValueError(f"more than {MAX_RULES} rules")
+    return [Rule(r.rule_id, tuple(r.languages), r.regex, r.severity, r.message, r.needle or "") for r in rows]
+
+
 def classify(rule_id: Column, message: Column) -> Column:
     """sqli, hardcoded_secret, xss, or null when out of scope. The first keyword list that hits wins."""
     both = F.struct(F.lower(rule_id).alias("rule"), F.lower(message).alias("text"))

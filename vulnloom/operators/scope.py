@@ -36,11 +36,10 @@ def snapshot_changes(before: DataFrame, after: DataFrame) -> DataFrame:
     )
 
 
-def in_diff(files: DataFrame, changed: DataFrame) -> DataFrame:
-    """Rows of any table with `repo_id, relative_path` whose file changed."""
-    keyed = files.withColumn("_path", paths.normalize_path(F.col("relative_path")))
-    wanted = changed.withColumnRenamed("relative_path", "_path")
-    return keyed.join(wanted, ["repo_id", "_path"], "left_semi").drop("_path")
+def in_diff(rows: DataFrame, changed: DataFrame, path: str = "relative_path") -> DataFrame:
+    """Rows of any table keyed by repository and file whose file changed."""
+    wanted = changed.withColumnRenamed("relative_path", path) if path != "relative_path" else changed
+    return rows.join(wanted, ["repo_id", path], "left_semi")
 
 
 def not_excluded(files: DataFrame, config: RuleConfig) -> DataFrame:

@@ -3,29 +3,31 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 # A group up to this size is ordered by one task; a larger one is split over range slices.
 MAX_GROUP_ROWS = 1_000_000
+# A table of keys up to this size is sent to every executor; a larger one is joined otherwise.
+BROADCAST_BYTES = 64 << 20
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write `df` to the checkpoint folder and go on from the written copy.
+    """Write `df` as a table in the checkpoint folder and go on from there.
 
-    The folder is the one the cluster names in `spark.checkpoint.dir`, which executors share,
-    so a lost executor does not lose the result. Only a local session falls back to a folder
-    of its own.
+    The folder is the one the cluster names in `spark.checkpoint.dir`, which executors share, so
+    a lost executor does not lose the result. A parquet copy lets later steps read only the
+    columns they need and tells the optimizer how large it is. Only a local session falls back to
+    a folder of its own.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(_checkpoint_dir(spark))
-    return df.checkpoint(eager=True)
+    path = f"{_checkpoint_dir(df.sparkSession).rstrip('/')}/vulnloom-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def _checkpoint_dir(spark: SparkSession) -> str:
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named:
         return named
     if not spark.sparkContext.master.startswith("local"):
@@ -33,6 +35,12 @@ def _checkpoint_dir(spark: SparkSession) -> str:
     return tempfile.mkdtemp(prefix="vulnloom-checkpoint-")
 
 
+def fits_broadcast(df: DataFrame, limit: int = BROADCAST_BYTES) -> bool:
+    """True if the text columns of `df` add up to at most `limit` bytes."""
+    size = sum((F.octet_length(c) for c in df.columns), start=F.lit(0))
+    return (df.agg(F.sum(size.cast("bigint"))).first()[0] or 0) <= limit
+
+
 def salted_join(
     many: DataFrame, few: DataFrame, on: list[str], spread_by: list[str], how: str = "inner", salts: int = 16
 ) -> DataFrame:

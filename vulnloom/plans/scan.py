@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
 from vulnloom.config import RuleConfig
 from vulnloom.constants import DIGEST_TOKEN_BUDGET, MAX_FILES_PER_REPO
@@ -20,12 +20,13 @@ from vulnloom.operators import (
     findings as finding_ops,
     manifest as manifest_ops,
     patches as patch_ops,
+    repo_config,
     report,
     scope,
     structure,
     verdicts,
 )
-from vulnloom.operators.skew import cut
+from vulnloom.operators.skew import cut, fits_broadcast
 
 
 @dataclass(frozen=True)
@@ -58,30 +59,41 @@ def detect(
     config: RuleConfig | None = None,
     changed_files: DataFrame | None = None,
     scanner_findings: DataFrame | None = None,
+    repo_configs: DataFrame | None = None,
     max_files: int = MAX_FILES_PER_REPO,
 ) -> Detection:
     """Manifest, structure, dependencies and de-duplicated findings.
 
     With `changed_files` the scan is limited to the changes: the manifest after its file limit,
     the rules and the secret patterns to every changed file. `scanner_findings` are results of
-    an external scanner; they come before our own.
+    an external scanner; they come before our own. `repo_configs` (`operators.repo_config`) gives
+    repositories a configuration of their own in place of `config`.
     """
     config = config or RuleConfig()
     manifest = manifest_ops.manifest(files, max_files)
     summary = manifest_ops.manifest_summary(files, manifest)
-    scanned = files
+    scanned, changed = files, None
     if changed_files is not None:
-        changed = scope.changed_paths(changed_files)
+        changed = cut(scope.changed_paths(changed_files))
         manifest = scope.in_diff(manifest, changed)
         summary = manifest_ops.scoped_summary(summary, manifest)
-        scanned = scope.in_diff(files, changed)
+        if fits_broadcast(changed):
+            # The contents are filtered where they are read.
+            scanned, changed = scope.in_diff(files, F.broadcast(changed)), None
     manifest = cut(manifest)
 
     sources = structure.source_files(scanned)
-    found = detection.detect(scanned, config)
+    found = detection.detect(scanned, config if repo_configs is None else None)
+    if changed is not None:
+        # Too many changes to send everywhere: rather filter the findings than shuffle contents.
+        found = scope.in_diff(found, changed, "file_path")
     if scanner_findings is not None:
-        imported = finding_ops.with_snippets(finding_ops.filter_findings(scanner_findings, config), files)
+        imported = finding_ops.with_snippets(scanner_findings, files)
         found = imported.select(*detection.RAW_FINDING).unionByName(found)
+    if repo_configs is not None:
+        found = repo_config.filter_findings(found, repo_configs, config)
+    elif scanner_findings is not None:
+        found = finding_ops.filter_findings(found, config)
     unique = cut(finding_ops.dedup_findings(found))
     return Detection(
         files=files,
@@ -106,11 +118,16 @@ def judge(
     repos: DataFrame,
     responses: DataFrame,
     config: RuleConfig | None = None,
+    repo_configs: DataFrame | None = None,
     apply_confidence_threshold: bool = False,
 ) -> Verdicts:
     """Verdicts, patches and the per-repository result from model replies."""
     config = config or RuleConfig()
-    enriched = verdicts.severity_gate(verdicts.apply_analysis(found.findings, responses), config)
+    enriched = verdicts.apply_analysis(found.findings, responses)
+    if repo_configs is None:
+        enriched = verdicts.severity_gate(enriched, config)
+    else:
+        enriched = repo_config.severity_gate(enriched, repo_configs, config)
     threshold = config.confidence_threshold if apply_confidence_threshold else None
     validated = cut(verdicts.apply_reviews(enriched, responses, threshold))
     confirmed = verdicts.confirmed(validated)

@@ -3,21 +3,17 @@
 from __future__ import annotations
 
 import os
-import sys
 from collections.abc import Callable, Iterator
 from functools import reduce
 
 import pandas as pd
 from pyarrow import fs
-from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from vulnloom.functions.paths import normalize_path
 from vulnloom.functions.text import decode_utf8, universal_newlines
 from vulnloom.operators.skew import cut
 
-# Executors need not have this package: the readers travel with the task.
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
-
 Batches = Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]
 # Bytes of content a reading task hands on at a time.
 READ_BATCH_BYTES = 16 << 20
@@ -105,15 +101,29 @@ def read_trees(spark: SparkSession, root: str) -> DataFrame:
 
 
 def as_files(table: DataFrame) -> DataFrame:
-    """A `files` table from any `repo_id, relative_path, content` table of texts."""
+    """A `files` table from any `repo_id, relative_path, content` table of texts.
+
+    Paths are normalised here once, so that later joins on them are plain equality.
+    """
     return table.select(
         "repo_id",
-        "relative_path",
+        normalize_path(F.col("relative_path")).alias("relative_path"),
         universal_newlines(F.col("content")).alias("content"),
         F.octet_length("content").cast("bigint").alias("size_bytes"),
     )
 
 
+def save_files(files: DataFrame, table: str, path: str, buckets: int) -> DataFrame:
+    """Save a `files` table bucketed by repository and path, and return it.
+
+    Digests and patches fetch the texts of few files by that key; on a bucketed table only the
+    keys are shuffled to the texts, never the texts themselves.
+    """
+    writer = files.write.mode("overwrite").format("parquet").option("path", path)
+    writer.bucketBy(buckets, "repo_id", "relative_path").sortBy("repo_id", "relative_path").saveAsTable(table)
+    return files.sparkSession.table(table)
+
+
 def spread(table: DataFrame, key: str) -> DataFrame:
     """A table with fewer splits than cores is spread over all of them by a hash of `key`, so that
     regular expressions over one small file use the whole machine; a large one stays as it lies."""
