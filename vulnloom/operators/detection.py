@@ -74,7 +74,7 @@ def detect(
 
     def candidate(text: Column) -> Column:
         by_rule = F.col("rule_scope") & rule_ops.hint(rules, F.col("language"), text)
-        return F.coalesce(by_rule, F.lit(False)) | (F.col("secret_scope") & secret_ops.hint(text))
+        return F.coalesce(by_rule, F.lit(False)) | (F.col("secret_scope") & secret_ops.hint(secret_patterns, text))
 
     lines = scoped.filter(candidate(content)).select(
         "repo_id", "file_path", "language", "rule_scope", "secret_scope",

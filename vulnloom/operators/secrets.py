@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, functions as F
 
-from vulnloom.functions.text import shannon_entropy
+from vulnloom.functions.text import any_contains, shannon_entropy
 
 ENTROPY_FLOOR = 3.5
 
@@ -18,10 +19,10 @@ PLACEHOLDER = (
     r"(?i)your[_-]?|change_?me|placeholder|insert[_-]|<[^>]*>|\$\{|\{\{|^x{4,}|\*{3,}|dummy|redacted|todo|none$|null$"
 )
 ENVIRONMENT = r"os\.environ|os\.getenv|\bgetenv\s*\(|process\.env"
-# Necessary for any pattern below; decides whether a file or line is looked at more closely.
-HINT = (
-    r"AKIA[0-9A-Z]|gh[pousr]_[A-Za-z0-9]|-----BEGIN |\$2[aby]\$"
-    r"""|(?i:api_?key|secret|token|password|passwd)\w*\s*[:=]\s*["']"""
+# Every credential holds matches of these two; the first character class rejects most positions fast.
+CREDENTIAL_HINTS = (
+    r"""[:=]\s*["']""",
+    r"""[aAsStTpP](?i:pi_?key|ecret|oken|assword|asswd)\w*\s*[:=]\s*["']""",
 )
 
 
@@ -34,17 +35,32 @@ class SecretPattern:
     message: str
     entropy_floor: float = 0.0
     credential: bool = False
+    needle: str = ""
+    """A literal that every match contains."""
+    hints: tuple[str, ...] = ()
+    """Cheap expressions that all match wherever the pattern does; used when there is no needle."""
 
 
 SECRET_PATTERNS = [
-    SecretPattern("secret-aws-access-key", r"\bAKIA[0-9A-Z]{16}\b", 0, 0.95, "AWS access key ID in source"),
-    SecretPattern("secret-github-token", r"\bgh[pousr]_[A-Za-z0-9]{36,}\b", 0, 0.95, "GitHub token in source"),
-    SecretPattern("secret-private-key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 0.95, "Private key in source"),
-    SecretPattern("secret-bcrypt-hash", r"\$2[aby]\$\d{2}\$[./A-Za-z0-9]{53}", 0, 0.8, "bcrypt hash in source"),
     SecretPattern(
-        "secret-high-entropy", CREDENTIAL, 1, 0.75, "High-entropy credential in source", ENTROPY_FLOOR, True
+        "secret-aws-access-key", r"\bAKIA[0-9A-Z]{16}\b", 0, 0.95, "AWS access key ID in source", needle="AKIA"
+    ),
+    SecretPattern(
+        "secret-github-token", r"\bgh[pousr]_[A-Za-z0-9]{36,}\b", 0, 0.95, "GitHub token in source", hints=("gh[pousr]_",)
+    ),
+    SecretPattern(
+        "secret-private-key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 0.95, "Private key in source", needle="-----BEGIN "
+    ),
+    SecretPattern(
+        "secret-bcrypt-hash", r"\$2[aby]\$\d{2}\$[./A-Za-z0-9]{53}", 0, 0.8, "bcrypt hash in source", needle="$2"
+    ),
+    SecretPattern(
+        "secret-high-entropy", CREDENTIAL, 1, 0.75, "High-entropy credential in source", ENTROPY_FLOOR, True,
+        hints=CREDENTIAL_HINTS,
+    ),
+    SecretPattern(
+        "secret-credential", CREDENTIAL, 1, 0.6, "Hardcoded credential in source", 0.0, True, hints=CREDENTIAL_HINTS
     ),
-    SecretPattern("secret-credential", CREDENTIAL, 1, 0.6, "Hardcoded credential in source", 0.0, True),
 ]
 
 
@@ -63,8 +79,12 @@ def matches(pattern: SecretPattern, line: Column) -> Column:
     return hit & ~line.rlike(ENVIRONMENT) if pattern.credential else hit
 
 
-def hint(text: Column) -> Column:
-    return text.rlike(HINT)
+def hint(patterns: list[SecretPattern], text: Column) -> Column:
+    """Cheap necessary condition for any of the patterns to match `text`."""
+    found = any_contains(text, sorted({p.needle for p in patterns if p.needle}))
+    for hints in sorted({p.hints or (p.regex,) for p in patterns if not p.needle}):
+        found = found | reduce(Column.__and__, [text.rlike(h) for h in hints])
+    return found
 
 
 def secret_matches(patterns: list[SecretPattern], line: Column) -> list[Column]:
