@@ -304,7 +304,9 @@ def test_whole_scan_from_a_tree(spark, tmp_path):
         (root / name).parent.mkdir(parents=True, exist_ok=True)
         (root / name).write_bytes(data)
     (root / "two" / "loop").symlink_to(root)
-    table = read_trees(spark, str(root))
+    saved = str(tmp_path / "files")
+    sinks.write_table(read_trees(spark, str(root)), saved)
+    table = spark.read.parquet(saved)
     listed = {(r.repo_id, r.relative_path): (r.content, r.size_bytes) for r in table.collect()}
     assert set(listed) == {
         ("one", "src/db.py"), ("one", ".env"), ("one", "requirements.txt"), ("one", "pkg/__init__.py"), ("two", "web/app.js"), ("two", "vendor/lib.js")

@@ -77,11 +77,6 @@ def text_tokens(text: Column) -> Column:
     return F.floor(F.length(text) / 4).cast("bigint")
 
 
-def number_width(number: Column) -> Column:
-    """Width of a line number right-aligned to four places."""
-    return F.greatest(F.length(number.cast("string")), F.lit(4))
-
-
 def numbered(number: Column, line: Column) -> Column:
     digits = number.cast("string")
     return F.concat(F.repeat(F.lit(" "), F.greatest(4 - F.length(digits), F.lit(0))), digits, F.lit(" | "), line)
