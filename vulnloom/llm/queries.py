@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from vulnloom.llm import byte_bpe, language_id, quality_rules, secret_scan, token_counts, toxicity
+from vulnloom.llm import byte_bpe, language_id, ngram_join, quality_rules, secret_scan, token_counts, toxicity
 from vulnloom.llm.common import table
 
 
@@ -29,6 +29,10 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.measures(table(spark, sf_dir, "documents"))
 
 
+def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.similar_components(table(spark, sf_dir, "documents"))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -43,6 +47,7 @@ QUERIES = {
     "op2_byte_bpe": op2_byte_bpe,
     "op4_toxicity": op4_toxicity,
     "op5_quality_rules": op5_quality_rules,
+    "op7_ngram_join": op7_ngram_join,
     "op9_token_counts": op9_token_counts,
     "op10_language_id": op10_language_id,
 }
