@@ -5,7 +5,18 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from vulnloom.llm import byte_bpe, language_id, ngram_join, quality_rules, secret_scan, token_counts, toxicity
+from vulnloom.llm import (
+    byte_bpe,
+    chat_format,
+    decontaminate,
+    html_layout,
+    language_id,
+    ngram_join,
+    quality_rules,
+    secret_scan,
+    token_counts,
+    toxicity,
+)
 from vulnloom.llm.common import table
 
 
@@ -21,6 +32,10 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
+def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_format.render(table(spark, sf_dir, "conversations"))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.predictions(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -29,10 +44,18 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.measures(table(spark, sf_dir, "documents"))
 
 
+def op6_html_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_layout.extract(table(spark, sf_dir, "pages"))
+
+
 def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.similar_components(table(spark, sf_dir, "documents"))
 
 
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -45,9 +68,12 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
     "op2_byte_bpe": op2_byte_bpe,
+    "op3_chat_format": op3_chat_format,
     "op4_toxicity": op4_toxicity,
     "op5_quality_rules": op5_quality_rules,
+    "op6_html_layout": op6_html_layout,
     "op7_ngram_join": op7_ngram_join,
+    "op8_decontaminate": op8_decontaminate,
     "op9_token_counts": op9_token_counts,
     "op10_language_id": op10_language_id,
 }
