@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import base64
 from collections.abc import Iterator
+from hashlib import sha256
 from heapq import heapify, heappop, heappush
 from pathlib import Path
 
@@ -120,40 +121,61 @@ class Cache(dict):
         return found
 
 
-def _vocabulary(lines: Broadcast, name: str) -> Ranks:
-    return process_cache(f"ranks {name}", lambda: Ranks(lines.value))
+def _encoded(texts: list[bytes], ranks: Ranks, cache: Cache) -> tuple[list[bytes], list[bytes]]:
+    """Ids of each text, and the byte offset at which each of its tokens ends."""
+    slices, counts = pieces(texts)
+    merged = list(map(cache.__getitem__, slices))
+    ids, ends, a = [], [], 0
+    for b in counts.tolist():
+        own = b"".join(merged[a:b])
+        a = b
+        ids.append(own)
+        ends.append(np.cumsum(ranks.lengths[np.frombuffer(own, "<u4")]).astype("<u4").tobytes())
+    return ids, ends
 
 
-def encode(df: DataFrame, ranks_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id_col, ids, ends): ids of each text and the byte offset at which each token ends.
+def _decoded(ids: bytes, ends: bytes, ranks: Ranks) -> bytes:
+    """The bytes of all tokens, each written up to its offset."""
+    if not ids:
+        return b""
+    ids, ends = np.frombuffer(ids, "<u4"), np.frombuffer(ends, "<u4").astype(np.int64)
+    lengths = np.diff(ends, prepend=0)
+    shift = ranks.starts[ids] - (ends - lengths)
+    return ranks.bytes[np.repeat(shift, lengths) + np.arange(ends[-1])].tobytes()
+
+
+class Coder:
+    """The vocabulary in a file of ranks, as the tasks use it.
 
-    The file of ranks is read by the driver and broadcast: it has the size of a vocabulary, not of
-    the data.
+    The driver reads and broadcasts the file: it has the size of a vocabulary, not of the data.
     """
-    spark = df.sparkSession
-    lines = spark.sparkContext.broadcast(Path(ranks_path).read_bytes())
+
+    def __init__(self, df: DataFrame, ranks_path: str) -> None:
+        self.name = ranks_path
+        self.lines: Broadcast = df.sparkSession.sparkContext.broadcast(Path(ranks_path).read_bytes())
+
+    def ranks(self) -> Ranks:
+        return process_cache(f"ranks {self.name}", lambda: Ranks(self.lines.value))
+
+    def encoded(self, texts: list[bytes]) -> tuple[list[bytes], list[bytes]]:
+        ranks = self.ranks()
+        merge = lambda piece: np.array(ranks.merge(piece), "<u4").tobytes()
+        return _encoded(texts, ranks, process_cache(f"slices {self.name}", lambda: Cache(merge)))
+
+    def decoded(self, ids: bytes, ends: bytes) -> bytes:
+        return _decoded(ids, ends, self.ranks())
+
+
+def encode(df: DataFrame, ranks_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id_col, ids, ends): ids of each text and the byte offset at which each token ends."""
+    coder = Coder(df, ranks_path)
     id_type = df.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ranks = _vocabulary(lines, ranks_path)
-        cache = process_cache(
-            f"slices {ranks_path}", lambda: Cache(lambda piece: np.array(ranks.merge(piece), "<u4").tobytes())
-        )
         for batch in batches:
             for first, texts in text_chunks(batch, "text"):
-                slices, counts = pieces(texts)
-                merged = list(map(cache.__getitem__, slices))
-                ids, ends, a = [], [], 0
-                for b in counts.tolist():
-                    own = b"".join(merged[a:b])
-                    a = b
-                    ids.append(own)
-                    lengths = ranks.lengths[np.frombuffer(own, "<u4")]
-                    ends.append(np.cumsum(lengths).astype("<u4").tobytes())
-                yield pa.record_batch(
-                    [batch.column("id").slice(first, len(texts)), pa.array(ids, pa.binary()), pa.array(ends, pa.binary())],
-                    ["id", "ids", "ends"],
-                )
+                columns = [pa.array(x, pa.binary()) for x in coder.encoded(texts)]
+                yield pa.record_batch([batch.column("id").slice(first, len(texts)), *columns], ["id", "ids", "ends"])
 
     source = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     encoded = source.mapInArrow(run, f"id {id_type}, ids binary, ends binary")
@@ -161,37 +183,43 @@ def encode(df: DataFrame, ranks_path: str, id_col: str = "doc_id", text_col: str
 
 
 def decode(encoded: DataFrame, ranks_path: str, id_col: str = "doc_id") -> DataFrame:
-    """The columns of `encoded` and `decoded`, the bytes of its ids."""
-    lines = encoded.sparkSession.sparkContext.broadcast(Path(ranks_path).read_bytes())
+    """(id_col, decoded): the bytes that the ids of each row of `encode` stand for."""
+    coder = Coder(encoded, ranks_path)
     id_type = encoded.schema[id_col].dataType.simpleString()
 
-    def text_of(ranks: Ranks, ids: bytes, ends: bytes) -> bytes:
-        ids, ends = np.frombuffer(ids, "<u4"), np.frombuffer(ends, "<u4").astype(np.int64)
-        if not len(ids):
-            return b""
-        lengths = np.diff(ends, prepend=0)
-        shift = ranks.starts[ids] - (ends - lengths)
-        return ranks.bytes[np.repeat(shift, lengths) + np.arange(ends[-1])].tobytes()
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ranks = _vocabulary(lines, ranks_path)
         for batch in batches:
             rows = zip(batch.column("ids"), batch.column("ends"))
-            texts = [text_of(ranks, a.as_py() or b"", b.as_py() or b"") for a, b in rows]
-            columns = [batch.column(c) for c in ("id", "ids", "ends")]
-            yield pa.record_batch([*columns, pa.array(texts, pa.binary())], ["id", "ids", "ends", "decoded"])
+            texts = [coder.decoded(a.as_py() or b"", b.as_py() or b"") for a, b in rows]
+            yield pa.record_batch([batch.column("id"), pa.array(texts, pa.binary())], ["id", "decoded"])
 
     source = encoded.select(F.col(id_col).alias("id"), "ids", "ends")
-    decoded = source.mapInArrow(run, f"id {id_type}, ids binary, ends binary, decoded binary")
-    return decoded.select(F.col("id").alias(id_col), "ids", "ends", "decoded")
-
-
-def digests(df: DataFrame, ranks_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Encodes, decodes what was encoded, and returns counts and digests of both."""
-    decoded = decode(encode(df, ranks_path, id_col, text_col), ranks_path, id_col)
-    return decoded.select(
-        id_col,
-        (F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"),
-        F.sha2("ids", 256).alias("ids_sha256"),
-        F.sha2("decoded", 256).alias("decoded_sha256"),
-    )
+    return source.mapInArrow(run, f"id {id_type}, decoded binary").select(F.col("id").alias(id_col), "decoded")
+
+
+def digests(
+    df: DataFrame, ranks_path: str, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """(id_col, n_tokens, ids_sha256, decoded_sha256): encodes each text, then decodes its ids.
+
+    Both happen in the same task, so decoded texts do not leave it.
+    """
+    coder = Coder(df, ranks_path)
+    id_type = df.schema[id_col].dataType.simpleString()
+    names = ["id", "n_tokens", "ids_sha256", "decoded_sha256"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, texts in text_chunks(batch, "text"):
+                ids, ends = coder.encoded(texts)
+                columns = [
+                    pa.array([len(x) // 4 for x in ids], pa.int64()),
+                    pa.array([sha256(x).hexdigest() for x in ids], pa.string()),
+                    pa.array([sha256(coder.decoded(x, y)).hexdigest() for x, y in zip(ids, ends)], pa.string()),
+                ]
+                yield pa.record_batch([batch.column("id").slice(first, len(texts)), *columns], names)
+
+    source = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    schema = f"id {id_type}, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
+    found = source.mapInArrow(run, schema)
+    return found.select(F.col("id").alias(id_col), *names[1:])
