@@ -198,15 +198,15 @@ def decode(encoded: DataFrame, ranks_path: str, id_col: str = "doc_id") -> DataF
 
 
 def digests(
-    df: DataFrame, ranks_path: str, id_col: str = "doc_id", text_col: str = "text"
+    df: DataFrame, ranks_path: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False
 ) -> DataFrame:
-    """(id_col, n_tokens, ids_sha256, decoded_sha256): encodes each text, then decodes its ids.
+    """(id_col, n_tokens, ids_sha256, decoded_sha256[, ids]): encodes each text, then decodes its ids.
 
-    Both happen in the same task, so decoded texts do not leave it.
+    Both happen in the same task, so decoded texts do not leave it, nor ids unless asked for.
     """
     coder = Coder(df, ranks_path)
     id_type = df.schema[id_col].dataType.simpleString()
-    names = ["id", "n_tokens", "ids_sha256", "decoded_sha256"]
+    names = ["id", "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * with_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -217,9 +217,11 @@ def digests(
                     pa.array([sha256(x).hexdigest() for x in ids], pa.string()),
                     pa.array([sha256(coder.decoded(x, y)).hexdigest() for x, y in zip(ids, ends)], pa.string()),
                 ]
+                if with_ids:
+                    columns.append(pa.array(ids, pa.binary()))
                 yield pa.record_batch([batch.column("id").slice(first, len(texts)), *columns], names)
 
     source = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    schema = f"id {id_type}, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
+    schema = f"id {id_type}, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids binary" * with_ids
     found = source.mapInArrow(run, schema)
     return found.select(F.col("id").alias(id_col), *names[1:])

@@ -32,6 +32,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
+from vulnloom.llm import bitmap
 from vulnloom.llm.byte_bpe import Cache
 from vulnloom.llm.common import cut, process_cache, text_chunks
 from vulnloom.llm.components import components
@@ -43,7 +44,6 @@ FREQUENT = 100_000
 COUNTED = 2_000_000
 LEAST_COUNT = 3
 FRAGMENT_BITS = 3
-BITMAP_BITS = 25
 # Rounds of pivots before the members left in different components are compared pair by pair.
 ROUNDS = 3
 
@@ -91,9 +91,13 @@ def _signed(grams: np.ndarray) -> np.ndarray:
 
 
 def _profile(df: DataFrame) -> DataFrame:
-    """Rows of documents (id, n, digest) and rows of n-grams that a task saw often (gram, seen)."""
+    """Rows of documents (id, version, n, digest) and rows of n-grams that a task saw often (gram, seen).
+
+    `version` is the hash that Spark's `xxhash64` gives the text.
+    """
     id_type = df.schema["id"].dataType.simpleString()
-    schema = f"id {id_type}, n bigint, digest binary, gram bigint, seen bigint"
+    schema = f"id {id_type}, version bigint, n bigint, digest binary, gram bigint, seen bigint"
+    names = ["id", "version", "n", "digest", "gram", "seen"]
     id_arrow = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[id_type]
 
     def frequent(held: list[np.ndarray]) -> pa.RecordBatch:
@@ -102,9 +106,9 @@ def _profile(df: DataFrame) -> DataFrame:
         grams, seen = grams[often], seen[often]
         none = len(grams)
         return pa.record_batch(
-            [pa.nulls(none, id_arrow), pa.nulls(none, pa.int64()), pa.nulls(none, pa.binary()), pa.array(_signed(grams))]
-            + [pa.array(seen, pa.int64())],
-            ["id", "n", "digest", "gram", "seen"],
+            [pa.nulls(none, id_arrow), pa.nulls(none, pa.int64()), pa.nulls(none, pa.int64()), pa.nulls(none, pa.binary())]
+            + [pa.array(_signed(grams)), pa.array(seen, pa.int64())],
+            names,
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -116,12 +120,13 @@ def _profile(df: DataFrame) -> DataFrame:
                 yield pa.record_batch(
                     [
                         batch.column("id").slice(first, rows),
+                        pa.array(np.array([xxhash.xxh64_intdigest(t, 42) for t in texts], np.uint64).view(np.int64)),
                         pa.array([len(s) for s in sets], pa.int64()),
                         pa.array([_digest(s) for s in sets], pa.binary()),
                         pa.nulls(rows, pa.int64()),
                         pa.nulls(rows, pa.int64()),
                     ],
-                    ["id", "n", "digest", "gram", "seen"],
+                    names,
                 )
                 held += sets
                 size += sum(map(len, sets))
@@ -261,19 +266,6 @@ def _left_pairs(members: DataFrame, percent: int) -> DataFrame:
     return _pairs(near, "x_node", "x_n", "y_node", "y_n", percent)
 
 
-def _bitmap(nodes: DataFrame, digests: DataFrame) -> np.ndarray:
-    """Bits that are set for the digests of `nodes`; its size does not depend on their number."""
-    place = F.pmod(F.conv(F.hex(F.substring("digest", 1, 7)), 16, 10).cast("bigint"), F.lit(1 << BITMAP_BITS))
-    marked = digests.join(nodes, "node", "left_semi").select(place.alias("place"))
-    words = marked.groupBy(F.shiftright("place", 5).alias("word")).agg(
-        F.bit_or(F.expr("shiftleft(1L, CAST(place % 32 AS INT))")).alias("bits")
-    )
-    found = words.toArrow()
-    out = np.zeros(1 << (BITMAP_BITS - 5), np.uint32)
-    out[found.column("word").to_numpy()] = found.column("bits").to_numpy().astype(np.uint32)
-    return out
-
-
 def _fragments(df: DataFrame, wanted: np.ndarray, frequent: np.ndarray) -> DataFrame:
     """(digest, fragment, grams) of all sets whose bit is set; frequent n-grams are a fragment of their own."""
     shared = df.sparkSession.sparkContext.broadcast((wanted, np.sort(frequent)))
@@ -285,8 +277,7 @@ def _fragments(df: DataFrame, wanted: np.ndarray, frequent: np.ndarray) -> DataF
                 seen, digests, numbers, parts = set(), [], [], []
                 for grams in ngram_sets(texts):
                     digest = _digest(grams)
-                    place = int.from_bytes(digest[:7], "big") % (1 << BITMAP_BITS)
-                    if not len(grams) or digest in seen or not bits[place >> 5] >> (place & 31) & 1:
+                    if not len(grams) or digest in seen or not bitmap.contains(bits, np.frombuffer(digest[:8], ">u8"))[0]:
                         continue
                     seen.add(digest)
                     at = np.minimum(np.searchsorted(known, grams), max(len(known) - 1, 0))
@@ -310,7 +301,8 @@ def _fragments(df: DataFrame, wanted: np.ndarray, frequent: np.ndarray) -> DataF
 def _links(pairs: DataFrame, texts: DataFrame, digests: DataFrame, frequent: np.ndarray, percent: int) -> DataFrame:
     """The pairs whose sets are similar enough: overlaps of each fragment, summed by pair."""
     nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    wanted = _bitmap(nodes, digests)
+    start = F.conv(F.hex(F.substring("digest", 1, 8)), 16, -10).cast("bigint")
+    wanted = bitmap.build(digests.join(nodes, "node", "left_semi").select(start.alias("h")), "h")
     parts = _fragments(texts, wanted, frequent)
     # A set that several tasks have read counts once.
     parts = parts.groupBy("digest", "fragment").agg(F.first("grams").alias("grams"))
@@ -326,16 +318,14 @@ def _links(pairs: DataFrame, texts: DataFrame, digests: DataFrame, frequent: np.
     return summed.where(f"100 * overlap >= {percent} * (an + bn - overlap)").select("a", "b")
 
 
-def similar_components(
-    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, rounds: int = ROUNDS
-) -> DataFrame:
-    """(id_col, n_shingles, component_id) of each row; the component is named by its smallest id.
+def assigned(df: DataFrame, id_col: str, text_col: str, percent: int = PERCENT, rounds: int = ROUNDS) -> DataFrame:
+    """(id, version, n, label) of each row: the size of its set and its component, null for empty sets.
 
     Two documents link if 100 * intersection >= `percent` * union of their n-gram sets.
     """
     texts = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     profile = cut(_profile(texts))
-    documents = profile.where("digest is not null").select("id", "n", "digest")
+    documents = profile.where("digest is not null").select("id", "version", "n", "digest")
     ranked = (
         profile.where("gram is not null").groupBy("gram").agg(F.sum("seen").alias("seen"))
         .orderBy(F.desc("seen"), "gram").limit(FREQUENT).toArrow()
@@ -373,12 +363,44 @@ def similar_components(
 
     named = documents.join(digests, "digest", "left")
     if labels is None:
-        named = named.withColumn("label", F.col("node"))
-    else:
-        named = named.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        return named.select("id", "version", "n", F.col("node").alias("label"))
+    return named.join(labels, "node", "left").select("id", "version", "n", F.coalesce("label", "node").alias("label"))
+
+
+def similar_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
+    """(id_col, n_shingles, component_id) of each row; the component is named by its smallest id."""
+    named = cut(assigned(df, id_col, text_col, percent))
     names = named.where("label is not null").groupBy("label").agg(F.min("id").alias("component"))
     return named.join(names, "label", "left").select(
         F.col("id").alias(id_col),
         F.col("n").alias("n_shingles"),
         F.when(F.col("label").isNull(), F.col("id")).otherwise(F.col("component")).alias("component_id"),
     )
+
+
+def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
+    """`df` with one row of each component, that with its smallest id; rows with empty sets all stay.
+
+    Rows are told apart by id and text. Texts are shuffled only for rows that go and for rows that
+    repeat in both.
+    """
+    named = cut(assigned(df, id_col, text_col, percent))
+    key = lambda i, v: F.concat_ws(":", F.coalesce(i.cast("string"), F.lit("null")), v.cast("string"))
+    rows = named.where("label is not null").select(
+        "label", F.col("id").isNull().alias("unnamed"), "id", key(F.col("id"), F.col("version")).alias("_key")
+    )
+    first = rows.groupBy("label").agg(F.min(F.struct("unnamed", "id", "_key")).alias("first"))
+    others = rows.join(first, "label").groupBy("_key").agg(
+        F.count(F.lit(1)).alias("times"), F.first(F.col("first._key")).alias("first_key")
+    )
+    touched = others.where("first_key <> _key or times > 1").select("_key", (F.col("first_key") == F.col("_key")).alias("_stays"))
+    touched = cut(touched)
+    words = bitmap.build(touched.select(F.xxhash64("_key").alias("h")), "h")
+    shared = df.sparkSession.sparkContext.broadcast(words)
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    keyed = df.withColumn("_row_key", key(F.col(id_col), F.xxhash64(text)))
+    inside = bitmap.possible(shared, F.xxhash64("_row_key"))
+    joined = keyed.where(inside).join(touched, F.col("_row_key") == F.col("_key"), "left")
+    once = joined.where("_stays").dropDuplicates(["_row_key"])
+    kept = joined.where("_key is null").unionByName(once)
+    return keyed.where(~inside).select(*df.columns).unionByName(kept.select(*df.columns))

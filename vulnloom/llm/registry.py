@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
-from vulnloom.llm.queries import QUERIES
+import corpus_pipeline
+from vulnloom.llm.oracles import ORACLES as ORACLES
+from vulnloom.llm.queries import QUERIES as OPERATORS
 
-ORACLES: dict[str, str] = {}
+QUERIES = {**OPERATORS, "pipeline": corpus_pipeline.run}

@@ -78,6 +78,11 @@ def _any(text: Column, parts: list[str]) -> Column:
     return reduce(lambda a, b: a | b, (F.contains(text, F.lit(p)) for p in parts))
 
 
+def _assigns(text: Column) -> Column:
+    """A cheap test that every text with an assignment passes."""
+    return _any(F.lower(text), HINTS) & (F.contains(text, F.lit("=")) | F.contains(text, F.lit(":")))
+
+
 def candidates(df: DataFrame, id_col: str, text_col: str, owner_col: str, repo_col: str) -> DataFrame:
     """(id, version, owner, repo, spans) of each row; `version` is the digest of the text."""
     rows = df.select(
@@ -87,9 +92,8 @@ def candidates(df: DataFrame, id_col: str, text_col: str, owner_col: str, repo_c
         F.col(repo_col).cast("string").alias("repo"),
     )
     text = F.col("text")
-    assigns = _any(F.lower(text), HINTS) & (F.contains(text, F.lit("=")) | F.contains(text, F.lit(":")))
     by_kind = [
-        _located(text, ASSIGN, 0, 2, 6, assigns),
+        _located(text, ASSIGN, 0, 2, 6, _assigns(text)),
         _located(text, ACCESS, 1, 0, 20, F.contains(text, F.lit("AKIA"))),
         _located(text, HEX, 2, 0, 24, text.rlike(HEX)),
         _located(text, OPAQUE, 3, 0, 32, text.rlike(OPAQUE)),
@@ -191,10 +195,20 @@ def report(scanned: DataFrame, id_col: str = "doc_id") -> DataFrame:
     )
 
 
+def _may_hold(text: Column) -> Column:
+    """True for every text with a candidate."""
+    return (
+        (_assigns(text) & text.rlike(ASSIGN))
+        | F.contains(text, F.lit("AKIA"))
+        | text.rlike(HEX)
+        | text.rlike(OPAQUE)
+    )
+
+
 def redact(df: DataFrame, scanned: DataFrame, id_col: str, text_col: str, mask: str = "[REDACTED]") -> DataFrame:
     """`df` with every live span of a text replaced by `mask`; copied examples stay.
 
-    Only texts that contain something live are joined with their spans; all others pass through.
+    Only texts with candidates are joined with their spans; all others pass through unshuffled.
     """
     live = scanned.select(
         F.col("id").alias("_id"),
@@ -203,7 +217,8 @@ def redact(df: DataFrame, scanned: DataFrame, id_col: str, text_col: str, mask:
     )
     live = live.where(F.size("_spans") > 0).dropDuplicates(["_id", "_version"])
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    named = df.withColumn("_version_of", F.sha2(text, 256))
+    may_hold = _may_hold(text)
+    named = df.where(may_hold).withColumn("_version_of", F.sha2(text, 256))
     joined = named.join(
         live, named[id_col].eqNullSafe(F.col("_id")) & (F.col("_version_of") == F.col("_version")), "left"
     )
@@ -221,4 +236,5 @@ def redact(df: DataFrame, scanned: DataFrame, id_col: str, text_col: str, mask:
         lambda w: F.concat(w["out"], F.substring(F.col(text_col), w["at"].cast("int") + 1, F.length(F.col(text_col)))),
     )[0]
     redacted = F.when(F.col("_spans").isNull(), F.col(text_col)).otherwise(walked)
-    return joined.select(*[redacted.alias(c) if c == text_col else named[c] for c in df.columns])
+    changed = joined.select(*[redacted.alias(c) if c == text_col else named[c] for c in df.columns])
+    return df.where(~may_hold).unionByName(changed)

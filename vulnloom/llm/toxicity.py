@@ -22,9 +22,9 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
 
 from vulnloom.llm.common import held_out, text_chunks
 from vulnloom.llm.text_features import lowered, word_features
@@ -173,7 +173,7 @@ def fit(rows: pa.Table, counterfactual: float = COUNTERFACTUAL) -> Model:
 
 
 def score(documents: DataFrame, model: Model, text_col: str = "text", score_col: str = "score") -> DataFrame:
-    """`documents` with the score of each text as column `score_col`, which it must not have yet."""
+    """`documents` with the score of each text as column `score_col`; only texts go through Python."""
     weights = documents.sparkSession.sparkContext.broadcast(model.weights)
     bias = model.bias
 
@@ -187,14 +187,13 @@ def score(documents: DataFrame, model: Model, text_col: str = "text", score_col:
         sums = np.diff(totals[cuts], prepend=0)
         return 1 / (1 + np.exp(-np.clip(bias + sums / np.maximum(words, LEAST_WORDS), -50, 50)))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [scores(held) for _, held in text_chunks(batch, text_col)]
-            values = np.concatenate(found) if found else np.zeros(0)
-            yield pa.record_batch([*batch.columns, pa.array(values)], [*batch.schema.names, score_col])
+    @F.pandas_udf("double")
+    def of(texts: pd.Series) -> pd.Series:
+        batch = pa.record_batch([pa.array(texts, pa.string())], ["text"])
+        found = [scores(held) for _, held in text_chunks(batch, "text")]
+        return pd.Series(np.concatenate(found) if found else np.zeros(0))
 
-    schema = StructType([*documents.schema.fields, StructField(score_col, DoubleType())])
-    return documents.mapInArrow(run, schema)
+    return documents.withColumn(score_col, of(F.col(text_col).cast("string")))
 
 
 def trained(
@@ -213,3 +212,9 @@ def predictions(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id",
         "score",
         (F.col("score") >= 0.5).cast("int").alias("predicted"),
     )
+
+
+def clean(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """`documents` without those that are predicted to be toxic."""
+    scored = score(documents, trained(documents, labels, id_col, text_col), text_col, "_toxicity")
+    return scored.where("_toxicity < 0.5").drop("_toxicity")
