@@ -37,7 +37,7 @@ RANKED = (
     "ranked AS (SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY CASE risk_level WHEN 'high' THEN 0 WHEN 'medium' THEN 1 ELSE 2 END, "
     "line_count DESC, string_split(relative_path, '/')) AS rank FROM found WHERE language IS NOT NULL)"
 )
-MANIFEST = [FOUND, RANKED, "manifest AS (SELECT * FROM ranked WHERE rank <= 1000)"]
+MANIFEST = [FOUND, RANKED, "manifest AS (SELECT * FROM ranked)"]
 # Normalised paths of the changes that leave a file.
 CHANGED = (
     "changed AS (SELECT DISTINCT repo_id, regexp_replace(regexp_replace(path, '^\\./', ''), '^/', '') AS relative_path "
@@ -201,8 +201,8 @@ DANGEROUS = (
 )
 ORACLES["dangerous_calls"] = code("SELECT * FROM calls", FOUND, SOURCE_LINES, DANGEROUS)
 ORACLES["dangerous_names"] = """
-SELECT event_id, event_type || CASE WHEN event_id % 2 = 0 THEN '.eval' ELSE 'eval' END AS name, event_id % 2 = 0 AS in_python,
- false AS in_go FROM events"""
+SELECT event_id, event_type || CASE event_id % 4 WHEN 0 THEN '.eval' WHEN 1 THEN '.document.write' WHEN 2 THEN 'eval' ELSE '.innerHTML' END AS name, event_id % 4 = 0 AS in_python,
+ event_id % 4 IN (0, 1, 3) AS in_javascript FROM events"""
 ORACLES["parse_summary"] = code(
     """SELECT repo_id, m.n AS files, coalesce(d.n, 0) AS functions, coalesce(k.n, 0) AS dangerous_calls
  FROM (SELECT repo_id, count(*) AS n FROM manifest GROUP BY 1) m LEFT JOIN (SELECT repo_id, count(*) AS n FROM defined GROUP BY 1) d USING (repo_id)
@@ -560,8 +560,7 @@ PROMPT_CONTEXT = (
     "texts2 AS (SELECT repo_id, body FROM (SELECT r.repo_id, '```' || chr(10) || coalesce(string_agg(relative_path || ' (' || line_count || ' lines)' || "
     "CASE risk_level WHEN 'high' THEN ' [HIGH RISK]' WHEN 'medium' THEN ' [MED]' ELSE '' END || chr(10), '' ORDER BY rank), '') || '```' AS body "
     "FROM (SELECT DISTINCT repo_id FROM v_code) r LEFT JOIN manifest m USING (repo_id) GROUP BY 1)), "
-    "sections2 AS (SELECT repo_id, seq AS pos, 'Finding Context: ' || vuln_type || ' in ' || file_path || ':' || line_start AS heading, body FROM finding_text "
-    "WHERE vuln_type = 'sqli'), "
+    "sections2 AS (SELECT repo_id, seq AS pos, 'Finding Context: ' || vuln_type || ' in ' || file_path || ':' || line_start AS heading, body FROM finding_text), "
     "prompted AS (SELECT f.*, coalesce((SELECT min_by(s.body, s.pos) FROM sections2 s WHERE s.repo_id = f.repo_id AND contains(s.heading, f.file_path)), 'none') AS context, "
     "o.body AS overview FROM v_code_findings f LEFT JOIN texts2 o USING (repo_id))"
 )
@@ -597,16 +596,20 @@ ORACLES["review_prompt"] = code(
 LONG = "len(ls) > 200"
 SHOWN = f"CASE WHEN {LONG} THEN array_to_string(ls[greatest(line_start - 50, 0) + 1 : least(line_end + 50, len(ls))], chr(10)) ELSE content END"
 NOTE = (
-    f"CASE WHEN {LONG} THEN '(showing lines ' || (greatest(line_start - 50, 0) + 1) || '-' || least(line_end + 50, len(ls)) || ' of ' || len(ls) || "
-    "'; vulnerability is at line ' || line_start || ')' ELSE '(full file, ' || len(ls) || ' lines; vulnerability at line ' || line_start || ')' END"
+    f"CASE WHEN {LONG} THEN '[lines ' || (greatest(line_start - 50, 0) + 1) || ' to ' || least(line_end + 50, len(ls)) || ' of ' || len(ls) || "
+    "', finding at line ' || line_start || ']' ELSE '[whole file of ' || len(ls) || ' lines, finding at line ' || line_start || ']' END"
 )
 ORACLES["patch_prompt"] = code(
     f"""SELECT f.repo_id, id AS finding_id, 'patch' AS stage, {prompt(PATCH_PROMPT, "vuln_type", "file_path", "line_start", "'high'", "'because'", "'a -> b'", NOTE, SHOWN)} AS text
  FROM v_code_findings f JOIN split USING (repo_id, file_path)""",
     SPLIT, views=("v_code_findings",),
 )
+# The header and the added line of the diff; whether Python parses is left to the unit tests.
 ORACLES["patch_assembly"] = oracle(
-    ["v_code_findings"], "SELECT repo_id, id AS finding_id, 'why' AS explanation, file_path AS file FROM v_code_findings"
+    ["v_code_findings"],
+    """SELECT repo_id, id AS finding_id, 'why' AS explanation, file_path AS file,
+ '--- a/' || file_path || chr(10) || '+++ b/' || file_path AS header, true AS adds_line,
+ CASE WHEN NOT ends_with(file_path, '.py') THEN true END AS syntax_valid FROM v_code_findings""",
 )
 # A long file's reply holds the whole file and the excerpt is what it is compared with.
 ORACLES["patch_line_delta"] = code(
@@ -649,7 +652,7 @@ ORACLES["sarif_results"] = oracle(
 ORACLES["json_findings"] = oracle(
     EVENTS,
     """SELECT repo_name, part, raw_findings_count, findings, patches, lines, first_id, executive_summary FROM results JOIN (
- SELECT repo_id, (idx - 1) // 5000 AS part, count(*) AS findings, count(*) AS patches, CAST(sum(line_start) AS BIGINT) AS lines, min_by(id, idx) AS first_id
+ SELECT repo_id, 0 AS part, count(*) AS findings, count(*) AS patches, CAST(sum(line_start) AS BIGINT) AS lines, min_by(id, idx) AS first_id
  FROM confirmed GROUP BY 1, 2) USING (repo_id)""",
     *REPORTED,
 )
@@ -660,7 +663,7 @@ ORACLES["text_report"] = oracle(
  || 'Files Analyzed: ' || files_analyzed || chr(10) || 'Lines of Code: ' || format('{:,}', total_lines) || chr(10) || 'Duration: 0.0s' || chr(10) || chr(10)
  || 'Raw Findings: ' || raw_findings_count || chr(10) || 'Confirmed: ' || confirmed_count || chr(10) || 'Patches: ' || patches_count || chr(10) || chr(10)
  || 'Executive Summary:' || chr(10) || executive_summary || chr(10) || chr(10) ELSE '' END || body AS report
- FROM results JOIN (SELECT repo_id, (idx - 1) // 5000 AS part, string_agg('--- Finding ' || idx || ' ---' || chr(10) || 'Type: ' || vuln_type || chr(10)
+ FROM results JOIN (SELECT repo_id, 0 AS part, string_agg('--- Finding ' || idx || ' ---' || chr(10) || 'Type: ' || vuln_type || chr(10)
  || 'Severity: ' || severity || chr(10) || 'File: ' || file_path || ':' || line_start || chr(10) || 'Reasoning: ' || reasoning || chr(10)
  || 'Confidence: ' || CAST(round_even(final_confidence * 100, 0) AS BIGINT) || '%' || chr(10), chr(10) ORDER BY idx) AS body FROM confirmed GROUP BY 1, 2) USING (repo_id)""",
     *REPORTED,
@@ -686,3 +689,43 @@ ORACLES["scan_end_to_end"] = code(
   SEMI JOIN changed USING (repo_id, relative_path) WHERE NOT {DEFAULT_EXCLUDED}) WHERE k = 1 GROUP BY 1) s USING (repo_id)""",
     *MANIFEST, CHANGED, RULE_HITS, SECRET_HITS, views=("v_changed",),
 )
+
+# ---- Limits, retries, odd input ---------------------------------------------
+
+ORACLES["manifest_limit_counts"] = code(
+    """SELECT f.repo_id, coalesce(m.n, 0) AS source_files, least(coalesce(m.n, 0), 7) AS files_included, greatest(coalesce(m.n, 0) - 7, 0) AS files_over_limit
+ FROM (SELECT DISTINCT repo_id FROM found) f LEFT JOIN (SELECT repo_id, count(*) AS n FROM manifest GROUP BY 1) m USING (repo_id)""",
+    *MANIFEST,
+)
+# Every call failed once before and once after its reply, which changes nothing.
+ORACLES["retried_analysis"] = ORACLES["analysis_verdict"]
+ORACLES["retried_review"] = ORACLES["status_counts"]
+ORACLES["json_lenient"] = """
+SELECT event_id, event_type AS severity, CASE event_id % 3 WHEN 0 THEN 'NaN' WHEN 1 THEN 'Infinity' ELSE '-Infinity' END AS cvss,
+ 'NaN, "-Infinity' AS note FROM events"""
+ORACLES["scan_result_detection_only"] = oracle(
+    ["v_event_findings"],
+    """SELECT repo_id, count(DISTINCT file_path) AS files_analyzed, count(*) AS raw_findings_count, 0 AS confirmed_count, 0 AS patches_count,
+ '' AS vuln_types, '' AS executive_summary, 'detect' AS last_stage FROM v_event_findings GROUP BY 1
+ UNION ALL SELECT 'none', 0, 0, 0, 0, '', '', 'detect'""",
+)
+ORACLES["scan_result_summaries"] = oracle(
+    EVENTS,
+    """SELECT repo_id, confirmed_count, CASE WHEN confirmed_count = 0 OR repo_id = 'r1' THEN '' WHEN repo_id = 'r2' THEN '' ELSE 'All about ' || repo_id END
+ AS executive_summary FROM results""",
+    *REPORTED,
+)
+_N = "CAST(substr(repo_id, 4) AS INT)"
+ORACLES["repo_config_filter"] = oracle(
+    ["v_code_findings"],
+    f"""SELECT repo_id, id FROM (SELECT *, file_path AS relative_path FROM v_code_findings)
+ WHERE CASE {_N} % 3 WHEN 0 THEN vuln_type <> 'sqli' AND NOT {DEFAULT_EXCLUDED}
+  WHEN 1 THEN NOT starts_with(relative_path, 'src/') ELSE NOT {DEFAULT_EXCLUDED} END""",
+)
+ORACLES["config_rejects"] = oracle(
+    ["v_files"],
+    f"SELECT DISTINCT repo_id, '.vulnloom.yml' AS path, 'config' AS stage, true AS explained FROM v_files WHERE {_N} % 3 = 2",
+)
+ORACLES["json_finding_rows"] = oracle(
+    EVENTS, "SELECT repo_id, seq, id, severity, vuln_type, '+try 2' AS diff FROM confirmed", *REVIEWED, CONFIRMED
+)

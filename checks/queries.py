@@ -17,6 +17,7 @@ from vulnloom.operators import (
     findings,
     manifest,
     patches,
+    repo_config,
     report,
     rules,
     scope,
@@ -199,12 +200,13 @@ def dangerous_calls(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def dangerous_names(spark: SparkSession, sf: str) -> DataFrame:
+    endings = [".eval", ".document.write", "eval", ".innerHTML"]
     names = table(spark, sf, "events").select(
         "event_id",
-        F.concat("event_type", F.when(F.col("event_id") % 2 == 0, ".eval").otherwise("eval")).alias("name"),
+        F.concat("event_type", F.element_at(F.array(*map(F.lit, endings)), (F.col("event_id") % 4 + 1).cast("int"))).alias("name"),
     )
-    python, script = (structure.is_dangerous_name(F.col("name"), F.lit(x)) for x in ("python", "go"))
-    return names.select("event_id", "name", python.alias("in_python"), script.alias("in_go"))
+    python, script = (structure.is_dangerous_name(F.col("name"), F.lit(x)) for x in ("python", "javascript"))
+    return names.select("event_id", "name", python.alias("in_python"), script.alias("in_javascript"))
 
 
 @query
@@ -540,7 +542,7 @@ def document_digest(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]
     )
     none = structure.functions(structure.source_files(files)).filter(F.lit(False))
     sections = digest.structure_sections(files, manifest.manifest(files)).unionByName(
-        digest.finding_sections(found.filter(F.col("vuln_type") == "sqli"), files, none)
+        digest.finding_sections(found, files, none)
     )
     return found, sections
 
@@ -586,7 +588,13 @@ def patch_rows(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def patch_assembly(spark: SparkSession, sf: str) -> DataFrame:
-    return patch_rows(spark, sf).select("repo_id", "finding_id", "explanation", F.element_at("files_modified", 1).alias("file"))
+    file = F.element_at("files_modified", 1)
+    return patch_rows(spark, sf).select(
+        "repo_id", "finding_id", "explanation", file.alias("file"),
+        F.substring_index("diff", "\n", 2).alias("header"),
+        F.contains("diff", F.lit("\n+patched\n")).alias("adds_line"),
+        F.when(~F.endswith(file, F.lit(".py")), F.col("syntax_valid")).alias("syntax_valid"),
+    )
 
 
 @query
@@ -618,7 +626,7 @@ def results(spark: SparkSession, sf: str, rows: DataFrame) -> DataFrame:
     summary = found.groupBy("repo_id").agg(
         F.countDistinct("file_path").alias("files_included"), F.sum("line_start").alias("total_lines")
     )
-    return report.scan_results(repos(spark, sf), summary, found, rows, report.latest_patches(event_patches(spark, sf)))
+    return report.scan_results(repos(spark, sf), summary, found, rows, event_patches(spark, sf))
 
 
 @query
@@ -723,3 +731,107 @@ def scan_end_to_end(spark: SparkSession, sf: str) -> DataFrame:
     found = scan.detect(code(spark, sf), RuleConfig(), view(spark, sf, "v_changed"))
     by_type = found.findings.groupBy("repo_id").pivot("vuln_type", ["sqli", "hardcoded_secret", "xss"]).count()
     return found.summary.select("repo_id", "files_included", "total_lines").join(by_type, "repo_id", "left").na.fill(0)
+
+
+# ---- Limits, retries, odd input ---------------------------------------------
+
+
+@query
+def manifest_limit_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """What a limit of seven files per repository leaves out."""
+    files = code(spark, sf)
+    return manifest.limit_counts(files, manifest.manifest(files, max_files=7))
+
+
+def retried(spark: SparkSession, sf: str) -> DataFrame:
+    """Every reply with a failed call of the same finding before and after it."""
+    rows = view(spark, sf, "v_responses")
+    failed = rows.withColumns({"success": F.lit(False), "content": F.lit("overloaded")})
+    return failed.unionByName(rows).unionByName(failed)
+
+
+@query
+def retried_analysis(spark: SparkSession, sf: str) -> DataFrame:
+    return verdicts.analyzed(view(spark, sf, "v_event_findings"), retried(spark, sf)).select(
+        "id", "outcome", "severity", F.round("cvss_estimate", 6).alias("cvss_estimate"), "reasoning", "taint_chain",
+        "exploitability", "blast_radius", report.reachability(F.col("is_reachable")).alias("reachable"),
+    )
+
+
+@query
+def retried_review(spark: SparkSession, sf: str) -> DataFrame:
+    return verdicts.status_counts(verdicts.apply_reviews(enriched(spark, sf), retried(spark, sf)))
+
+
+@query
+def json_lenient(spark: SparkSession, sf: str) -> DataFrame:
+    """Replies that repeat a member and hold numbers that JSON has no word for."""
+    replies.lenient(spark)
+    odd = F.element_at(F.array(F.lit("NaN"), F.lit("Infinity"), F.lit("-Infinity")), (F.col("event_id") % 3 + 1).cast("int"))
+    content = F.concat(
+        F.lit('Sure: {"severity": "low", "severity": "'), "event_type", F.lit('", "cvss": '), odd, F.lit(', "note": "NaN, \\"-Infinity"}')
+    )
+    rows = table(spark, sf, "events").select("event_id", F.explode(F.array(replies.extract_json(content))).alias("found"))
+    return rows.select("event_id", *[replies.text_field(F.col("found"), n, None).alias(n) for n in ("severity", "cvss", "note")])
+
+
+@query
+def scan_result_detection_only(spark: SparkSession, sf: str) -> DataFrame:
+    """Results without verdicts, one repository without anything."""
+    found = view(spark, sf, "v_event_findings")
+    summary = found.groupBy("repo_id").agg(F.countDistinct("file_path").alias("files_included"), F.sum("line_start").alias("total_lines"))
+    known = repos(spark, sf)
+    known = known.unionByName(known.limit(1).withColumn("repo_id", F.lit("none")))
+    return report.scan_results(known, summary, found).select(
+        "repo_id", "files_analyzed", "raw_findings_count", "confirmed_count", "patches_count",
+        F.array_join("vuln_types", ",").alias("vuln_types"), "executive_summary", "last_stage",
+    )
+
+
+@query
+def scan_result_summaries(spark: SparkSession, sf: str) -> DataFrame:
+    """Executive summaries from replies: r1 has none, r2 a failed one."""
+    found, rows = view(spark, sf, "v_event_findings"), confirmed(spark, sf)
+    asked = repos(spark, sf).filter("repo_id <> 'r1'").select(
+        "repo_id", F.lit(None).cast("string").alias("finding_id"), F.lit("summary").alias("stage"),
+        (F.col("repo_id") != "r2").alias("success"), F.concat(F.lit("All about "), "repo_id").alias("content"),
+    )
+    again = asked.withColumns({"success": F.lit(False), "content": F.lit("")})
+    summary = found.groupBy("repo_id").agg(F.countDistinct("file_path").alias("files_included"), F.sum("line_start").alias("total_lines"))
+    results = report.scan_results(repos(spark, sf), summary, found, rows, responses=asked.unionByName(again))
+    return results.select("repo_id", "confirmed_count", "executive_summary")
+
+
+def config_files(spark: SparkSession, sf: str) -> DataFrame:
+    """A configuration per repository: one that turns a check off and names a day that does not exist, one with its own
+    exclusions, one that is no YAML."""
+    n = F.substring("repo_id", 4, 10).cast("int") % 3
+    text = (
+        F.when(n == 0, "checks: {sqli: false}\nsince: 2024-13-45\n")
+        .when(n == 1, "exclude: {paths: [src/], patterns: []}\n")
+        .otherwise("checks: [\n")
+    )
+    return view(spark, sf, "v_files").select("repo_id").distinct().select(
+        "repo_id", F.lit(".vulnloom.yml").alias("relative_path"), text.alias("content")
+    )
+
+
+@query
+def repo_config_filter(spark: SparkSession, sf: str) -> DataFrame:
+    configs = repo_config.repo_configs(config_files(spark, sf))
+    return repo_config.filter_findings(view(spark, sf, "v_code_findings"), configs, RuleConfig()).select("repo_id", "id")
+
+
+@query
+def config_rejects(spark: SparkSession, sf: str) -> DataFrame:
+    rows = repo_config.config_rejects(config_files(spark, sf))
+    return rows.select("repo_id", "path", "stage", (F.col("reason") != "").alias("explained"))
+
+
+@query
+def json_finding_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """The product behind the JSON documents: a row per confirmed finding."""
+    rows = report.json_rows(confirmed(spark, sf), event_patches(spark, sf))
+    found = F.from_json("finding", "enriched struct<raw:struct<id:string,vuln_type:string>,severity:string>")
+    rows = rows.select("repo_id", "seq", F.explode(F.array(found)).alias("f"), F.get_json_object("patch", "$.diff").alias("diff"))
+    return rows.select("repo_id", "seq", F.col("f.enriched.raw.id").alias("id"), F.col("f.enriched.severity").alias("severity"), F.col("f.enriched.raw.vuln_type").alias("vuln_type"), "diff")

@@ -183,9 +183,9 @@ def test_patches(spark, files):
     assert deltas == {"0": (1, 1), "1": (1, 1)}
     ready = confirmed.withColumns({"severity": F.lit("high"), "reasoning": F.lit("why"), "taint_chain": F.lit(""), "code_snippet": F.lit("snip")})
     prompts = {r.finding_id: r.text for r in patches.patch_prompts(ready, table).collect()}
-    assert "(showing lines 101-200 of 300; vulnerability is at line 150)" in prompts["1"] and excerpt in prompts["1"]
-    assert "(full file, 2 lines; vulnerability at line 1)" in prompts["0"] and "Taint chain: N/A" in prompts["0"]
-    assert "(full file, 1 lines; vulnerability at line 1)" in prompts["6"] and "snip" in prompts["6"]
+    assert "[lines 101 to 200 of 300, finding at line 150]" in prompts["1"] and excerpt in prompts["1"]
+    assert "[whole file of 2 lines, finding at line 1]" in prompts["0"] and "Taint chain: N/A" in prompts["0"]
+    assert "[whole file of 1 lines, finding at line 1]" in prompts["6"] and "snip" in prompts["6"]
 
 
 @pytest.fixture
@@ -335,8 +335,8 @@ def test_whole_scan_from_a_tree(spark, tmp_path):
     assert {(r.repo_id, r.confirmed_count, r.patches_count) for r in judged.results.collect()} == {("one", 1, 1), ("two", 0, 0)}
     out = str(tmp_path / "out")
     sinks.write_reports(report.sarif_reports(judged.results, judged.confirmed, judged.patches), out)
-    logs = spark.read.option("wholetext", True).text(out + "/repo_id=one").collect()
-    assert len(json.loads(logs[0].value)["runs"][0]["results"]) == 1
+    logs = spark.read.json(out).filter("repo_id = 'one'").collect()
+    assert len(json.loads(logs[0].report)["runs"][0]["results"]) == 1
     changed = spark.createDataFrame([("one", ".env", "M"), ("two", "web/app.js", "D")], "repo_id string, path string, change_type string")
     scoped = scan.detect(table, changed_files=changed)
     assert [(r.file_path) for r in scoped.findings.collect()] == [".env"] and scoped.manifest.count() == 0

@@ -18,6 +18,22 @@ logger = logging.getLogger(__name__)
 USER_CONFIG = ".vulnloom.yml"
 
 
+class _Loader(yaml.SafeLoader):
+    """YAML without timestamps: a date that does not exist must not end a scan."""
+
+
+_Loader.yaml_implicit_resolvers = {
+    first: [(tag, pattern) for tag, pattern in known if tag != "tag:yaml.org,2002:timestamp"]
+    for first, known in yaml.SafeLoader.yaml_implicit_resolvers.items()
+}
+# What reading a configuration can raise, whatever it holds.
+UNREADABLE = (yaml.YAMLError, ValueError, RecursionError, TypeError, OverflowError)
+
+
+def read_yaml(text: str) -> Any:
+    return yaml.load(text, Loader=_Loader)  # noqa: S506 - a safe loader
+
+
 def _flag(value: Any) -> bool:
     """Lenient boolean; anything unreadable counts as true."""
     if isinstance(value, (bool, int, float)):
@@ -28,7 +44,7 @@ def _flag(value: Any) -> bool:
 def _within(value: Any, convert: type, default: Any, low: Any, high: Any = None) -> Any:
     try:
         number = max(low, convert(value))
-    except (TypeError, ValueError):
+    except (TypeError, ValueError, OverflowError):
         return default
     return number if high is None else min(high, number)
 
@@ -81,8 +97,8 @@ class RuleConfig:
             if not candidate.exists():
                 continue
             try:
-                data = yaml.safe_load(candidate.read_text(encoding="utf-8"))
-            except (OSError, yaml.YAMLError) as error:
+                data = read_yaml(candidate.read_text(encoding="utf-8"))
+            except (OSError, *UNREADABLE) as error:
                 logger.warning("Malformed YAML config in %s: %s", candidate, error)
                 continue
             if data is None or isinstance(data, dict):

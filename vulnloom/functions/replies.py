@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, SparkSession, functions as F
 
 from vulnloom.functions.text import strip
 
@@ -10,15 +10,35 @@ FENCED_BLOCK = r"(?s)```(?:json)?\s*\n?(.*?)\n?```"
 NUMBER = r"(?i)^[+-]?(?:(?:\d+(?:\.\d*)?|\.\d+)(?:e[+-]?\d+)?|nan|inf|infinity)$"
 
 
+# A quoted text, or a number that JSON has no word for.
+UNQUOTED = r'("(?:[^"\\]|\\.)*+")|(-?(?:NaN|Infinity)\b)'
+
+
+def lenient(spark: SparkSession) -> None:
+    """Let replies repeat a member; the last one counts."""
+    spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
+
+
+def _parsed(text: Column) -> Column:
+    """Variant of a JSON text. Bare NaN and infinities are read as texts, from which numbers are read."""
+    marked = F.regexp_replace(text, UNQUOTED, "$1\u0001$2\u0001")
+    quoted = F.replace(F.replace(marked, F.lit("\u0001\u0001"), F.lit("")), F.lit("\u0001"), F.lit('"'))
+    odd = F.contains(text, F.lit("NaN")) | F.contains(text, F.lit("Infinity"))
+    return F.coalesce(F.try_parse_json(text), F.when(odd, F.try_parse_json(quoted)))
+
+
 def extract_json(text: Column) -> Column:
-    """Variant from the whole text, else the first fenced block, else first `{` to last `}`."""
+    """Variant from the whole text, else the first fenced block, else first `{` to last `}`.
+
+    Call `lenient` once in the session that runs it.
+    """
     first = F.instr(text, "{")
     last = F.length(text) - F.instr(F.reverse(text), "}") + 1
     braces = F.when((first > 0) & F.contains(text, F.lit("}")) & (last > first), F.substring(text, first, last - first + 1))
     return F.coalesce(
-        F.try_parse_json(text),
-        F.try_parse_json(F.regexp_extract(text, FENCED_BLOCK, 1)),
-        F.try_parse_json(braces),
+        _parsed(text),
+        _parsed(F.regexp_extract(text, FENCED_BLOCK, 1)),
+        _parsed(braces),
     )
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from vulnloom.config import RuleConfig
-from vulnloom.constants import MAX_SCANNED_BYTES, SNIPPET_CONTEXT_LINES
+from vulnloom.constants import SNIPPET_CONTEXT_LINES
 from vulnloom.functions import paths
 from vulnloom.functions.text import let, snippet, split_lines
 from vulnloom.operators import rules as rule_ops, secrets as secret_ops
@@ -45,16 +45,19 @@ def detect(
     rules: list[Rule] = RULES,
     secret_patterns: list[SecretPattern] = SECRET_PATTERNS,
     target_types: list[str] | None = None,
+    max_bytes: int | None = None,
 ) -> DataFrame:
     """Raw findings of the injection rules and the secret patterns.
 
-    Rules look at source files up to the scanner's size limit, secrets at text files outside
-    skipped directories that are not tests. With `config`, excluded files and disabled checks
+    Rules look at source files (up to `max_bytes`, if given; `skipped_files` names the others),
+    secrets at text files outside skipped directories that are not tests. With `config`, excluded files and disabled checks
     are left out before any content is read. Each file is read once, split into lines only if
     a cheap test says it may hold a finding, and its findings carry their context with them.
     """
     path, lang, content = F.col("relative_path"), paths.language(F.col("relative_path")), F.col("content")
-    rule_scope = lang.isNotNull() & (F.col("size_bytes") <= MAX_SCANNED_BYTES) if rules else F.lit(False)
+    rule_scope = lang.isNotNull() if rules else F.lit(False)
+    if max_bytes is not None:
+        rule_scope = rule_scope & (F.col("size_bytes") <= max_bytes)
     secret_scope = (
         (paths.in_secret_scope(path) | (lang.isNotNull() & ~paths.in_skipped_directory(path)))
         & ~paths.is_test_file(path)
@@ -107,3 +110,12 @@ def detect(
     if config is not None:
         found = found.filter(config.enabled(F.col("vuln_type")))
     return found.withColumn("id", finding_id()).select(*RAW_FINDING)
+
+
+def skipped_files(files: DataFrame, max_bytes: int) -> DataFrame:
+    """`repo_id, path, stage, reason` of the source files that `detect(max_bytes=...)` leaves out of the rules."""
+    over = paths.language(F.col("relative_path")).isNotNull() & (F.col("size_bytes") > max_bytes)
+    reason = F.format_string("larger than %d bytes", F.lit(max_bytes))
+    return files.filter(over).select(
+        "repo_id", F.col("relative_path").alias("path"), F.lit("detect").alias("stage"), reason.alias("reason")
+    )

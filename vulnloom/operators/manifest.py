@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from vulnloom.constants import MAX_FILES_PER_REPO, SINGLE_CONTEXT_TOKENS
+from vulnloom.constants import SINGLE_CONTEXT_TOKENS
 from vulnloom.functions import paths, text
-from vulnloom.operators.skew import top_n
+from vulnloom.operators.skew import cut, top_n
 
 
 def discovered(files: DataFrame) -> DataFrame:
@@ -38,9 +38,32 @@ def walk_order() -> list[Column]:
     return [paths.risk_rank(F.col("risk_level")), F.desc("line_count"), paths.parts(F.col("relative_path"))]
 
 
-def manifest(files: DataFrame, max_files: int = MAX_FILES_PER_REPO) -> DataFrame:
-    """The first `max_files` source files of each repository, with their `rank`."""
-    return top_n(measured(files), ["repo_id"], walk_order(), max_files, ["relative_path"], "rank")
+def manifest(files: DataFrame, max_files: int | None = None) -> DataFrame:
+    """All source files of each repository with their `rank`, or the first `max_files`.
+
+    Contents are read once; what is written down and ranked is a narrow row per file. Files of one
+    risk and length are ranked among themselves and get the number of files before them added, so
+    no task orders all files of a large repository.
+    """
+    if max_files is not None:
+        return top_n(measured(files), ["repo_id"], walk_order(), max_files, ["relative_path"], "rank")
+    rows = cut(measured(files))
+    group = ["repo_id", "risk_level", "line_count"]
+    sizes = rows.groupBy(*group).agg(F.count("*").alias("_size"))
+    order = [paths.risk_rank(F.col("risk_level")), F.desc("line_count")]
+    earlier = Window.partitionBy("repo_id").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    before = sizes.select(*group, F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_before"))
+    within = F.row_number().over(Window.partitionBy(*group).orderBy(paths.parts(F.col("relative_path"))))
+    ranked = rows.withColumn("_within", within).join(before, group)
+    return ranked.withColumn("rank", (F.col("_before") + F.col("_within")).cast("int")).select(*rows.columns, "rank")
+
+
+def limit_counts(files: DataFrame, manifest_files: DataFrame) -> DataFrame:
+    """`repo_id, source_files, files_included, files_over_limit`: what a limit on files has cut."""
+    counts = discovered(files).groupBy("repo_id").agg(F.count("language").alias("source_files"))
+    included = manifest_files.groupBy("repo_id").agg(F.count("*").alias("files_included"))
+    joined = counts.join(included, "repo_id", "left").na.fill(0)
+    return joined.withColumn("files_over_limit", F.col("source_files") - F.col("files_included"))
 
 
 def files_at_risk(manifest_files: DataFrame, level: str) -> DataFrame:

@@ -13,6 +13,7 @@ from vulnloom import constants as c
 from vulnloom.functions import replies
 from vulnloom.functions.text import let, split_lines
 from vulnloom.operators.findings import LINES_PER_LOOKUP
+from vulnloom.operators.skew import cut
 from vulnloom.operators.verdicts import stage_replies
 
 PATCH_PROMPT = """\
@@ -70,11 +71,11 @@ def patch_prompts(confirmed: DataFrame, files: DataFrame) -> DataFrame:
     note = F.when(
         F.col("total_lines") > c.SHORT_FILE_LINES,
         F.format_string(
-            "(showing lines %d-%d of %d; vulnerability is at line %d)",
+            "[lines %d to %d of %d, finding at line %d]",
             F.col("first_line"), F.col("last_line"), F.col("total_lines"), F.col("line_start"),
         ),
     ).otherwise(
-        F.format_string("(full file, %d lines; vulnerability at line %d)", F.coalesce("total_lines", snippet_lines), F.col("line_start"))
+        F.format_string("[whole file of %d lines, finding at line %d]", F.coalesce("total_lines", snippet_lines), F.col("line_start"))
     )
     text = F.format_string(
         PATCH_PROMPT, F.col("vuln_type"), F.col("file_path"), F.col("line_start"), F.col("severity"), F.col("reasoning"),
@@ -128,6 +129,7 @@ def assemble_patches(confirmed: DataFrame, responses: DataFrame, files: DataFram
     fixed = confirmed.join(answers.filter(F.col("fixed_code") != ""), ["repo_id", "id"]).select(
         *span, F.col("id").alias("finding_id"), "seq", "fixed_code", "explanation"
     )
+    fixed = cut(fixed)  # read twice below: for the places and for the texts
     texts = fixed.join(original_code(fixed, files), span).select(
         "repo_id", "finding_id", "file_path", "seq", "original", "fixed_code", "explanation"
     )

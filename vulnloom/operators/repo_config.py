@@ -5,10 +5,9 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-import yaml
 from pyspark.sql import Column, DataFrame, functions as F
 
-from vulnloom.config import USER_CONFIG, RuleConfig
+from vulnloom.config import UNREADABLE, USER_CONFIG, RuleConfig, read_yaml
 from vulnloom.constants import SEVERITY_RANK
 from vulnloom.functions.paths import file_name, glob_regex, normalize_path, normalized
 from vulnloom.functions.text import let
@@ -27,26 +26,44 @@ def compiled(config: RuleConfig) -> tuple[list[str], list[str], str | None, int]
     )
 
 
-def repo_configs(files: DataFrame) -> DataFrame:
-    """`repo_id, config` of the repositories with a readable configuration file at their root."""
+def read_configs(files: DataFrame) -> DataFrame:
+    """`repo_id, config, reason` of the repositories with a configuration file at their root.
+
+    `reason` is null where the file could be read, else `config` is empty.
+    """
     texts = files.filter(F.col("relative_path") == USER_CONFIG).select("repo_id", "content")
-    rows = texts.mapInPandas(_reader(), f"repo_id string, {CONFIG}")
-    return rows.select("repo_id", F.struct(*[c.split()[0] for c in CONFIG.split(", ")]).alias("config"))
+    rows = texts.mapInPandas(_reader(), f"repo_id string, {CONFIG}, reason string")
+    config = F.struct(*[c.split()[0] for c in CONFIG.split(", ")])
+    return rows.select("repo_id", F.when(F.col("reason").isNull(), config).alias("config"), "reason")
+
+
+def repo_configs(files: DataFrame) -> DataFrame:
+    """`repo_id, config` of the repositories with a readable configuration file."""
+    return read_configs(files).filter("reason is null").select("repo_id", "config")
+
+
+def config_rejects(files: DataFrame) -> DataFrame:
+    """`repo_id, path, stage, reason` of the configuration files that cannot be read."""
+    bad = read_configs(files).filter("reason is not null")
+    return bad.select("repo_id", F.lit(USER_CONFIG).alias("path"), F.lit("config").alias("stage"), "reason")
 
 
 def _reader():
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        columns = ["repo_id", *[c.split()[0] for c in CONFIG.split(", ")]]
+        columns = ["repo_id", *[c.split()[0] for c in CONFIG.split(", ")], "reason"]
         for batch in batches:
             rows = []
             for repo_id, content in zip(batch["repo_id"], batch["content"], strict=True):
                 try:
-                    data = yaml.safe_load(content)
-                except yaml.YAMLError:
-                    continue
-                if data is None or isinstance(data, dict):
-                    rows.append((repo_id, *compiled(RuleConfig.from_dict(data or {}))))
-            yield pd.DataFrame(rows, columns=columns)
+                    data = read_yaml(content or "")
+                    if data is not None and not isinstance(data, dict):
+                        raise ValueError("not a mapping")
+                    rows.append((repo_id, *compiled(RuleConfig.from_dict(data or {})), None))
+                except UNREADABLE as error:
+                    rows.append((repo_id, None, None, None, None, f"{type(error).__name__}: {error}"[:200]))
+            out = pd.DataFrame(rows, columns=columns)
+            out["min_rank"] = out["min_rank"].astype("Int32")
+            yield out
 
     return read
 
@@ -73,6 +90,18 @@ def excluded(path: Column, config: Column) -> Column:
     return let(normalize_path(path), by_path)
 
 
+def not_excluded(files: DataFrame, configs: DataFrame, default: RuleConfig) -> DataFrame:
+    """Files that their own repository's configuration keeps; only paths are looked at.
+
+    `configs` has a row for each repository with a file of its own, and is sent to all tasks; the
+    caller has checked its size.
+    """
+    joined = files.join(F.broadcast(configs), "repo_id", "left")
+    path = F.col("relative_path")
+    out = F.when(F.col("config").isNull(), default.excludes(path)).otherwise(excluded(path, F.col("config")))
+    return joined.filter(~out).select(*files.columns)
+
+
 def filter_findings(findings: DataFrame, configs: DataFrame, default: RuleConfig) -> DataFrame:
     """Findings that their own repository's configuration keeps."""
     keyed = with_config(findings, configs, default, ["file_path", "line_start"])

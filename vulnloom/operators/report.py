@@ -1,7 +1,8 @@
 """Per-repository results: counts, SARIF, JSON and text.
 
-A repository's report is written in parts of a bounded number of findings, numbered in finding
-order. All but the largest repositories have the single part 0, which is then the whole report.
+The product is rows: `json_rows` and `sarif_rows` have one row per finding, whatever the size of a
+repository. `json_reports`, `sarif_reports` and `text_reports` assemble one document per repository;
+with `findings_per_part` they make documents of at most so many findings, for any size alike.
 """
 
 from __future__ import annotations
@@ -12,7 +13,9 @@ from vulnloom import constants as c
 from vulnloom.functions.paths import relative_uri
 from vulnloom.operators.skew import number_rows
 
-FINDINGS_PER_PART = 5000
+SUMMARY_PROMPT = """\
+Sum up the security audit of repository "%s" for its owners in two or three sentences of plain
+text. Confirmed findings: %d. Kinds: %s. Severities: %s."""
 SHOW_NULLS = {"ignoreNullFields": "false"}
 
 
@@ -60,11 +63,26 @@ def reachability(is_reachable: Column) -> Column:
 
 
 def executive_summary(confirmed: Column, repo_name: Column) -> Column:
+    text = F.format_string(c.TOOL_NAME + c.SUMMARY_SENTENCE, confirmed, repo_name)
+    return F.when(confirmed > 0, text).otherwise("")
+
+
+def summary_prompts(results: DataFrame) -> DataFrame:
+    """`repo_id, finding_id, stage, text` for each repository with confirmed findings."""
     text = F.format_string(
-        c.TOOL_NAME + " identified %d confirmed vulnerabilities in %s. Manual review and remediation is recommended.",
-        confirmed, repo_name,
+        SUMMARY_PROMPT, F.col("repo_name"), F.col("confirmed_count"),
+        F.array_join("vuln_types", ", "), F.array_join("severities", ", "),
     )
-    return F.when(confirmed > 0, text).otherwise("")
+    return results.filter(F.col("confirmed_count") > 0).select(
+        "repo_id", F.lit(None).cast("string").alias("finding_id"), F.lit("summary").alias("stage"), text.alias("text")
+    )
+
+
+def _summary_replies(responses: DataFrame) -> DataFrame:
+    """`repo_id, _summary`: the text of the reply that counts, empty if all calls failed."""
+    order = ["success", *(["attempt"] if "attempt" in responses.columns else []), "content"]
+    last = responses.filter(F.col("stage") == "summary").groupBy("repo_id").agg(F.max(F.struct(*order)).alias("r"))
+    return last.select("repo_id", F.when(F.col("r.success"), F.col("r.content")).alias("_summary"))
 
 
 def scan_results(
@@ -74,11 +92,13 @@ def scan_results(
     confirmed: DataFrame | None = None,
     patches: DataFrame | None = None,
     duration_seconds: float = 0.0,
+    responses: DataFrame | None = None,
 ) -> DataFrame:
-    """One row per repository: metadata, counts and summary sentence.
+    """One row per repository: metadata, counts and executive summary.
 
     Without `confirmed` the scan was detection-only. `repos` has `repo_id, repo_name, repo_url,
-    branch, commit_hash, scan_timestamp`.
+    branch, commit_hash, scan_timestamp`. The summary is the reply of stage `summary` in
+    `responses`, empty where there is none; without `responses` it is a fixed sentence.
     """
     out = repos.join(
         summary.select("repo_id", F.col("files_included").alias("files_analyzed"), "total_lines"), "repo_id", "left"
@@ -102,7 +122,7 @@ def scan_results(
             | {n: empty for n in ("vuln_types", "severities")}
         )
     if patches is not None:
-        out = out.join(patches.groupBy("repo_id").agg(F.count("*").alias("patches_count")), "repo_id", "left")
+        out = out.join(latest_patches(patches).groupBy("repo_id").agg(F.count("*").alias("patches_count")), "repo_id", "left")
     else:
         out = out.withColumn("patches_count", F.lit(0).cast("bigint"))
     counts = [
@@ -110,15 +130,19 @@ def scan_results(
         "patches_count",
     ]
     out = out.na.fill(0, counts)
+    summary = executive_summary(F.col("confirmed_count"), F.col("repo_name"))
+    if responses is not None:
+        out = out.join(_summary_replies(responses), "repo_id", "left")
+        summary = F.when(F.col("confirmed_count") > 0, F.coalesce("_summary", F.lit(""))).otherwise("")
     return out.withColumns(
         {
             "vuln_types": F.coalesce("vuln_types", empty),
             "severities": F.coalesce("severities", empty),
-            "executive_summary": executive_summary(F.col("confirmed_count"), F.col("repo_name")),
+            "executive_summary": summary,
             "scan_duration_seconds": F.lit(float(duration_seconds)),
             "last_stage": F.when(F.col("raw_findings_count") == 0, "detect").otherwise(stage),
         }
-    )
+    ).drop("_summary")
 
 
 def latest_patches(patches: DataFrame) -> DataFrame:
@@ -132,10 +156,33 @@ def _patch_struct() -> Column:
     return F.struct("finding_id", "diff", "explanation", "syntax_valid", "files_modified")
 
 
-def parted(confirmed: DataFrame, findings_per_part: int = FINDINGS_PER_PART) -> DataFrame:
+def parted(confirmed: DataFrame, findings_per_part: int | None = None) -> DataFrame:
     """Confirmed findings with `index` from 1 in finding order and the `part` they belong to."""
     numbered = number_rows(confirmed, ["repo_id"], ["seq"], "index")
-    return numbered.withColumn("part", F.floor((F.col("index") - 1) / findings_per_part).cast("int"))
+    part = F.lit(0) if findings_per_part is None else F.floor((F.col("index") - 1) / findings_per_part)
+    return numbered.withColumn("part", part.cast("int"))
+
+
+def _patches_by_finding(patches: DataFrame) -> DataFrame:
+    return latest_patches(patches).select(
+        "repo_id", F.col("finding_id").alias("id"), F.to_json(_patch_struct(), SHOW_NULLS).alias("patch")
+    )
+
+
+def json_rows(confirmed: DataFrame, patches: DataFrame) -> DataFrame:
+    """`repo_id, seq, finding, patch`: a confirmed finding and its patch as JSON, a row each."""
+    rows = confirmed.join(_patches_by_finding(patches), ["repo_id", "id"], "left")
+    return rows.select("repo_id", "seq", finding_json().alias("finding"), "patch")
+
+
+def sarif_rows(confirmed: DataFrame, patches: DataFrame) -> DataFrame:
+    """`repo_id, kind, seq, json`: the rules and results of SARIF logs, a row each."""
+    rows = confirmed.join(_patches_by_finding(patches), ["repo_id", "id"], "left")
+    found = rows.select("repo_id", F.lit("result").alias("kind"), "seq", _sarif_result_json().alias("json"))
+    rules = sarif_rules(confirmed)
+    return found.unionByName(
+        rules.select("repo_id", F.lit("rule").alias("kind"), F.col("first_seq").alias("seq"), _sarif_rule_json().alias("json"))
+    )
 
 
 def _part_lists(rows: DataFrame, values: dict[str, Column], separator: str) -> DataFrame:
@@ -169,13 +216,10 @@ def finding_json() -> Column:
 
 
 def json_reports(
-    results: DataFrame, confirmed: DataFrame, patches: DataFrame, findings_per_part: int = FINDINGS_PER_PART
+    results: DataFrame, confirmed: DataFrame, patches: DataFrame, findings_per_part: int | None = None
 ) -> DataFrame:
     """`repo_id, part, report`: result, its findings and their patches as one JSON text."""
-    by_finding = latest_patches(patches).select(
-        "repo_id", F.col("finding_id").alias("id"), F.to_json(_patch_struct(), SHOW_NULLS).alias("patch")
-    )
-    rows = parted(confirmed, findings_per_part).join(by_finding, ["repo_id", "id"], "left")
+    rows = parted(confirmed, findings_per_part).join(_patches_by_finding(patches), ["repo_id", "id"], "left")
     parts = _part_lists(rows, {"findings": finding_json(), "patches": F.col("patch")}, ",")
     head = F.to_json(
         F.struct(
@@ -276,13 +320,10 @@ def _sarif_result_json() -> Column:
 
 
 def sarif_reports(
-    results: DataFrame, confirmed: DataFrame, patches: DataFrame, findings_per_part: int = FINDINGS_PER_PART
+    results: DataFrame, confirmed: DataFrame, patches: DataFrame, findings_per_part: int | None = None
 ) -> DataFrame:
     """`repo_id, part, file_name, report`: SARIF 2.1.0 logs, every part with all rules."""
-    by_finding = latest_patches(patches).select(
-        "repo_id", F.col("finding_id").alias("id"), F.to_json(_patch_struct(), SHOW_NULLS).alias("patch")
-    )
-    rows = parted(confirmed, findings_per_part).join(by_finding, ["repo_id", "id"], "left")
+    rows = parted(confirmed, findings_per_part).join(_patches_by_finding(patches), ["repo_id", "id"], "left")
     parts = _part_lists(rows, {"findings": _sarif_result_json()}, ",")
     rules = (
         sarif_rules(confirmed)
@@ -309,7 +350,7 @@ def sarif_reports(
 
 
 def text_reports(
-    results: DataFrame, confirmed: DataFrame, findings_per_part: int = FINDINGS_PER_PART
+    results: DataFrame, confirmed: DataFrame, findings_per_part: int | None = None
 ) -> DataFrame:
     """`repo_id, part, report`: plain text, a header and one block per finding.
 

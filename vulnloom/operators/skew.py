@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-# A group up to this size is ordered by one task; a larger one is split over range slices.
-MAX_GROUP_ROWS = 1_000_000
 # A table of keys up to this size is sent to every executor; a larger one is joined otherwise.
 BROADCAST_BYTES = 64 << 20
 
@@ -19,19 +18,34 @@ def cut(df: DataFrame) -> DataFrame:
     The folder is the one the cluster names in `spark.checkpoint.dir`, which executors share, so
     a lost executor does not lose the result. A parquet copy lets later steps read only the
     columns they need and tells the optimizer how large it is. Only a local session falls back to
-    a folder of its own.
+    a folder of its own. The tables of an application share one folder until `close` removes it.
     """
-    path = f"{_checkpoint_dir(df.sparkSession).rstrip('/')}/vulnloom-{uuid.uuid4().hex}"
+    path = f"{_scratch(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _scratch(spark: SparkSession) -> str:
+    return f"{_checkpoint_dir(spark).rstrip('/')}/vulnloom-{spark.sparkContext.applicationId}"
+
+
+def close(spark: SparkSession) -> None:
+    """Remove all tables that `cut` has written for this application; call it once results are stored."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_scratch(spark))
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def _checkpoint_dir(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named:
         return named
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return _local_folder(spark.sparkContext.applicationId)
+
+
+@functools.cache
+def _local_folder(application: str) -> str:
     return tempfile.mkdtemp(prefix="vulnloom-checkpoint-")
 
 
@@ -41,27 +55,34 @@ def fits_broadcast(df: DataFrame, limit: int = BROADCAST_BYTES) -> bool:
     return (df.agg(F.sum(size.cast("bigint"))).first()[0] or 0) <= limit
 
 
+def _salts(spark: SparkSession) -> int:
+    return max(4, int(spark.conf.get("spark.sql.shuffle.partitions")) // 3)
+
+
 def salted_join(
-    many: DataFrame, few: DataFrame, on: list[str], spread_by: list[str], how: str = "inner", salts: int = 16
+    many: DataFrame, few: DataFrame, on: list[str], spread_by: list[str], how: str = "inner"
 ) -> DataFrame:
     """Join a table with hot keys to a table with few rows per key.
 
-    Each key of `many` is spread over `salts` tasks by a hash of `spread_by`; `few` is repeated
-    once per salt.
+    Each key of `many` is spread over tasks by a hash of `spread_by`; `few` is repeated once per
+    salt. There are about as many salts as tasks can be of use for one key that holds a third of
+    the rows.
     """
+    salts = _salts(many.sparkSession)
     salted = many.withColumn("_salt", F.pmod(F.xxhash64(*spread_by), F.lit(salts)).cast("int"))
     repeated = few.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return salted.join(repeated, [*on, "_salt"], how).drop("_salt")
 
 
 def top_n(
-    df: DataFrame, keys: list[str], order: list[Column], n: int, spread_by: list[str], rank: str, salts: int = 64
+    df: DataFrame, keys: list[str], order: list[Column], n: int, spread_by: list[str], rank: str
 ) -> DataFrame:
     """First `n` rows of each key with their rank from 1.
 
     Every salt of a key first keeps its own first `n`, so the task that ranks a hot key sees at
-    most `salts * n` rows whatever the size of the key.
+    most `n` rows per salt, whatever the size of the key.
     """
+    salts = _salts(df.sparkSession)
     salt = F.pmod(F.xxhash64(*spread_by), F.lit(salts)).cast("int")
     within_salt = Window.partitionBy(*keys, "_salt").orderBy(*order)
     within_key = Window.partitionBy(*keys).orderBy(*order)
@@ -75,36 +96,17 @@ def top_n(
     )
 
 
-def has_hot_key(df: DataFrame, keys: list[str], limit: int) -> bool:
-    """True if some key has more than `limit` rows."""
-    return not df.groupBy(*keys).agg(F.count("*").alias("n")).filter(F.col("n") > limit).isEmpty()
-
-
-def number_rows(
-    df: DataFrame,
-    keys: list[str],
-    order: list[str],
-    name: str,
-    running: str | None = None,
-    max_group_rows: int = MAX_GROUP_ROWS,
-) -> DataFrame:
+def number_rows(df: DataFrame, keys: list[str], order: list[str], name: str, running: str | None = None) -> DataFrame:
     """Number the rows of each key from 1 in `order`, which must be unique within the key.
 
     With `running`, also add `<running>_total`, the sum of that column up to and including the
-    row. While every key is small this is one window. Otherwise the rows are range-sorted into
-    slices, each slice is numbered on its own, and a table of slice sizes gives the offsets, so
-    no task holds more than a slice of a key.
+    row. The rows are range-sorted into slices, each slice is numbered on its own, and a table of
+    slice sizes gives the offsets, so no task holds more than a slice of a key.
     """
-    if not has_hot_key(df, keys, max_group_rows):
-        window = Window.partitionBy(*keys).orderBy(*order)
-        out = df.withColumn(name, F.row_number().over(window).cast("bigint"))
-        if running:
-            out = out.withColumn(f"{running}_total", F.sum(running).over(window.rowsBetween(Window.unboundedPreceding, 0)))
-        return out
-
     slices = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    # The slice ids are fixed by writing them down; a recomputed range sort could move a row.
-    sliced = cut(df.repartitionByRange(slices, *keys, *order).withColumn("_slice", F.spark_partition_id()))
+    # Written down first, so that finding the ranges does not repeat what led here, and the slice
+    # ids afterwards, because a recomputed range sort could move a row.
+    sliced = cut(cut(df).repartitionByRange(slices, *keys, *order).withColumn("_slice", F.spark_partition_id()))
     amount = F.col(running) if running else F.lit(0)
     sizes = sliced.groupBy(*keys, "_slice").agg(F.count("*").alias("_n"), F.sum(amount).alias("_sum"))
     earlier = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)

@@ -88,9 +88,15 @@ def stage_replies(responses: DataFrame, stage: str) -> DataFrame:
     """`repo_id, id, reply` of one stage, the JSON null when there is nothing to read.
 
     An empty object, list or text and a bare null, zero or false count as nothing. Verdicts are
-    worked out on these rows, so that only their few columns are shuffled to the findings.
+    worked out on these rows, so that only their few columns are shuffled to the findings. Of the
+    replies to a retried call one counts: a successful one, then that of the last `attempt` if
+    there is such a column.
     """
-    rows = responses.filter(F.col("stage") == stage).select("repo_id", F.col("finding_id").alias("id"), "success", "content")
+    replies.lenient(responses.sparkSession)
+    rows = responses.filter(F.col("stage") == stage).select("*", F.col("finding_id").alias("id"))
+    order = ["success", *(["attempt"] if "attempt" in responses.columns else []), "content"]
+    last = F.max(F.struct(*order)).alias("r")
+    rows = rows.groupBy("repo_id", "id").agg(last).select("repo_id", "id", "r.success", "r.content")
     rows = _evaluated(rows, "json", F.when(F.col("success"), replies.extract_json(F.col("content"))))
     rows = _evaluated(rows, "reply", F.when(~replies.falsy(F.col("json")), F.col("json")))
     return rows.select("repo_id", "id", "reply")

@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, functions as F
 
 from vulnloom.config import RuleConfig
-from vulnloom.constants import DIGEST_TOKEN_BUDGET, MAX_FILES_PER_REPO
+from vulnloom.constants import DIGEST_TOKEN_BUDGET
 from vulnloom.operators import (
     dependencies as dependency_ops,
     detection,
@@ -27,6 +27,8 @@ from vulnloom.operators import (
     verdicts,
 )
 from vulnloom.operators.skew import cut, fits_broadcast
+from vulnloom.sources import scanner
+from vulnloom.sources.files import unreadable
 
 
 @dataclass(frozen=True)
@@ -60,30 +62,39 @@ def detect(
     changed_files: DataFrame | None = None,
     scanner_findings: DataFrame | None = None,
     repo_configs: DataFrame | None = None,
-    max_files: int = MAX_FILES_PER_REPO,
+    max_files: int | None = None,
+    max_bytes: int | None = None,
 ) -> Detection:
     """Manifest, structure, dependencies and de-duplicated findings.
 
     With `changed_files` the scan is limited to the changes: the manifest after its file limit,
     the rules and the secret patterns to every changed file. `scanner_findings` are results of
     an external scanner; they come before our own. `repo_configs` (`operators.repo_config`) gives
-    repositories a configuration of their own in place of `config`.
+    repositories a configuration of their own in place of `config`. `max_files` and `max_bytes` are
+    limits on request; `operators.manifest.limit_counts` and `rejects` tell what they leave out.
     """
     config = config or RuleConfig()
-    manifest = manifest_ops.manifest(files, max_files)
+    manifest = cut(manifest_ops.manifest(files, max_files))
     summary = manifest_ops.manifest_summary(files, manifest)
     scanned, changed = files, None
     if changed_files is not None:
         changed = cut(scope.changed_paths(changed_files))
-        manifest = scope.in_diff(manifest, changed)
+        manifest = cut(scope.in_diff(manifest, changed))
         summary = manifest_ops.scoped_summary(summary, manifest)
+        if scanner_findings is not None:
+            scanner_findings = scope.in_diff(scanner_findings, changed, "file_path")
         if fits_broadcast(changed):
             # The contents are filtered where they are read.
             scanned, changed = scope.in_diff(files, F.broadcast(changed)), None
-    manifest = cut(manifest)
+    if repo_configs is not None:
+        repo_configs = cut(repo_configs)
 
     sources = structure.source_files(scanned)
-    found = detection.detect(scanned, config if repo_configs is None else None)
+    kept = scanned
+    if repo_configs is not None and fits_broadcast(repo_configs.select("repo_id")):
+        # Excluded files are left out before their contents are read.
+        kept = repo_config.not_excluded(scanned, repo_configs, config)
+    found = detection.detect(kept, config if repo_configs is None else None, max_bytes=max_bytes)
     if changed is not None:
         # Too many changes to send everywhere: rather filter the findings than shuffle contents.
         found = scope.in_diff(found, changed, "file_path")
@@ -132,5 +143,22 @@ def judge(
     validated = cut(verdicts.apply_reviews(enriched, responses, threshold))
     confirmed = verdicts.confirmed(validated)
     patches = cut(patch_ops.assemble_patches(confirmed, responses, found.files))
-    results = report.scan_results(repos, found.summary, found.findings, confirmed, patches)
+    results = report.scan_results(repos, found.summary, found.findings, confirmed, patches, responses=responses)
     return Verdicts(enriched, validated, confirmed, patches, results)
+
+
+def rejects(
+    files: DataFrame, scanner_documents: DataFrame | None = None, max_bytes: int | None = None
+) -> DataFrame:
+    """`repo_id, path, stage, reason` of all input that a scan cannot use or was told to leave out.
+
+    `files` may have the `error` column of `sources.files.read_with_errors`.
+    """
+    out = repo_config.config_rejects(files)
+    if "error" in files.columns:
+        out = out.unionByName(unreadable(files))
+    if scanner_documents is not None:
+        out = out.unionByName(scanner.scanner_rejects(scanner_documents))
+    if max_bytes is not None:
+        out = out.unionByName(detection.skipped_files(files, max_bytes))
+    return out

@@ -41,24 +41,27 @@ def _children(root: str) -> Batches:
 
 
 def _contents(root: str) -> Batches:
-    """Reads the files of each batch; an unreadable one is empty."""
+    """Reads the files of each batch. A file that is gone or closed to us gets an `error`; any other
+    failure of the store ends the task, which Spark then repeats."""
 
     def read_files(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         store, base = fs.FileSystem.from_uri(root)
+        columns = ["path", "content", "size", "error"]
         rows, held = [], 0
         for batch in batches:
             for path, size in zip(batch["path"], batch["size"], strict=True):
+                content, error = b"", None
                 try:
                     with store.open_input_stream(f"{base}/{path}", compression=None) as stream:
                         content = stream.read()
-                except OSError:
-                    content = b""
-                rows.append((path, content, size))
+                except (FileNotFoundError, PermissionError) as failure:
+                    error = f"{type(failure).__name__}: {failure}"[:200]
+                rows.append((path, content, size, error))
                 held += len(content)
                 if held >= READ_BATCH_BYTES:
-                    yield pd.DataFrame(rows, columns=["path", "content", "size"])
+                    yield pd.DataFrame(rows, columns=columns)
                     rows, held = [], 0
-        yield pd.DataFrame(rows, columns=["path", "content", "size"])
+        yield pd.DataFrame(rows, columns=columns)
 
     return read_files
 
@@ -83,20 +86,34 @@ def list_trees(spark: SparkSession, root: str) -> DataFrame:
             return reduce(DataFrame.unionByName, levels)
 
 
-def read_trees(spark: SparkSession, root: str) -> DataFrame:
-    """Files of the repositories below `root`, one folder each; the folder name is the repo_id.
+def read_with_errors(spark: SparkSession, root: str) -> DataFrame:
+    """A `files` table of the repositories below `root`, one folder each, with an `error` column.
 
-    `root` is a path or address that all executors can read. For repeated scans write the result
-    as parquet: a table lists and prunes far faster than a tree of small files.
+    The folder name is the repo_id; `root` is a path or address that all executors can read. Write
+    the result as parquet once: a table lists and prunes far faster than a tree of small files, and
+    `unreadable` then needs no second reading.
     """
     tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     listed = list_trees(spark, root).filter(F.contains("path", F.lit("/"))).repartition(tasks, "path")
-    read = listed.mapInPandas(_contents(root), "path string, content binary, size bigint")
+    read = listed.mapInPandas(_contents(root), "path string, content binary, size bigint, error string")
     return read.select(
         F.split("path", "/")[0].alias("repo_id"),
         F.regexp_replace("path", "^[^/]*/", "").alias("relative_path"),
         decode_utf8(F.col("content")).alias("content"),
         F.col("size").alias("size_bytes"),
+        "error",
+    )
+
+
+def read_trees(spark: SparkSession, root: str) -> DataFrame:
+    """The files of `read_with_errors` that could be read."""
+    return read_with_errors(spark, root).filter("error is null").drop("error")
+
+
+def unreadable(files: DataFrame) -> DataFrame:
+    """`repo_id, path, stage, reason` of the files that could not be read."""
+    return files.filter("error is not null").select(
+        "repo_id", F.col("relative_path").alias("path"), F.lit("read").alias("stage"), F.col("error").alias("reason")
     )
 
 
@@ -122,10 +139,3 @@ def save_files(files: DataFrame, table: str, path: str, buckets: int) -> DataFra
     writer = files.write.mode("overwrite").format("parquet").option("path", path)
     writer.bucketBy(buckets, "repo_id", "relative_path").sortBy("repo_id", "relative_path").saveAsTable(table)
     return files.sparkSession.table(table)
-
-
-def spread(table: DataFrame, key: str) -> DataFrame:
-    """A table with fewer splits than cores is spread over all of them by a hash of `key`, so that
-    regular expressions over one small file use the whole machine; a large one stays as it lies."""
-    cores = table.sparkSession.sparkContext.defaultParallelism
-    return table.repartition(cores, key) if table.rdd.getNumPartitions() < cores else table

@@ -21,11 +21,20 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
 
 
 def scanner_results(documents: DataFrame) -> DataFrame:
-    """One row per result, in order. A malformed document has no results."""
+    """One row per result, in order. A malformed document has none; `scanner_rejects` names it."""
     parsed = F.from_json("document", RESULTS)["results"]
     return documents.select("repo_id", F.posexplode(parsed).alias("pos", "r"))
 
 
+def scanner_rejects(documents: DataFrame) -> DataFrame:
+    """`repo_id, path, stage, reason` of the documents without a readable list of results."""
+    results = F.from_json("document", RESULTS)["results"]
+    reason = F.when(F.try_parse_json("document").isNull(), "not JSON").otherwise("no results")
+    return documents.filter(results.isNull()).select(
+        "repo_id", F.lit(None).cast("string").alias("path"), F.lit("scanner").alias("stage"), reason.alias("reason")
+    )
+
+
 def scanner_findings(results: DataFrame, repo_root: str = "", target_types: list[str] | None = None) -> DataFrame:
     """Findings in scope, without code context (`operators.findings.with_snippets` adds it)."""
     rule, severity = F.coalesce("r.check_id", F.lit("unknown")), F.coalesce("r.extra.severity", F.lit("WARNING"))

@@ -1,23 +1,17 @@
-"""Writing reports, a folder per repository."""
+"""Writing reports and tables."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame
 
 
 def write_reports(reports: DataFrame, path: str) -> None:
-    """Write `repo_id, part, report` rows as text, one report after the other in part order.
+    """Write reports as JSON lines, one line per row, spread over files by a hash of the repository.
 
-    Repositories with many parts are spread over tasks; each file holds parts in order.
+    The number of files follows the shuffle partitions, not the number of repositories.
     """
-    (
-        reports.select("repo_id", "part", F.col("report").alias("value"))
-        .repartition("repo_id", "part")
-        .sortWithinPartitions("repo_id", "part")
-        .write.mode("overwrite")
-        .partitionBy("repo_id", "part")
-        .text(path)
-    )
+    keys = [c for c in ("repo_id", "part") if c in reports.columns]
+    reports.repartition(*keys).sortWithinPartitions(*keys).write.mode("overwrite").json(path)
 
 
 def write_table(df: DataFrame, path: str) -> None:

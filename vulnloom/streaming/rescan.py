@@ -15,6 +15,8 @@ def rescan(files: DataFrame, output: str, checkpoint: str, config: RuleConfig |
 
     Detection keeps no state, so it runs on the stream itself; a batch is de-duplicated before
     it is written. A repeated batch overwrites its own folder, so a restart adds nothing twice.
+    Findings of an older version of a file stay in the older batches; a reader that wants the
+    present state takes, for each file, the rows of the last batch that has it.
     """
 
     def write(batch: DataFrame, number: int) -> None:
