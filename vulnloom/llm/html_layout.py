@@ -53,6 +53,8 @@ IMPLIED_END = {
 HEAD_ONLY = frozenset("head title base link meta style script template noscript html".split())
 # An end tag does not reach out of a cell or a table, but for that of the table's own parts.
 BARRIERS = frozenset(["table", "td", "th", "caption"])
+# The end of these does not close a block that was opened inside.
+FORMATTING = frozenset("a b big code em font i nobr s small strike strong tt u".split())
 TABLE_PARTS = frozenset("table tr td th thead tbody tfoot caption".split())
 
 WIDEST_ALIGNED = 40
@@ -197,6 +199,8 @@ def tree(page: str) -> Node:
                     break
                 if stack[i].tag in BARRIERS and (stack[i].tag not in own or stack[i].tag == "table"):
                     break
+                if value in FORMATTING and stack[i].tag in MARGINS:
+                    break
     return root
 
 
