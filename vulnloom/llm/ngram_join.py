@@ -28,14 +28,16 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql.types import LongType
 
 from vulnloom.llm import bitmap
-from vulnloom.llm.byte_bpe import Cache
-from vulnloom.llm.common import cut, process_cache, text_chunks
+from vulnloom.llm.common import cut, release, text_chunks
 from vulnloom.llm.components import components
+from vulnloom.llm.text_features import word_hashes
 
 WORDS = 5
 PERCENT = 80
@@ -44,8 +46,10 @@ FREQUENT = 100_000
 COUNTED = 2_000_000
 LEAST_COUNT = 3
 FRAGMENT_BITS = 3
+# Pairs of one document whose sets are compared in one place.
+HUB_PAIRS = 1000
 # Rounds of pivots before the members left in different components are compared pair by pair.
-ROUNDS = 3
+ROUNDS = 1
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _STEP = np.uint64(0x100000001B3)
@@ -58,23 +62,23 @@ def _mixed(h: np.ndarray) -> np.ndarray:
 
 def ngram_sets(texts: list[bytes], words: int = WORDS) -> list[np.ndarray]:
     """Sorted distinct n-gram hashes of each text."""
-    number = process_cache("word hashes", lambda: Cache(xxhash.xxh64_intdigest))
-    split = [t.lower().split() for t in texts]
-    ends = np.cumsum([len(s) for s in split], dtype=np.int64)
-    hashes = np.fromiter((number[w] for s in split for w in s), np.uint64, int(ends[-1]) if len(ends) else 0)
-    n = len(hashes) - words + 1
-    grams = np.full(max(n, 0), words, np.uint64)
+    hashes, ends = word_hashes([t.lower() for t in texts])
+    hashes = _mixed(hashes)
+    grams = np.full(max(len(hashes) - words + 1, 0), words, np.uint64)
     for i in range(words):
-        grams = grams * _STEP + _mixed(hashes[i : i + len(grams)])
+        grams = grams * _STEP + hashes[i : i + len(grams)]
     grams = _mixed(grams)
     out, a = [], 0
     for b in ends.tolist():
         if b - a >= words:
-            out.append(np.unique(grams[a : b - words + 1]))
+            own = np.sort(grams[a : b - words + 1])
+            new = np.ones(len(own), bool)
+            np.not_equal(own[1:], own[:-1], out=new[1:])
+            out.append(own[new])
         elif b > a:
             whole = np.full(1, b - a, np.uint64)
             for i in range(a, b):
-                whole = whole * _STEP + _mixed(hashes[i : i + 1])
+                whole = whole * _STEP + hashes[i : i + 1]
             out.append(_mixed(whole))
         else:
             out.append(np.zeros(0, np.uint64))
@@ -86,18 +90,43 @@ def _digest(grams: np.ndarray) -> bytes:
     return xxhash.xxh128_digest(grams.tobytes())
 
 
+def _sketch(grams: np.ndarray) -> bytes | None:
+    counts = np.bincount((grams >> np.uint64(56)).astype(np.int64), minlength=256)
+    return counts.astype(np.uint8).tobytes() if counts.max() < 256 else None
+
+
+@F.pandas_udf(LongType())
+def _most_shared(a: pd.Series, b: pd.Series) -> pd.Series:
+    """What two sets can share at most: in each fragment no more than the smaller of both has."""
+
+    def bound(x: bytes | None, y: bytes | None) -> int:
+        if x is None or y is None:
+            return 1 << 40
+        return int(np.minimum(np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)).sum(dtype=np.int64))
+
+    return pd.Series([bound(x, y) for x, y in zip(a, b)], dtype="int64")
+
+
+def _promising(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """Pairs that may still be similar by the sizes of their fragments."""
+    ends = [sketches.select(F.col("node").alias(x), F.col("sketch").alias(f"{x}_sketch")) for x in ("a", "b")]
+    joined = pairs.join(ends[0], "a").join(ends[1], "b").withColumn("most", _most_shared("a_sketch", "b_sketch"))
+    return joined.where(f"(100 + {percent}) * most >= {percent} * (an + bn)").select("a", "an", "b", "bn")
+
+
 def _signed(grams: np.ndarray) -> np.ndarray:
     return grams.view(np.int64)
 
 
 def _profile(df: DataFrame) -> DataFrame:
-    """Rows of documents (id, version, n, digest) and rows of n-grams that a task saw often (gram, seen).
+    """Rows of documents (id, version, n, digest, sketch) and rows of n-grams that a task saw often (gram, seen).
 
-    `version` is the hash that Spark's `xxhash64` gives the text.
+    `version` is the hash that Spark's `xxhash64` gives the text, `sketch` how many n-grams the set has
+    in each of 256 fragments of the order by hash, a byte each, null if a byte cannot hold one.
     """
     id_type = df.schema["id"].dataType.simpleString()
-    schema = f"id {id_type}, version bigint, n bigint, digest binary, gram bigint, seen bigint"
-    names = ["id", "version", "n", "digest", "gram", "seen"]
+    schema = f"id {id_type}, version bigint, n bigint, digest binary, sketch binary, gram bigint, seen bigint"
+    names = ["id", "version", "n", "digest", "sketch", "gram", "seen"]
     id_arrow = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[id_type]
 
     def frequent(held: list[np.ndarray]) -> pa.RecordBatch:
@@ -106,7 +135,8 @@ def _profile(df: DataFrame) -> DataFrame:
         grams, seen = grams[often], seen[often]
         none = len(grams)
         return pa.record_batch(
-            [pa.nulls(none, id_arrow), pa.nulls(none, pa.int64()), pa.nulls(none, pa.int64()), pa.nulls(none, pa.binary())]
+            [pa.nulls(none, id_arrow), pa.nulls(none, pa.int64()), pa.nulls(none, pa.int64())]
+            + [pa.nulls(none, pa.binary())] * 2
             + [pa.array(_signed(grams)), pa.array(seen, pa.int64())],
             names,
         )
@@ -123,6 +153,7 @@ def _profile(df: DataFrame) -> DataFrame:
                         pa.array(np.array([xxhash.xxh64_intdigest(t, 42) for t in texts], np.uint64).view(np.int64)),
                         pa.array([len(s) for s in sets], pa.int64()),
                         pa.array([_digest(s) for s in sets], pa.binary()),
+                        pa.array([_sketch(s) for s in sets], pa.binary()),
                         pa.nulls(rows, pa.int64()),
                         pa.nulls(rows, pa.int64()),
                     ],
@@ -185,27 +216,27 @@ def _prefixes(df: DataFrame, frequent: np.ndarray, percent: int) -> DataFrame:
     return df.mapInArrow(run, "digest binary, n bigint, rare bigint, grams array<bigint>")
 
 
-def _shared(buckets: DataFrame) -> DataFrame:
-    """Members of buckets sorted by (gram, salt), without those that are alone and not salted.
+def _shared(buckets: DataFrame, percent: int) -> DataFrame:
+    """Members of buckets, sorted by (gram, salt, n), that have a neighbour of similar length.
 
-    Streams over the sorted rows and holds one of them, however large a bucket is.
+    Salted members stay in any case, as their neighbour may have another salt. Streams over the
+    sorted rows and holds one of them, however large a bucket is.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = None  # the row before this batch, if it has not been passed on
+        last, near = None, False  # the last row is passed on once its successor is known
         for batch in batches:
             if not batch.num_rows:
                 continue
             rows = batch if last is None else pa.concat_batches([last, batch])
-            gram, salt = rows.column("gram").to_numpy(), rows.column("salt").to_numpy()
-            same = np.zeros(len(gram) + 1, bool)
-            same[1:-1] = (gram[1:] == gram[:-1]) & (salt[1:] == salt[:-1])
-            if last is not None:
-                same[0] = carried
-            keep = same[1:] | same[:-1] | (salt >= 0)
-            carried, last = bool(same[-2]), rows.slice(rows.num_rows - 1)
+            gram, salt, n = (rows.column(c).to_numpy() for c in ("gram", "salt", "n"))
+            like = np.zeros(len(gram) + 1, bool)
+            like[0] = near
+            like[1:-1] = (gram[1:] == gram[:-1]) & (salt[1:] == salt[:-1]) & (100 * n[:-1] >= percent * n[1:])
+            keep = like[1:] | like[:-1] | (salt >= 0)
+            near, last = bool(like[-2]), rows.slice(rows.num_rows - 1)
             yield rows.slice(0, rows.num_rows - 1).filter(pa.array(keep[:-1]))
-        if last is not None and (carried or last.column("salt")[0].as_py() >= 0):
+        if last is not None and (near or last.column("salt")[0].as_py() >= 0):
             yield last
 
     return buckets.mapInArrow(run, buckets.schema)
@@ -216,24 +247,28 @@ def _similar_length(a: str, b: str, percent: int) -> str:
 
 
 def _pivots(members: DataFrame, turn: int, percent: int) -> DataFrame:
-    """(a, an, b, bn): members of different components paired with the first of their length in the bucket.
+    """(a, an, b, bn): members of different components paired with one of their length in the bucket.
 
-    `turn` changes which member comes first. Lengths are cut into classes no wider than similar sets can be.
+    The pivot is the member with the fewest n-grams before the shared one: in a group of near copies
+    that is one with few changes, which most others are similar to. Lengths are cut into classes no
+    wider than similar sets can be, at other places each turn.
     """
     width = float(np.log(100 / percent))
-    step = F.floor(F.log("n") / width + (turn % 2) / 2)
-    first = F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node", "n", "label")
-    placed = members.withColumn("class", step)
-    salted = placed.groupBy("gram", "salt", "class").agg(F.min(first).alias("p"))
-    # Members meet the pivot of their salt, and pivots of salts the one of the whole bucket.
-    tops = salted.where("salt >= 0").groupBy("gram", "class").agg(F.min("p").alias("top"))
-    direct = placed.join(salted, ["gram", "salt", "class"]).select("node", "n", "label", "p")
-    across = salted.where("salt >= 0").join(tops, ["gram", "class"])
-    across = across.select(F.col("p.node").alias("node"), F.col("p.n").alias("n"), F.col("p.label").alias("label"), F.col("top").alias("p"))
-    pairs = direct.unionByName(across).where("label <> p.label")
+    classed = members.withColumn("class", F.floor(F.log("n") / width + (turn % 2) / 2))
+    first = F.struct("place", F.xxhash64("node", F.lit(turn)).alias("h"), "node", "n", "label")
+    salted = classed.groupBy("gram", "salt", "class").agg(F.min(first).alias("p"))
+    top = F.min("p").over(Window.partitionBy("gram", "class"))
+    salted = salted.withColumn("p", top)
+    pairs = classed.join(salted, ["gram", "salt", "class"]).where("label <> p.label")
+    pairs = pairs.where(_possible("n", "place", "p.n", "p.place", percent))
     return _pairs(pairs, "node", "n", "p.node", "p.n", percent)
 
 
+def _possible(an: str, a_place: str, bn: str, b_place: str, percent: int) -> str:
+    """What two similar sets fulfil at the first n-gram that both have: neither can share more from there on."""
+    return f"(100 + {percent}) * least({an} - {a_place}, {bn} - {b_place}) >= {percent} * ({an} + {bn})"
+
+
 def _pairs(df: DataFrame, a: str, an: str, b: str, bn: str, percent: int) -> DataFrame:
     smaller = F.col(a) < F.col(b)
     return (
@@ -256,25 +291,31 @@ def _mixed_buckets(members: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def _left_pairs(members: DataFrame, percent: int) -> DataFrame:
-    """All pairs of members in different components that the places in the order leave possible."""
+    """All pairs of members in different components that the places in the order leave possible.
+
+    A pair is similar enough only if it is so by the n-grams from the first that it shares on, and it
+    meets in the bucket of that one; so each set can share no more than it has from its place on.
+    """
     x = members.select("gram", *[F.col(c).alias(f"x_{c}") for c in ("node", "n", "place", "label")])
     y = members.select("gram", *[F.col(c).alias(f"y_{c}") for c in ("node", "n", "place", "label")])
-    # The shared n-gram, those before it in both sets and those after it in both are all they can share.
-    most = "least(x_place, y_place) + 1 + least(x_n - x_place, y_n - y_place) - 1"
-    possible = f"(100 + {percent}) * ({most}) >= {percent} * (x_n + y_n)"
+    possible = _possible("x_n", "x_place", "y_n", "y_place", percent)
     near = x.join(y, "gram").where("x_label <> y_label and x_node < y_node").where(possible)
     return _pairs(near, "x_node", "x_n", "y_node", "y_n", percent)
 
 
 def _fragments(df: DataFrame, wanted: np.ndarray, frequent: np.ndarray) -> DataFrame:
-    """(digest, fragment, grams) of all sets whose bit is set; frequent n-grams are a fragment of their own."""
+    """(digest, fragments) of all sets whose bit is set: the n-grams of each fragment, a row per set.
+
+    The last fragment holds the frequent n-grams, the others equal ranges of the rest.
+    """
     shared = df.sparkSession.sparkContext.broadcast((wanted, np.sort(frequent)))
+    cuts = np.arange(1, (1 << FRAGMENT_BITS) + 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits, known = shared.value
         for batch in batches:
             for _, texts in text_chunks(batch, "text"):
-                seen, digests, numbers, parts = set(), [], [], []
+                seen, digests, parts = set(), [], []
                 for grams in ngram_sets(texts):
                     digest = _digest(grams)
                     if not len(grams) or digest in seen or not bitmap.contains(bits, np.frombuffer(digest[:8], ">u8"))[0]:
@@ -285,37 +326,60 @@ def _fragments(df: DataFrame, wanted: np.ndarray, frequent: np.ndarray) -> DataF
                     number = (grams >> np.uint64(64 - FRAGMENT_BITS)).astype(np.int64)
                     number[often] = 1 << FRAGMENT_BITS
                     order = np.argsort(number, kind="stable")
-                    names, starts = np.unique(number[order], return_index=True)
-                    for name, part in zip(names.tolist(), np.split(_signed(grams)[order], starts[1:])):
-                        digests.append(digest)
-                        numbers.append(name)
-                        parts.append(part)
+                    digests.append(digest)
+                    parts.append(np.split(_signed(grams)[order], np.searchsorted(number[order], cuts)))
                 yield pa.record_batch(
-                    [pa.array(digests, pa.binary()), pa.array(numbers, pa.int32()), pa.array(parts, pa.list_(pa.int64()))],
-                    ["digest", "fragment", "grams"],
+                    [pa.array(digests, pa.binary()), pa.array(parts, pa.list_(pa.list_(pa.int64())))], ["digest", "fragments"]
                 )
 
-    return df.mapInArrow(run, "digest binary, fragment int, grams array<bigint>")
+    return df.mapInArrow(run, "digest binary, fragments array<array<bigint>>")
 
 
 def _links(pairs: DataFrame, texts: DataFrame, digests: DataFrame, frequent: np.ndarray, percent: int) -> DataFrame:
-    """The pairs whose sets are similar enough: overlaps of each fragment, summed by pair."""
-    nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    start = F.conv(F.hex(F.substring("digest", 1, 8)), 16, -10).cast("bigint")
-    wanted = bitmap.build(digests.join(nodes, "node", "left_semi").select(start.alias("h")), "h")
-    parts = _fragments(texts, wanted, frequent)
+    """The pairs whose sets are similar enough: overlaps of each fragment, summed by pair.
+
+    Only the sets of the pairs leave the tasks that read the texts. The end of a pair that occurs in
+    more pairs is its hub. The sets of hubs go to the other ends; a hub of many pairs is spread over
+    salts, so that no task serves more than about `HUB_PAIRS` of them.
+    """
+    degrees = pairs.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("d"))
+    degrees = cut(degrees.join(digests, "node")).select("node", "d", F.col("digest").alias("node_digest"))
+    start = F.conv(F.hex(F.substring("node_digest", 1, 8)), 16, -10).cast("bigint")
+    sets = _fragments(texts, bitmap.build(degrees.select(start.alias("h")), "h"), frequent)
     # A set that several tasks have read counts once.
-    parts = parts.groupBy("digest", "fragment").agg(F.first("grams").alias("grams"))
-    parts = digests.join(nodes, "node", "left_semi").join(parts, "digest").select("node", "fragment", "grams")
-    left = parts.select(F.col("node").alias("a"), "fragment", F.col("grams").alias("a_grams"))
-    right = parts.select(F.col("node").alias("b"), "fragment", F.col("grams").alias("b_grams"))
-    partial = (
-        pairs.join(left, "a")
-        .join(right, ["b", "fragment"])
-        .select("a", "an", "b", "bn", F.size(F.array_intersect("a_grams", "b_grams")).alias("overlap"))
+    sets = sets.groupBy("digest").agg(F.first("fragments").alias("fragments"))
+
+    ends = [
+        degrees.select(F.col("node").alias(x), F.col("d").alias(f"{x}d"), F.col("node_digest").alias(f"{x}_digest"))
+        for x in ("a", "b")
+    ]
+    turned = F.col("bd") > F.col("ad")
+    salts = F.ceil(F.greatest("ad", "bd") / HUB_PAIRS)
+    sides = pairs.join(ends[0], "a").join(ends[1], "b").select(
+        "a", "b", (F.col("an") + F.col("bn")).alias("both"),
+        F.when(turned, F.col("b_digest")).otherwise(F.col("a_digest")).alias("hub"),
+        F.when(turned, F.col("a_digest")).otherwise(F.col("b_digest")).alias("other"),
+        salts.alias("salts"),
+    )
+    sides = cut(sides.withColumn("salt", F.pmod(F.xxhash64("other"), "salts")))
+    hubs = sides.select("hub", "salt").distinct()
+    served = hubs.join(sets.select(F.col("digest").alias("hub"), F.col("fragments").alias("hub_fragments")), "hub")
+    met = sides.join(served, ["hub", "salt"]).join(sets.select(F.col("digest").alias("other"), "fragments"), "other")
+    partial = F.zip_with("hub_fragments", "fragments", lambda x, y: F.size(F.array_intersect(x, y)))
+    summed = met.select("a", "b", "both", F.aggregate(partial, F.lit(0), lambda total, n: total + n).alias("overlap"))
+    return summed.where(f"100 * overlap >= {percent} * (both - overlap)").select("a", "b")
+
+
+def _members(texts: DataFrame, digests: DataFrame, frequent: np.ndarray, percent: int) -> DataFrame:
+    """(gram, salt, node, n, place): the prefixes of all sets, by n-gram, where another set may have it too."""
+    prefixes = _prefixes(texts, frequent, percent).groupBy("digest").agg(
+        F.first("n").alias("n"), F.first("rare").alias("rare"), F.first("grams").alias("grams")
     )
-    summed = partial.groupBy("a", "an", "b", "bn").agg(F.sum("overlap").alias("overlap"))
-    return summed.where(f"100 * overlap >= {percent} * (an + bn - overlap)").select("a", "b")
+    rows = prefixes.join(digests, "digest").select("node", "n", "rare", F.posexplode("grams").alias("place", "gram"))
+    spread = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    salt = F.when(F.col("place") >= F.col("rare"), F.pmod(F.xxhash64("node"), F.lit(spread))).otherwise(-1)
+    rows = rows.select("gram", salt.cast("int").alias("salt"), "node", F.col("n").cast("int").alias("n"), "place")
+    return cut(_shared(rows.repartition("gram", "salt").sortWithinPartitions("gram", "salt", "n"), percent))
 
 
 def assigned(df: DataFrame, id_col: str, text_col: str, percent: int = PERCENT, rounds: int = ROUNDS) -> DataFrame:
@@ -325,23 +389,19 @@ def assigned(df: DataFrame, id_col: str, text_col: str, percent: int = PERCENT,
     """
     texts = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     profile = cut(_profile(texts))
-    documents = profile.where("digest is not null").select("id", "version", "n", "digest")
+    documents = profile.where("digest is not null").select("id", "version", "n", "digest", "sketch")
     ranked = (
         profile.where("gram is not null").groupBy("gram").agg(F.sum("seen").alias("seen"))
         .orderBy(F.desc("seen"), "gram").limit(FREQUENT).toArrow()
     )
     frequent = ranked.column("gram").to_numpy()[::-1].copy().view(np.uint64)
 
-    sets = cut(documents.where("n > 0").groupBy("digest").agg(F.first("n").alias("n")))
-    digests = sets.select("digest", F.monotonically_increasing_id().alias("node"))
-    prefixes = _prefixes(texts, frequent, percent).groupBy("digest", "n").agg(
-        F.first("rare").alias("rare"), F.first("grams").alias("grams")
-    )
-    members = prefixes.join(digests, "digest").select("node", "n", "rare", F.posexplode("grams").alias("place", "gram"))
-    spread = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    salt = F.when(F.col("place") >= F.col("rare"), F.pmod(F.xxhash64("node"), F.lit(spread))).otherwise(-1)
-    members = members.select("gram", salt.cast("int").alias("salt"), "node", F.col("n").cast("int").alias("n"), "place")
-    members = cut(_shared(members.repartition("gram", "salt").sortWithinPartitions("gram", "salt")))
+    sets = cut(documents.where("n > 0").groupBy("digest").agg(F.first("sketch").alias("sketch")))
+    sets = sets.withColumn("node", F.monotonically_increasing_id())
+    digests = sets.select("digest", "node")
+    members = _members(texts, digests, frequent, percent)
+    release(df.sparkSession)
+    sketches = cut(sets.select("node", "sketch").join(members.select("node").distinct(), "node", "left_semi"))
 
     labels, tested, links = None, None, None
     opened = members.withColumn("label", F.col("node"))
@@ -349,7 +409,8 @@ def assigned(df: DataFrame, id_col: str, text_col: str, percent: int = PERCENT,
         pairs = _pivots(opened, turn, percent) if turn < rounds else _left_pairs(opened, percent)
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = cut(pairs)
+        pairs = cut(_promising(pairs, sketches, percent))
+        release(df.sparkSession)
         if pairs.isEmpty():
             continue
         tested = pairs.select("a", "b") if tested is None else tested.unionByName(pairs.select("a", "b"))
@@ -358,6 +419,7 @@ def assigned(df: DataFrame, id_col: str, text_col: str, percent: int = PERCENT,
             continue
         links = found if links is None else links.unionByName(found)
         labels = cut(components(links))
+        release(df.sparkSession)
         if turn < rounds:
             opened = cut(_mixed_buckets(members, labels))
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import xxhash
 
 from vulnloom.llm.pretokens import LETTER, scanner
 
@@ -85,3 +86,32 @@ def char_ngrams(points: np.ndarray, ends: np.ndarray, bits: int) -> tuple[np.nda
     if not found:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     return np.concatenate(found), np.concatenate(owners)
+
+
+_LONGEST = 1024
+_WORD_POWERS = _powers(_LONGEST)
+_BYTES = np.array([xxhash.xxh64_intdigest(bytes([i])) for i in range(256)], np.uint64)
+
+
+def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of all texts in a row, and the number of words up to the end of each.
+
+    Words are what lies between ASCII white space. The hash of a word is a polynomial over hashes of
+    its bytes; words beyond `_LONGEST` bytes are hashed whole.
+    """
+    joined = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
+    ends = np.cumsum(np.array([len(t) + 1 for t in texts], np.int64))
+    in_word = (joined != 32) & ((joined < 9) | (joined > 13))
+    opens = in_word.copy()
+    opens[1:] &= ~in_word[:-1]
+    starts = np.flatnonzero(opens)
+    if not len(starts):
+        return np.zeros(0, np.uint64), np.zeros(len(texts), np.int64)
+    at = np.flatnonzero(in_word)
+    first = np.searchsorted(at, starts)
+    lengths = np.diff(first, append=len(at))
+    place = np.arange(len(at)) - np.repeat(first, lengths)
+    hashes = np.add.reduceat(_BYTES[joined[at]] * _WORD_POWERS[place & (_LONGEST - 1)], first)
+    for i in np.flatnonzero(lengths > _LONGEST):
+        hashes[i] = xxhash.xxh64_intdigest(joined[starts[i] : starts[i] + lengths[i]].tobytes())
+    return hashes, np.searchsorted(starts, ends)
