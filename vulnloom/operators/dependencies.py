@@ -71,17 +71,23 @@ def _is_requirements(path: Column) -> Column:
     return F.startswith(path, F.lit("req")) & path.rlike("|".join(REQUIREMENT_GLOBS))
 
 
-def dependencies(files: DataFrame, duplicate_per_glob: bool = False) -> DataFrame:
-    """One row per declared dependency, in one pass over the manifest files.
-
-    With `duplicate_per_glob`, a requirements file counts once for every glob it matches.
-    """
-    path, content = F.col("relative_path"), F.col("content")
-    declared = (
+def declared_in(path: Column, content: Column) -> Column:
+    """The dependencies that a manifest file declares, as an array."""
+    return (
         F.when(path == "pyproject.toml", _pyproject(content))
         .when(path == "package.json", _package_json(content))
         .when(_is_requirements(path), _requirements(content))
     )
+
+
+def dependencies(files: DataFrame, duplicate_per_glob: bool = False) -> DataFrame:
+    """One row per declared dependency, in one pass over the manifest files.
+
+    With `duplicate_per_glob`, a requirements file counts once for every glob it matches. `files` has
+    the texts, or the arrays of `declared_in` as `declared`.
+    """
+    path = F.col("relative_path")
+    declared = F.col("declared") if "declared" in files.columns else declared_in(path, F.col("content"))
     wanted = files.filter(path.isin("pyproject.toml", "package.json") | _is_requirements(path))
     if duplicate_per_glob:
         globs = F.size(F.array_compact(F.array(*[F.when(path.rlike(g), 1) for g in REQUIREMENT_GLOBS])))

@@ -20,7 +20,7 @@ RAW_FINDING = [
 
 
 def _candidate_lines(content: Column, candidate) -> Column:
-    """array<struct(line, text, code_snippet)> of the lines worth a closer look."""
+    """array<struct(line, text, code_snippet, rule_scope, secret_scope)> of the lines worth a closer look."""
 
     def hits(lines: Column, context_lines: Column) -> Column:
         numbered = F.transform(lines, lambda t, i: F.struct((i + 1).alias("line"), t.alias("text")))
@@ -30,6 +30,8 @@ def _candidate_lines(content: Column, candidate) -> Column:
                 x["line"].alias("line"),
                 x["text"].alias("text"),
                 snippet(context_lines, x["line"], SNIPPET_CONTEXT_LINES).alias("code_snippet"),
+                F.col("rule_scope").alias("rule_scope"),
+                F.col("secret_scope").alias("secret_scope"),
             ),
         )
 
@@ -54,7 +56,21 @@ def detect(
     are left out before any content is read. Each file is read once, split into lines only if
     a cheap test says it may hold a finding, and its findings carry their context with them.
     """
-    path, lang, content = F.col("relative_path"), paths.language(F.col("relative_path")), F.col("content")
+    if config is not None:
+        files = files.filter(~config.excludes(F.col("relative_path")))
+    lines = candidate_lines(rules, secret_patterns).alias("lines")
+    narrow = scoped(files, rules, secret_patterns, max_bytes).select("repo_id", "relative_path", lines)
+    return from_lines(narrow, config, rules, secret_patterns, target_types)
+
+
+def scoped(
+    files: DataFrame,
+    rules: list[Rule] = RULES,
+    secret_patterns: list[SecretPattern] = SECRET_PATTERNS,
+    max_bytes: int | None = None,
+) -> DataFrame:
+    """`files` with `language`, `rule_scope` and `secret_scope`, which are worked out once per file."""
+    path, lang = F.col("relative_path"), F.col("language")
     rule_scope = lang.isNotNull() if rules else F.lit(False)
     if max_bytes is not None:
         rule_scope = rule_scope & (F.col("size_bytes") <= max_bytes)
@@ -64,28 +80,35 @@ def detect(
         if secret_patterns
         else F.lit(False)
     )
-    if config is not None:
-        files = files.filter(~config.excludes(path))
-    scoped = files.select(
-        "repo_id",
-        path.alias("file_path"),
-        "content",
-        lang.alias("language"),
-        F.coalesce(rule_scope, F.lit(False)).alias("rule_scope"),
-        secret_scope.alias("secret_scope"),
-    ).filter(F.col("rule_scope") | F.col("secret_scope"))
+    rows = files.withColumn("language", paths.language(path))
+    return rows.withColumns({"rule_scope": F.coalesce(rule_scope, F.lit(False)), "secret_scope": secret_scope})
+
+
+def candidate_lines(rules: list[Rule] = RULES, secret_patterns: list[SecretPattern] = SECRET_PATTERNS) -> Column:
+    """The lines of a row of `scoped` that may hold a finding, with their context; null if it has none."""
+    lang, content = F.col("language"), F.col("content")
 
     def candidate(text: Column) -> Column:
-        by_rule = F.col("rule_scope") & rule_ops.hint(rules, F.col("language"), text)
+        by_rule = F.col("rule_scope") & rule_ops.hint(rules, lang, text)
         return F.coalesce(by_rule, F.lit(False)) | (F.col("secret_scope") & secret_ops.hint(secret_patterns, text))
 
-    lines = scoped.filter(candidate(content)).select(
-        "repo_id", "file_path", "language", "rule_scope", "secret_scope",
-        F.explode(_candidate_lines(content, candidate)).alias("at"),
-    )
+    in_scope = F.col("rule_scope") | F.col("secret_scope")
+    return F.when(in_scope & candidate(content), _candidate_lines(content, candidate))
+
+
+def from_lines(
+    files: DataFrame,
+    config: RuleConfig | None = None,
+    rules: list[Rule] = RULES,
+    secret_patterns: list[SecretPattern] = SECRET_PATTERNS,
+    target_types: list[str] | None = None,
+) -> DataFrame:
+    """Raw findings from `repo_id, relative_path` and the `lines` of `candidate_lines`."""
+    language = paths.language(F.col("file_path"))
+    lines = files.select("repo_id", F.col("relative_path").alias("file_path"), F.explode("lines").alias("at"))
     text = F.col("at.text")
-    by_rule = [F.when(F.col("rule_scope"), m) for m in rule_ops.rule_matches(rules, F.col("language"), text)]
-    by_pattern = [F.when(F.col("secret_scope"), m) for m in secret_ops.secret_matches(secret_patterns, text)]
+    by_rule = [F.when(F.col("at.rule_scope"), m) for m in rule_ops.rule_matches(rules, language, text)]
+    by_pattern = [F.when(F.col("at.secret_scope"), m) for m in secret_ops.secret_matches(secret_patterns, text)]
     found = lines.select(
         "repo_id",
         "file_path",

@@ -38,16 +38,18 @@ def walk_order() -> list[Column]:
     return [paths.risk_rank(F.col("risk_level")), F.desc("line_count"), paths.parts(F.col("relative_path"))]
 
 
-def manifest(files: DataFrame, max_files: int | None = None) -> DataFrame:
+def manifest(files: DataFrame, max_files: int | None = None, rows: DataFrame | None = None) -> DataFrame:
     """All source files of each repository with their `rank`, or the first `max_files`.
 
     Contents are read once; what is written down and ranked is a narrow row per file. Files of one
     risk and length are ranked among themselves and get the number of files before them added, so
-    no task orders all files of a large repository.
+    no task orders all files of a large repository. `rows` are those of `measured`, if they are
+    written down already.
     """
     if max_files is not None:
-        return top_n(measured(files), ["repo_id"], walk_order(), max_files, ["relative_path"], "rank")
-    rows = cut(measured(files))
+        rows = measured(files) if rows is None else rows
+        return top_n(rows, ["repo_id"], walk_order(), max_files, ["relative_path"], "rank")
+    rows = cut(measured(files)) if rows is None else rows
     group = ["repo_id", "risk_level", "line_count"]
     sizes = rows.groupBy(*group).agg(F.count("*").alias("_size"))
     order = [paths.risk_rank(F.col("risk_level")), F.desc("line_count")]

@@ -90,16 +90,9 @@ def excluded(path: Column, config: Column) -> Column:
     return let(normalize_path(path), by_path)
 
 
-def not_excluded(files: DataFrame, configs: DataFrame, default: RuleConfig) -> DataFrame:
-    """Files that their own repository's configuration keeps; only paths are looked at.
-
-    `configs` has a row for each repository with a file of its own, and is sent to all tasks; the
-    caller has checked its size.
-    """
-    joined = files.join(F.broadcast(configs), "repo_id", "left")
-    path = F.col("relative_path")
-    out = F.when(F.col("config").isNull(), default.excludes(path)).otherwise(excluded(path, F.col("config")))
-    return joined.filter(~out).select(*files.columns)
+def excluded_by(path: Column, config: Column, default: RuleConfig) -> Column:
+    """Whether a repository's own configuration, or the default where it is null, excludes the path."""
+    return F.when(config.isNull(), default.excludes(path)).otherwise(excluded(path, config))
 
 
 def filter_findings(findings: DataFrame, configs: DataFrame, default: RuleConfig) -> DataFrame:

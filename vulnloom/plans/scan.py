@@ -1,8 +1,8 @@
 """A scan of many repositories at once.
 
-The tables that later stages read again are small next to the file contents: manifests,
-structure rows and findings. Findings are written down once (`cut`) after the pass over the
-contents, so verdicts, digests and reports never repeat it.
+Contents are read once: `extracted` writes down a narrow row per file with all that the stages of
+detection want, and manifests, structure rows, dependencies and findings come from these rows.
+Digests and patches fetch the texts of single files by key.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from vulnloom.config import RuleConfig
 from vulnloom.constants import DIGEST_TOKEN_BUDGET
+from vulnloom.functions import paths, text
 from vulnloom.operators import (
     dependencies as dependency_ops,
     detection,
@@ -56,6 +57,61 @@ class Verdicts:
     results: DataFrame
 
 
+# The columns of `manifest.measured`.
+MEASURED = ["repo_id", "relative_path", "language", "risk_level", "line_count", "estimated_tokens", "size_bytes"]
+
+
+def extracted(
+    files: DataFrame,
+    config: RuleConfig,
+    changed: DataFrame | None = None,
+    repo_configs: DataFrame | None = None,
+    max_bytes: int | None = None,
+) -> DataFrame:
+    """All that a scan wants of each file, in one pass over the contents, written down as a narrow row.
+
+    Line counts, functions, imports, calls, declared dependencies, and the lines that may hold a
+    finding. Of files that did not change, and of excluded ones, the parts nobody asks for are not
+    looked at, as far as the tables that say so are small enough to be sent to all tasks; what they
+    leave over is filtered afterwards.
+    """
+    path, content, lang = F.col("relative_path"), F.col("content"), F.col("language")
+    scanned, excluded = F.lit(True), config.excludes(path)
+    rows = files.select("repo_id", "relative_path", "content", "size_bytes")
+    if changed is not None and fits_broadcast(changed):
+        rows = rows.join(F.broadcast(changed.withColumn("_changed", F.lit(True))), ["repo_id", "relative_path"], "left")
+        scanned = F.col("_changed").isNotNull()
+    if repo_configs is not None:
+        excluded = F.lit(False)
+        if fits_broadcast(repo_configs.select("repo_id")):
+            rows = rows.join(F.broadcast(repo_configs), "repo_id", "left")
+            excluded = repo_config.excluded_by(path, F.col("config"), config)
+    # What depends on the path alone becomes a column first, so that it is not repeated for each line.
+    rows = detection.scoped(rows, max_bytes=max_bytes).withColumns(
+        {"skipped": paths.in_skipped_directory(path), "risk_level": paths.risk_level(path), "_looked_at": scanned, "_excluded": excluded}
+    )
+    rows = rows.withColumn("_source", lang.isNotNull() & ~F.col("skipped"))
+    wanted = F.col("_source") & F.col("_looked_at")
+    line_count = text.manifest_line_count(content)
+    return cut(
+        rows.select(
+            "repo_id",
+            "relative_path",
+            "language",
+            "risk_level",
+            "size_bytes",
+            "skipped",
+            F.when(F.col("_source"), line_count).alias("line_count"),
+            F.when(F.col("_source"), text.manifest_tokens(line_count)).alias("estimated_tokens"),
+            F.when(wanted, structure.function_matches(content, lang)).alias("functions"),
+            F.when(wanted, structure.import_matches(content, lang)).alias("imports"),
+            F.when(wanted, structure.call_matches(content, lang)).alias("calls"),
+            dependency_ops.declared_in(path, content).alias("declared"),
+            F.when(F.col("_looked_at") & ~F.col("_excluded"), detection.candidate_lines()).alias("lines"),
+        )
+    )
+
+
 def detect(
     files: DataFrame,
     config: RuleConfig | None = None,
@@ -74,29 +130,21 @@ def detect(
     limits on request; `operators.manifest.limit_counts` and `rejects` tell what they leave out.
     """
     config = config or RuleConfig()
-    manifest = cut(manifest_ops.manifest(files, max_files))
+    changed = None if changed_files is None else cut(scope.changed_paths(changed_files))
+    if repo_configs is not None:
+        repo_configs = cut(repo_configs)
+    read = extracted(files, config, changed, repo_configs, max_bytes)
+    in_walk = read.filter(F.col("language").isNotNull() & ~F.col("skipped"))
+    manifest = cut(manifest_ops.manifest(files, max_files, in_walk.select(*MEASURED)))
     summary = manifest_ops.manifest_summary(files, manifest)
-    scanned, changed = files, None
-    if changed_files is not None:
-        changed = cut(scope.changed_paths(changed_files))
+    if changed is not None:
         manifest = cut(scope.in_diff(manifest, changed))
         summary = manifest_ops.scoped_summary(summary, manifest)
         if scanner_findings is not None:
             scanner_findings = scope.in_diff(scanner_findings, changed, "file_path")
-        if fits_broadcast(changed):
-            # The contents are filtered where they are read.
-            scanned, changed = scope.in_diff(files, F.broadcast(changed)), None
-    if repo_configs is not None:
-        repo_configs = cut(repo_configs)
-
-    sources = structure.source_files(scanned)
-    kept = scanned
-    if repo_configs is not None and fits_broadcast(repo_configs.select("repo_id")):
-        # Excluded files are left out before their contents are read.
-        kept = repo_config.not_excluded(scanned, repo_configs, config)
-    found = detection.detect(kept, config if repo_configs is None else None, max_bytes=max_bytes)
+    sources = in_walk.withColumnRenamed("relative_path", "file_path")
+    found = detection.from_lines(read, config if repo_configs is None else None)
     if changed is not None:
-        # Too many changes to send everywhere: rather filter the findings than shuffle contents.
         found = scope.in_diff(found, changed, "file_path")
     if scanner_findings is not None:
         imported = finding_ops.with_snippets(scanner_findings, files)
@@ -113,7 +161,7 @@ def detect(
         functions=structure.in_manifest(structure.functions(sources), manifest),
         imports=structure.in_manifest(structure.imports(sources), manifest),
         calls=structure.in_manifest(structure.dangerous_calls(sources), manifest),
-        dependencies=dependency_ops.dependencies(files),
+        dependencies=dependency_ops.dependencies(read),
         findings=finding_ops.numbered_findings(unique),
     )
 
