@@ -26,7 +26,7 @@ from vulnloom.llm.common import process_cache, text_chunks
 from vulnloom.llm.pretokens import pieces
 
 # Merged slices that a worker keeps in each of two generations; longer slices are merged each time.
-CACHED_SLICES = 300_000
+CACHED_SLICES = 200_000
 CACHED_BYTES = 48
 # Above this many symbols a heap of pairs is faster than looking for the lowest rank.
 HEAP_FROM = 64

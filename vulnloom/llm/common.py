@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 # Texts are handed to numpy in groups of about this many bytes, whatever the size of an Arrow batch.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -65,7 +65,7 @@ def process_cache(name: str, make: Callable[[], object]) -> object:
 
 def text_chunks(batch: pa.RecordBatch, column: str, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, list[bytes]]]:
     """The texts of a batch as UTF-8, null as empty, in runs of about `limit` bytes with their first row."""
-    values = batch.column(column).cast(pa.large_binary())
+    values = batch.column(column).cast(pa.binary())
     first, held, size = 0, [], 0
     for i in range(len(values)):
         text = values[i].as_py() or b""

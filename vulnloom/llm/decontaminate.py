@@ -24,9 +24,8 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from vulnloom.llm import bitmap
-from vulnloom.llm.byte_bpe import Cache
-from vulnloom.llm.common import cut, process_cache, text_chunks
+from vulnloom.llm import bitmap, text_features
+from vulnloom.llm.common import cut, text_chunks
 
 MASKS = ["110110101101", "111001011011", "101101110011", "11111111"]
 LEAST_ITEM = 5
@@ -42,14 +41,14 @@ _LOWER = bytes.maketrans(string.ascii_uppercase.encode(), string.ascii_lowercase
 _DROPPED = string.punctuation.encode()
 
 
-def _word_hash(word: bytes) -> int:
-    return xxhash.xxh64_intdigest(word) & 0xFFFFFFFF
+def all_word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """32-bit hashes of the words of all texts in a row, and the number of words up to the end of each."""
+    hashes, ends = text_features.word_hashes([t.translate(_LOWER, _DROPPED) for t in texts])
+    return (((hashes ^ (hashes >> np.uint64(31))) * _ODD) >> np.uint64(32)).astype(np.uint32), ends
 
 
 def word_hashes(text: bytes) -> np.ndarray:
-    number = process_cache("short word hashes", lambda: Cache(_word_hash))
-    words = text.translate(_LOWER, _DROPPED).split()
-    return np.fromiter(map(number.__getitem__, words), np.uint32, len(words))
+    return all_word_hashes([text])[0]
 
 
 def seeds(words: np.ndarray, mask: str) -> np.ndarray:
@@ -128,10 +127,8 @@ def _document_hits(rows: DataFrame, words: np.ndarray, masks: list[str]) -> Data
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, texts in text_chunks(batch, "text"):
-                split = [word_hashes(t) for t in texts]
-                ends = np.cumsum([len(s) for s in split], dtype=np.int64)
-                joined = np.concatenate(split)
-                owner = np.repeat(np.arange(len(split)), np.diff(ends, prepend=0))
+                joined, ends = all_word_hashes(texts)
+                owner = np.repeat(np.arange(len(texts)), np.diff(ends, prepend=0))
                 found_h, found_at = [], []
                 for mask in masks:
                     hashes = seeds(joined, mask)
@@ -145,7 +142,7 @@ def _document_hits(rows: DataFrame, words: np.ndarray, masks: list[str]) -> Data
                 texts_hit = np.unique(owner[at])
                 cuts = np.searchsorted(owner[at], [texts_hit, texts_hit + 1])
                 starts = ends - np.diff(ends, prepend=0)
-                kept = [split[i].tobytes() for i in texts_hit]
+                kept = [joined[starts[i] : ends[i]].tobytes() for i in texts_hit]
                 yield pa.record_batch(
                     [
                         batch.column("id").take(pa.array(first + texts_hit)),

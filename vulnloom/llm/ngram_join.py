@@ -43,7 +43,7 @@ WORDS = 5
 PERCENT = 80
 FREQUENT = 100_000
 # An n-gram counts as seen by a task if a run of this many n-grams has it at least so often.
-COUNTED = 2_000_000
+COUNTED = 1_000_000
 LEAST_COUNT = 3
 FRAGMENT_BITS = 3
 # Pairs of one document whose sets are compared in one place.
@@ -432,7 +432,8 @@ def assigned(df: DataFrame, id_col: str, text_col: str, percent: int = PERCENT,
 def similar_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
     """(id_col, n_shingles, component_id) of each row; the component is named by its smallest id."""
     named = cut(assigned(df, id_col, text_col, percent))
-    names = named.where("label is not null").groupBy("label").agg(F.min("id").alias("component"))
+    # Written down, so that the join sees two plain inputs and Spark can split a large component.
+    names = cut(named.where("label is not null").groupBy("label").agg(F.min("id").alias("component")))
     return named.join(names, "label", "left").select(
         F.col("id").alias(id_col),
         F.col("n").alias("n_shingles"),
@@ -451,7 +452,7 @@ def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", p
     rows = named.where("label is not null").select(
         "label", F.col("id").isNull().alias("unnamed"), "id", key(F.col("id"), F.col("version")).alias("_key")
     )
-    first = rows.groupBy("label").agg(F.min(F.struct("unnamed", "id", "_key")).alias("first"))
+    first = cut(rows.groupBy("label").agg(F.min(F.struct("unnamed", "id", "_key")).alias("first")))
     others = rows.join(first, "label").groupBy("_key").agg(
         F.count(F.lit(1)).alias("times"), F.first(F.col("first._key")).alias("first_key")
     )

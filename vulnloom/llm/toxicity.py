@@ -113,15 +113,15 @@ def sample(documents: DataFrame, labels: DataFrame, id_col: str, text_col: str,
                 yield pa.record_batch(
                     [
                         batch.column("label").slice(first, len(held)),
-                        pa.array([a for a, _ in own], pa.list_(pa.int64())),
-                        pa.array([v for _, v in own], pa.list_(pa.float64())),
-                        pa.array([a if o else None for (a, _), o in zip(other, others)], pa.list_(pa.int64())),
-                        pa.array([v if o else None for (_, v), o in zip(other, others)], pa.list_(pa.float64())),
+                        pa.array([a for a, _ in own], pa.list_(pa.int32())),
+                        pa.array([v for _, v in own], pa.list_(pa.float32())),
+                        pa.array([a if o else None for (a, _), o in zip(other, others)], pa.list_(pa.int32())),
+                        pa.array([v if o else None for (_, v), o in zip(other, others)], pa.list_(pa.float32())),
                     ],
                     ["label", "buckets", "shares", "other_buckets", "other_shares"],
                 )
 
-    schema = "label int, buckets array<bigint>, shares array<double>, other_buckets array<bigint>, other_shares array<double>"
+    schema = "label int, buckets array<int>, shares array<float>, other_buckets array<int>, other_shares array<float>"
     return rows.mapInArrow(run, schema).toArrow()
 
 
@@ -136,8 +136,8 @@ def fit(rows: pa.Table, counterfactual: float = COUNTERFACTUAL) -> Model:
 
     def flat(buckets: str, shares: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         lists = rows.column(buckets).combine_chunks()
-        lengths = np.array([len(x) if x.is_valid else 0 for x in lists], np.int64)
-        owner = np.repeat(np.arange(len(lists)), lengths)
+        lengths = np.array([len(x) if x.is_valid else 0 for x in lists])
+        owner = np.repeat(np.arange(len(lists), dtype=np.int32), lengths)
         return owner, lists.flatten().to_numpy(), rows.column(shares).combine_chunks().flatten().to_numpy()
 
     owner, at, value = flat("buckets", "shares")
