@@ -85,3 +85,50 @@ def test_bitmap_holds_all_members(spark, n):
     assert bitmap.contains(words, hashes.view(np.uint64)).all()
     others = np.random.default_rng(2).integers(0, 2**63, 10_000).astype(np.uint64)
     assert bitmap.contains(words, others).mean() < 0.001
+
+
+def test_short_items_with_a_replaced_word(spark):
+    """Every replaced word that the verification accepts, and no other; no mask takes part in what is expected."""
+    items = {n: [f"i{n}w{k}" for k in range(n)] for n in range(5, 18)}
+    docs, expected = [], set()
+    for n, item in items.items():
+        least = min(decontaminate.MATCHED_WORDS, -(-70 * n // 100))
+        own = decontaminate.word_hashes(" ".join(item).encode())
+        for k in range(n):
+            changed = [*item[:k], "other", *item[k + 1 :]]
+            docs.append((len(docs), " ".join(["a", "b", "c", *changed, "d", "e"])))
+            words = decontaminate.word_hashes(docs[-1][1].encode())
+            if max(decontaminate.best_stretch(words, own, d)[0] for d in range(len(words))) >= least:
+                expected.add((docs[-1][0], n))
+    assert {n for _, n in expected} == set(items)
+    documents = spark.createDataFrame(docs, "doc_id bigint, text string")
+    benchmark = spark.createDataFrame([(n, " ".join(x)) for n, x in items.items()], "item_id bigint, text string")
+    assert {(r.doc_id, r.item_id) for r in decontaminate.contaminated(documents, benchmark).collect()} == expected
+
+
+def stretches_without(masks, least):
+    """Whether a stretch of the verification with `least` equal words holds none of the masks."""
+    width = max(map(len, masks))
+    seen, todo = set(), {("", 0, 0, 0)}  # last words, score, highest score before, equal words
+    while todo:
+        seen |= todo
+        longer = set()
+        for last, score, highest, equal in todo:
+            for word, gain in (("1", 1), ("0", -decontaminate.PENALTY)):
+                now = (last + word)[-width:]
+                held = any(all(c == "0" or w == "1" for c, w in zip(m, now[-len(m) :])) for m in masks if len(m) <= len(now))
+                if held or score + gain < 0:
+                    continue
+                total = min(equal + gain, least) if word == "1" else equal
+                if total >= least and score + gain > highest:
+                    return True
+                longer.add((now, score + gain, max(highest, score + gain), total))
+        todo = longer - seen
+    return False
+
+
+def test_masks_miss_no_stretch():
+    least = lambda n: min(decontaminate.MATCHED_WORDS, -(-70 * n // 100))
+    assert not stretches_without(decontaminate.MASKS, least(decontaminate.LEAST_ITEM))
+    assert not stretches_without(decontaminate.LONG_MASKS, least(decontaminate.LONG_ITEM))
+    assert stretches_without(["110110101101", "111001011011", "101101110011", "11111111"], 9)

@@ -3,15 +3,15 @@
 A fixed mask slides over the words of a text and hashes the words at its ones; the words at its zeros
 may differ. Hashes of documents and benchmark items are joined, and around every hit the item is laid
 over the document at the same distance and compared word by word, so a passage is found although
-words in it were replaced.
+words in it were replaced. Every stretch similar enough to be reported holds one of the masks for items
+of its length, so hashing loses none.
 
 Documents are read in place: a bitmap of the benchmark's hashes, of fixed size, tells which positions
 can hit at all, and only documents with such positions go on, as word hashes instead of texts. Equal
 texts are searched once, and equal items count as the one with the smallest id.
 
 Words are compared in lower case without ASCII punctuation. Items with fewer than `LEAST_ITEM` words
-say too little and are not searched; those shorter than a mask must occur whole. Null texts, empty
-texts and null ids of items match nothing.
+say too little and are not searched. Null texts, empty texts and null ids of items match nothing.
 """
 
 from __future__ import annotations
@@ -27,7 +27,13 @@ from pyspark.sql import DataFrame, functions as F
 from vulnloom.llm import bitmap, text_features
 from vulnloom.llm.common import cut, text_chunks
 
-MASKS = ["110110101101", "111001011011", "101101110011", "11111111"]
+# Any stretch with at least four equal words that earns more than it loses holds one of these; an item of
+# `LEAST_ITEM` words needs four.
+MASKS = ["1111", "11011"]
+# Items of so many words need nine equal ones at least, and stretches with nine hold one of the heavier
+# masks, which fewer other texts hit.
+LONG_ITEM = 12
+LONG_MASKS = ["1011111", "1110111", "101100111", "110010111", "110100111"]
 LEAST_ITEM = 5
 # What the best stretch of an item must hold: so many equal words, or this share of a short item.
 MATCHED_WORDS = 12
@@ -95,7 +101,11 @@ def items(benchmark: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return found.groupBy("words").agg(F.min("item_id").alias("item_id")).select("item_id", "words")
 
 
-def _item_seeds(found: DataFrame, masks: list[str]) -> DataFrame:
+def _masks_for(n_words: int) -> list[str]:
+    return MASKS if n_words < LONG_ITEM else LONG_MASKS
+
+
+def _item_seeds(found: DataFrame) -> DataFrame:
     id_type = found.schema["item_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -103,11 +113,7 @@ def _item_seeds(found: DataFrame, masks: list[str]) -> DataFrame:
             at, hashes, places = [], [], []
             for i, words in enumerate(batch.column("words")):
                 words = np.frombuffer(words.as_py(), np.uint32)
-                shortest = min(map(len, MASKS))
-                for mask in masks:
-                    # A mask of ones that was made for short items is for those of its length only.
-                    if mask not in MASKS and (len(mask) != len(words) or len(words) >= shortest):
-                        continue
+                for mask in _masks_for(len(words)):
                     own = seeds(words, mask)
                     at += [i] * len(own)
                     hashes.append(own)
@@ -193,12 +199,9 @@ def contaminated(
     which `n_matched` are equal.
     """
     distinct = cut(items(benchmark, item_id_col, item_text_col))
-    lengths = distinct.select((F.octet_length("words") / 4).cast("int").alias("n")).where(
-        F.col("n") < min(map(len, MASKS))
-    )
-    short = sorted(r.n for r in lengths.distinct().collect())  # fewer than the shortest mask is long
-    masks = [*MASKS, *("1" * n for n in short)]
-    item_seeds = cut(_item_seeds(distinct, masks))
+    long = distinct.select((F.octet_length("words") >= 4 * LONG_ITEM).alias("long")).distinct().collect()
+    masks = sorted({m for r in long for m in (LONG_MASKS if r.long else MASKS)}) or MASKS
+    item_seeds = cut(_item_seeds(distinct))
     words = bitmap.build(item_seeds.select("h"), "h")
     rows = documents.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     hits = cut(_document_hits(rows, words, masks))
