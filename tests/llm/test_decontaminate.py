@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pytest
 
-from vulnloom.llm import bitmap, decontaminate
+from vulnloom.llm import bitmap, decontaminate, queries
 
 WORDS = ["w%d" % i for i in range(400)]
 
@@ -106,6 +106,16 @@ def test_short_items_with_a_replaced_word(spark):
     assert {(r.doc_id, r.item_id) for r in decontaminate.contaminated(documents, benchmark).collect()} == expected
 
 
+def test_every_id_of_equal_items(spark, tmp_path):
+    item = " ".join(f"q{i}" for i in range(20))
+    documents = spark.createDataFrame([(1, "a b " + item), (2, item), (3, "a b")], "doc_id bigint, text string")
+    benchmark = spark.createDataFrame([(9, item), (8, item.upper()), (8, item), (7, "other " + item)], "item_id bigint, text string")
+    benchmark.write.parquet(f"{tmp_path}/benchmark.parquet")
+    documents.write.parquet(f"{tmp_path}/documents.parquet")
+    found = [(r.doc_id, r.item_id) for r in queries.op8_decontaminate(spark, str(tmp_path)).collect()]
+    assert sorted(found) == [(d, i) for d in (1, 2) for i in (7, 8, 9)]
+
+
 def stretches_without(masks, least):
     """Whether a stretch of the verification with `least` equal words holds none of the masks."""
     width = max(map(len, masks))

@@ -8,7 +8,8 @@ of its length, so hashing loses none.
 
 Documents are read in place: a bitmap of the benchmark's hashes, of fixed size, tells which positions
 can hit at all, and only documents with such positions go on, as word hashes instead of texts. Equal
-texts are searched once, and equal items count as the one with the smallest id.
+texts are searched once, and so are equal items; they are reported as the one with the smallest id, or
+as all of them with `every_id`.
 
 Words are compared in lower case without ASCII punctuation. Items with fewer than `LEAST_ITEM` words
 say too little and are not searched. Null texts, empty texts and null ids of items match nothing.
@@ -84,7 +85,7 @@ def best_stretch(words: np.ndarray, item: np.ndarray, offset: int) -> tuple[int,
 
 
 def items(benchmark: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(item_id, words) of the distinct items."""
+    """(item_id, item, words) of each item; `item` is the digest of its words."""
     rows = benchmark.where(F.col(id_col).isNotNull()).select(
         F.col(id_col).alias("item_id"), F.col(text_col).cast("string").alias("text")
     )
@@ -94,11 +95,12 @@ def items(benchmark: DataFrame, id_col: str, text_col: str) -> DataFrame:
         for batch in batches:
             texts = [word_hashes(x.as_py().encode("utf-8") if x.is_valid else b"") for x in batch.column("text")]
             long = [len(t) >= LEAST_ITEM for t in texts]
-            words = pa.array([t.tobytes() for t in texts], pa.binary())
-            yield pa.record_batch([batch.column("item_id"), words], ["item_id", "words"]).filter(pa.array(long))
+            words = [t.tobytes() for t in texts]
+            digests = pa.array([xxhash.xxh128_digest(w) for w in words], pa.binary())
+            columns = [batch.column("item_id"), digests, pa.array(words, pa.binary())]
+            yield pa.record_batch(columns, ["item_id", "item", "words"]).filter(pa.array(long, pa.bool_()))
 
-    found = rows.mapInArrow(run, f"item_id {id_type}, words binary")
-    return found.groupBy("words").agg(F.min("item_id").alias("item_id")).select("item_id", "words")
+    return rows.mapInArrow(run, f"item_id {id_type}, item binary, words binary")
 
 
 def _masks_for(n_words: int) -> list[str]:
@@ -106,8 +108,6 @@ def _masks_for(n_words: int) -> list[str]:
 
 
 def _item_seeds(found: DataFrame) -> DataFrame:
-    id_type = found.schema["item_id"].dataType.simpleString()
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at, hashes, places = [], [], []
@@ -119,10 +119,10 @@ def _item_seeds(found: DataFrame) -> DataFrame:
                     hashes.append(own)
                     places += range(len(own))
             hashes = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
-            ids = batch.column("item_id").take(pa.array(at, pa.int64()))
-            yield pa.record_batch([ids, pa.array(hashes.view(np.int64)), pa.array(places, pa.int64())], ["item_id", "h", "place"])
+            owners = batch.column("item").take(pa.array(at, pa.int64()))
+            yield pa.record_batch([owners, pa.array(hashes.view(np.int64)), pa.array(places, pa.int64())], ["item", "h", "place"])
 
-    return found.mapInArrow(run, f"item_id {id_type}, h bigint, place bigint")
+    return found.mapInArrow(run, "item binary, h bigint, place bigint")
 
 
 def _document_hits(rows: DataFrame, words: np.ndarray, masks: list[str]) -> DataFrame:
@@ -165,24 +165,23 @@ def _document_hits(rows: DataFrame, words: np.ndarray, masks: list[str]) -> Data
 
 
 def _verified(laid: DataFrame) -> DataFrame:
-    """(digest, item_id, n_matched, first_word, n_words, item_words) of the passages that are similar enough."""
-    id_type = laid.schema["item_id"].dataType.simpleString()
+    """(digest, item, n_matched, first_word, n_words, item_words) of the passages that are similar enough."""
     names = ["n_matched", "first_word", "n_words", "item_words"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found, keep = [], []
-            for words, item, offsets in zip(batch.column("words"), batch.column("item"), batch.column("offsets")):
+            for words, item, offsets in zip(batch.column("words"), batch.column("own"), batch.column("offsets")):
                 words, item = np.frombuffer(words.as_py(), np.uint32), np.frombuffer(item.as_py(), np.uint32)
                 stretches = [best_stretch(words, item, d) for d in sorted(offsets.as_py())]
                 best = max(stretches, key=lambda s: (s[0], -s[1]))
                 found.append((*best, len(item)))
                 keep.append(best[0] >= min(MATCHED_WORDS, -(-int(MATCHED_SHARE * 100) * len(item) // 100)))
             columns = [pa.array([f[i] for f in found], pa.int64()) for i in range(4)]
-            rows = pa.record_batch([batch.column("digest"), batch.column("item_id"), *columns], ["digest", "item_id", *names])
+            rows = pa.record_batch([batch.column("digest"), batch.column("item"), *columns], ["digest", "item", *names])
             yield rows.filter(pa.array(keep, pa.bool_()))
 
-    return laid.mapInArrow(run, f"digest binary, item_id {id_type}, " + ", ".join(f"{n} bigint" for n in names))
+    return laid.mapInArrow(run, "digest binary, item binary, " + ", ".join(f"{n} bigint" for n in names))
 
 
 def contaminated(
@@ -192,13 +191,19 @@ def contaminated(
     text_col: str = "text",
     item_id_col: str = "item_id",
     item_text_col: str = "text",
+    every_id: bool = False,
 ) -> DataFrame:
     """(id_col, item_id, n_matched, first_word, n_words, item_words): passages of items in documents.
 
     One row for a document and an item: its best stretch of `n_words` words from `first_word` on, of
-    which `n_matched` are equal.
+    which `n_matched` are equal. Of items with equal words the one with the smallest id has the row, or
+    each has with `every_id`.
     """
-    distinct = cut(items(benchmark, item_id_col, item_text_col))
+    named = cut(items(benchmark, item_id_col, item_text_col))
+    ids = named.select("item", "item_id").distinct()
+    if not every_id:
+        ids = ids.groupBy("item").agg(F.min("item_id").alias("item_id"))
+    distinct = cut(named.groupBy("item").agg(F.first("words").alias("words")))
     long = distinct.select((F.octet_length("words") >= 4 * LONG_ITEM).alias("long")).distinct().collect()
     masks = sorted({m for r in long for m in (LONG_MASKS if r.long else MASKS)}) or MASKS
     item_seeds = cut(_item_seeds(distinct))
@@ -213,15 +218,18 @@ def contaminated(
     )
     offsets = (
         places.join(item_seeds, "h")
-        .groupBy("digest", "item_id")
+        .groupBy("digest", "item")
         .agg(F.collect_set(F.col("at") - F.col("place")).alias("offsets"))
     )
     laid = offsets.join(texts.select("digest", "words"), "digest").join(
-        distinct.select("item_id", F.col("words").alias("item")), "item_id"
+        distinct.select("item", F.col("words").alias("own")), "item"
     )
-    found = _verified(laid.select("digest", "item_id", "words", "item", "offsets"))
+    found = _verified(laid.select("digest", "item", "words", "own", "offsets")).join(ids, "item")
     return (
-        hits.select("id", "digest").distinct().join(found, "digest").drop("digest").withColumnRenamed("id", id_col)
+        hits.select("id", "digest")
+        .distinct()
+        .join(found, "digest")
+        .select(F.col("id").alias(id_col), "item_id", "n_matched", "first_word", "n_words", "item_words")
     )
 
 
