@@ -2,6 +2,7 @@
 
 import random
 
+import corpus_pipeline
 import numpy as np
 import pytest
 
@@ -116,6 +117,20 @@ def test_every_id_of_equal_items(spark, tmp_path):
     assert sorted(found) == [(d, i) for d in (1, 2) for i in (7, 8, 9)]
 
 
+def test_null_ids_take_part(spark, tmp_path):
+    one, other = (" ".join(f"{c}{i}" for i in range(20)) for c in "qr")
+    texts = [(1, "a b " + one), (None, "c " + one), (None, other + " d"), (None, "e f g"), (None, None), (2, "e f g"), (3, None)]
+    documents = spark.createDataFrame(texts, "doc_id bigint, text string")
+    benchmark = spark.createDataFrame([(9, one), (None, other), (None, "e f")], "item_id bigint, text string")
+    benchmark.write.parquet(f"{tmp_path}/benchmark.parquet")
+    documents.write.parquet(f"{tmp_path}/documents.parquet")
+    kept = corpus_pipeline.remove_benchmark(spark, documents, str(tmp_path))
+    assert kept.columns == documents.columns
+    assert sorted(map(str, kept.collect())) == sorted(map(str, documents.where("text = 'e f g' or text is null").collect()))
+    found = queries.op8_decontaminate(spark, str(tmp_path)).collect()
+    assert sorted(str((r.doc_id, r.item_id)) for r in found) == ["(1, 9)", "(None, 9)", "(None, None)"]
+
+
 def stretches_without(masks, least):
     """Whether a stretch of the verification with `least` equal words holds none of the masks."""
     width = max(map(len, masks))

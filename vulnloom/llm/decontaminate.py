@@ -12,7 +12,8 @@ texts are searched once, and so are equal items; they are reported as the one wi
 as all of them with `every_id`.
 
 Words are compared in lower case without ASCII punctuation. Items with fewer than `LEAST_ITEM` words
-say too little and are not searched. Null texts, empty texts and null ids of items match nothing.
+say too little and are not searched. Null texts and empty texts match nothing. Items with a null id are
+searched with `null_ids`, and `clean` then also decides on documents with a null id, each by its text.
 """
 
 from __future__ import annotations
@@ -84,9 +85,9 @@ def best_stretch(words: np.ndarray, item: np.ndarray, offset: int) -> tuple[int,
     return int(same[start:end].sum()), offset + a + start, end - start
 
 
-def items(benchmark: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def items(benchmark: DataFrame, id_col: str, text_col: str, null_ids: bool = False) -> DataFrame:
     """(item_id, item, words) of each item; `item` is the digest of its words."""
-    rows = benchmark.where(F.col(id_col).isNotNull()).select(
+    rows = benchmark.where(F.lit(null_ids) | F.col(id_col).isNotNull()).select(
         F.col(id_col).alias("item_id"), F.col(text_col).cast("string").alias("text")
     )
     id_type = rows.schema["item_id"].dataType.simpleString()
@@ -192,14 +193,15 @@ def contaminated(
     item_id_col: str = "item_id",
     item_text_col: str = "text",
     every_id: bool = False,
+    null_ids: bool = False,
 ) -> DataFrame:
     """(id_col, item_id, n_matched, first_word, n_words, item_words): passages of items in documents.
 
     One row for a document and an item: its best stretch of `n_words` words from `first_word` on, of
     which `n_matched` are equal. Of items with equal words the one with the smallest id has the row, or
-    each has with `every_id`.
+    each has with `every_id`. Items with a null id are searched with `null_ids`.
     """
-    named = cut(items(benchmark, item_id_col, item_text_col))
+    named = cut(items(benchmark, item_id_col, item_text_col, null_ids))
     ids = named.select("item", "item_id").distinct()
     if not every_id:
         ids = ids.groupBy("item").agg(F.min("item_id").alias("item_id"))
@@ -233,6 +235,17 @@ def contaminated(
     )
 
 
-def clean(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """`documents` without those that hold a passage of the benchmark."""
-    return bitmap.without(documents, contaminated(documents, benchmark, id_col, text_col), id_col)
+def clean(
+    documents: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", null_ids: bool = False
+) -> DataFrame:
+    """`documents` without those that hold a passage of the benchmark.
+
+    Documents with a null id stay, and items with a null id are not searched, unless `null_ids` is set.
+    """
+    if not null_ids:
+        return bitmap.without(documents, contaminated(documents, benchmark, id_col, text_col), id_col)
+    text = F.sha2(F.col(text_col).cast("string"), 256)
+    own = F.when(F.col(id_col).isNotNull(), F.concat(F.lit("id "), F.col(id_col).cast("string")))
+    keyed = documents.withColumn("_key", own.otherwise(F.concat(F.lit("text "), text)))
+    found = contaminated(keyed, benchmark, "_key", text_col, null_ids=True)
+    return bitmap.without(keyed, found, "_key").drop("_key")
