@@ -12,7 +12,6 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, functions as F
 
 from vulnloom.config import RuleConfig
-from vulnloom.constants import DIGEST_TOKEN_BUDGET
 from vulnloom.functions import paths, text
 from vulnloom.operators import (
     dependencies as dependency_ops,
@@ -166,8 +165,8 @@ def detect(
     )
 
 
-def digest(found: Detection, max_tokens: int = DIGEST_TOKEN_BUDGET) -> tuple[DataFrame, DataFrame]:
-    """(sections kept, all planned sections)."""
+def digest(found: Detection, max_tokens: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(sections kept, all planned sections); all are kept unless a budget is passed."""
     repos = found.summary.select("repo_id")
     return digest_ops.build_digest(repos, found.manifest, found.files, found.functions, found.findings, max_tokens)
 
