@@ -69,6 +69,16 @@ def test_one_label_and_none(spark):
     assert toxicity.predictions(documents.limit(0), none).collect() == []
 
 
+def test_a_repeated_id_is_one_text_of_the_sample(spark):
+    rows = [(i, f"t{i}") for i in range(20)] + [(3, f"again {k}") for k in range(500)] + [(5, None)] * 50
+    documents = spark.createDataFrame(rows, "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(20)], "doc_id bigint, toxic int")
+    chosen = sum(not is_held_out(i) for i in range(20))
+    sample = toxicity.sample(documents, labels, "doc_id", "text", "toxic")
+    assert sample.num_rows == chosen
+    assert toxicity.sample(documents.repartition(7), labels, "doc_id", "text", "toxic").num_rows == chosen
+
+
 def test_swapping_moves_the_score_less_with_the_penalty(spark):
     rows = sentences(600, with_terms=True)
     documents = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id bigint, text string")

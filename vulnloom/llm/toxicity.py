@@ -6,7 +6,8 @@ people, the names are swapped for those of the next group of the same list; the
 squared change of the score between both versions, so naming a group moves no score by itself.
 
 The classifier is fitted by the driver on a bounded sample of labelled rows: at most
-`SAMPLE_PER_LABEL` of each label, chosen by a hash of the id. Scoring reads every text whole, in
+`SAMPLE_PER_LABEL` of each label, chosen by a hash of the id; of a document with several texts the one with
+the smallest hash counts. Scoring reads every text whole, in
 one pass without a shuffle.
 
 A null text is an empty one; a text without words gets the score of the bias alone. Labels that are
@@ -102,7 +103,9 @@ def sample(documents: DataFrame, labels: DataFrame, id_col: str, text_col: str,
         chosen = part if chosen is None else chosen.unionByName(part)
     chosen = chosen.select(F.col(id_col).alias("_id"), F.col("_label").cast("int").alias("label"))
     texts = documents.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("text"))
-    rows = texts.join(F.broadcast(chosen), "_id").select("label", "text")
+    text = F.coalesce("text", F.lit(""))
+    first = F.min(F.struct(F.xxhash64(text).alias("h"), text.alias("text")))
+    rows = texts.join(F.broadcast(chosen), "_id").groupBy("_id", "label").agg(first.alias("first")).select("label", "first.text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
