@@ -42,6 +42,19 @@ def test_layout(name):
     assert rendered(page) == text
 
 
+def test_bars_in_the_last_cell_stay():
+    assert rendered("<table><tr><td>a<td>|<tr><td>or<td>||<tr><td>x<td>y |<tr><td>z<td></table>") == "a  | |\nor | ||\nx  | y |\nz"
+
+
+def test_long_spans():
+    rows = "".join(f"<tr><td>{i}" for i in range(150))
+    lines = rendered(f"<table><tr><td rowspan=151>r<td>b{rows}</table>").split("\n")
+    assert lines[1] == "  | 0" and lines[150] == "  | 149"
+    below = "<tr>" + "<td>" * 149 + "<td>x<td>y"
+    first, second = rendered(f"<table><tr><td colspan=150>a<td>b{below}</table>").split("\n")
+    assert first.index("b") == second.index("y")
+
+
 @pytest.mark.parametrize(
     "page",
     ["<div>" * 100_000 + "deep", "<p>" * 50_000 + "x", "<table><tr><td>" * 3_000 + "x", "<a b=\"" * 50_000, "<" * 100_000, "<!--" * 50_000, "&#x" * 50_000, "</b>" * 50_000]

@@ -58,7 +58,9 @@ FORMATTING = frozenset("a b big code em font i nobr s small strike strong tt u".
 TABLE_PARTS = frozenset("table tr td th thead tbody tfoot caption".split())
 
 WIDEST_ALIGNED = 40
-LARGEST_SPAN = 100
+# The limits of HTML.
+MOST_COLUMNS = 1000
+MOST_ROWS = 65_534
 
 _NAME = re.compile(r"[a-zA-Z][^\s/>]*")
 _ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
@@ -287,9 +289,9 @@ class _Page:
         return self.lines
 
 
-def _span(attributes: dict[str, str], name: str) -> int:
+def _span(attributes: dict[str, str], name: str, most: int) -> int:
     value = attributes.get(name, "")
-    return min(max(int(value), 1), LARGEST_SPAN) if value.isascii() and value.isdigit() and len(value) < 9 else 1
+    return min(max(int(value), 1), most) if value.isascii() and value.isdigit() and len(value) < 9 else 1
 
 
 def _grid(rows: list[list[tuple[list[str], int, int]]]) -> list[str]:
@@ -322,7 +324,9 @@ def _grid(rows: list[list[tuple[list[str], int, int]]]) -> list[str]:
                 width = sum(widths.get(c, 0) for c in range(column, column + across)) + 3 * (across - 1)
                 line.append((lines[i] if i < len(lines) else "").ljust(width))
                 column += across
-            out.append(" | ".join(line).rstrip(" |"))
+            while line and not line[-1].strip(" "):
+                line.pop()
+            out.append(" | ".join(line).rstrip(" "))
     return out
 
 
@@ -366,7 +370,7 @@ def rendered(page: str) -> str:
             out.gap(1)
         elif tag in ("td", "th") and state:
             lines = pages.pop().finished()
-            tables[-1][-1].append((lines, _span(node.attributes, "colspan"), _span(node.attributes, "rowspan")))
+            tables[-1][-1].append((lines, _span(node.attributes, "colspan", MOST_COLUMNS), _span(node.attributes, "rowspan", MOST_ROWS)))
         elif tag == "table":
             pages[-1].block(_grid(tables.pop()))
         else:
