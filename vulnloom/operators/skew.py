@@ -20,11 +20,16 @@ def cut(df: DataFrame) -> DataFrame:
     columns they need and tells the optimizer how large it is. Only a local session falls back to
     a folder of its own. The tables of an application share one folder until `close` removes it.
     """
-    path = f"{_scratch(df.sparkSession)}/{uuid.uuid4().hex}"
+    path = checkpoint_path(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def checkpoint_path(spark: SparkSession) -> str:
+    """A new path beside the tables of `cut`, which `close` removes with them."""
+    return f"{_scratch(spark)}/{uuid.uuid4().hex}"
+
+
 def _scratch(spark: SparkSession) -> str:
     return f"{_checkpoint_dir(spark).rstrip('/')}/vulnloom-{spark.sparkContext.applicationId}"
 
