@@ -92,4 +92,67 @@ reach AS (
 SELECT d.doc_id, coalesce(s.n, 0) AS n_shingles, least(d.doc_id, coalesce(r.b, d.doc_id)) AS component_id
 FROM documents d LEFT JOIN sizes s USING (doc_id) LEFT JOIN (SELECT a, min(b) AS b FROM reach GROUP BY a) r ON r.a = d.doc_id"""
 
-ORACLES = {"op1_secret_scan": OP1, "op3_chat_format": OP3, "op7_ngram_join": OP7}
+# Every round is a step of its own: scores with all centroids, floors of the means, next centroids.
+_ROUND = """
+ scores{i} AS MATERIALIZED (
+ SELECT r, any_value(p) AS p, min(d * 8 + c) AS best FROM (
+  SELECT x.r, x.p, y.c, list_sum(list_transform(range(1, 65), lambda j: (x.p[j] - y.p[j]) * (x.p[j] - y.p[j]))) AS d
+  FROM points x, centres{i} y) GROUP BY r),
+ means{i} AS (
+ SELECT c, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY j) AS p FROM (
+  SELECT best % 8 AS c, j, sum(p[j]) AS s, count(*) AS n FROM scores{i}, range(1, 65) AS t(j) GROUP BY 1, 2) GROUP BY c),
+ centres{k} AS MATERIALIZED (
+ SELECT y.c, coalesce(m.p, y.p) AS p FROM centres{i} y LEFT JOIN means{i} m ON m.c = y.c)"""
+
+OP11 = f"""
+WITH points AS MATERIALIZED (
+ SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS p
+ FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+ centres0 AS MATERIALIZED (
+ SELECT row_number() OVER (ORDER BY sha256('3:' || vec_id), p) - 1 AS c, p FROM points WHERE vec_id IS NOT NULL
+ QUALIFY row_number() OVER (ORDER BY sha256('3:' || vec_id), p) <= 8),
+{",".join(_ROUND.format(i=i, k=i + 1) for i in range(11))},
+ found AS (SELECT r, best % 8 AS c, best // 8 AS d FROM scores10)
+SELECT vec_id, CAST(f.c AS INTEGER) AS cluster, CAST(d AS BIGINT) AS distance,
+ CAST(sum(d) OVER (PARTITION BY f.c) AS BIGINT) AS cluster_inertia, CAST(sum(d) OVER () AS BIGINT) AS inertia,
+ sha256(array_to_string(y.p, ',')) AS centroid_sha256
+FROM found f JOIN points USING (r) JOIN centres10 y ON y.c = f.c"""
+
+OP12 = """
+WITH drawn AS (
+ SELECT doc_id, coalesce(text, '') AS body, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS units,
+  sha256('7:' || doc_id) AS h FROM documents),
+cuts AS (
+ SELECT doc_id, body, units, len(units) AS n, doc_id IS NULL OR body = '' OR contains(body, '<P>') OR contains(body, '<S>')
+   OR contains(body, '<M>') AS plain, CAST('0x' || substr(h, 25, 8) AS UBIGINT) % 100 < 50 AS spm,
+  CAST('0x' || substr(h, 1, 8) AS UBIGINT) % (len(units) + 1) AS a, CAST('0x' || substr(h, 9, 8) AS UBIGINT) % (len(units) + 1) AS b
+ FROM drawn),
+parts AS (
+ SELECT doc_id, body, n, plain, spm, array_to_string(units[1:least(a, b)], '') AS prefix,
+  array_to_string(units[least(a, b) + 1:greatest(a, b)], '') AS middle, array_to_string(units[greatest(a, b) + 1:], '') AS suffix
+ FROM cuts)
+SELECT doc_id, CAST(n AS BIGINT) AS n, CASE WHEN plain THEN 'plain' WHEN spm THEN 'spm' ELSE 'psm' END AS form,
+ CASE WHEN NOT plain THEN length(prefix) END AS prefix_chars, CASE WHEN NOT plain THEN length(middle) END AS middle_chars,
+ sha256(CASE WHEN plain THEN body WHEN spm THEN '<S>' || suffix || '<P>' || prefix || '<M>' || middle
+  ELSE '<P>' || prefix || '<S>' || suffix || '<M>' || middle END) AS output_sha256,
+ sha256(body) AS restored_sha256
+FROM parts"""
+
+OP13 = """
+WITH payloads AS (SELECT DISTINCT page_id, coalesce(html, '') AS body FROM pages),
+kept AS (
+ SELECT page_id, strlen(body) AS size, sha1(body) AS digest, max(page_id) OVER (PARTITION BY body) AS keeper FROM payloads),
+judged AS (
+ SELECT *, size >= 1000 AND keeper IS NOT NULL AND (page_id IS NULL OR page_id < keeper) AS again FROM kept)
+SELECT page_id, CAST(size AS BIGINT) AS payload_bytes, digest AS payload_digest,
+ CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN again THEN keeper END AS refers_to
+FROM judged"""
+
+ORACLES = {
+    "op1_secret_scan": OP1,
+    "op3_chat_format": OP3,
+    "op7_ngram_join": OP7,
+    "op11_shallot": OP11,
+    "op12_fill_in_middle": OP12,
+    "op13_warc": OP13,
+}

@@ -9,13 +9,16 @@ from vulnloom.llm import (
     byte_bpe,
     chat_format,
     decontaminate,
+    fill_in_middle,
     html_layout,
     language_id,
     ngram_join,
     quality_rules,
     secret_scan,
+    shallot,
     token_counts,
     toxicity,
+    warc,
 )
 from vulnloom.llm.common import table
 
@@ -67,6 +70,18 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predictions(documents, language_id.trained(documents))
 
 
+def op11_shallot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shallot.clustered(table(spark, sf_dir, "embeddings"), k=8, rounds=10, seed=3, dims=64)
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_in_middle.digests(table(spark, sf_dir, "documents"))
+
+
+def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
     "op2_byte_bpe": op2_byte_bpe,
@@ -78,4 +93,7 @@ QUERIES = {
     "op8_decontaminate": op8_decontaminate,
     "op9_token_counts": op9_token_counts,
     "op10_language_id": op10_language_id,
+    "op11_shallot": op11_shallot,
+    "op12_fill_in_middle": op12_fill_in_middle,
+    "op13_warc": op13_warc,
 }
