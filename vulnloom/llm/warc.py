@@ -25,6 +25,8 @@ has all. Other columns are not looked at; an empty table gives an empty archive
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -149,32 +151,52 @@ def _joined_pieces(rows: pd.DataFrame) -> pd.DataFrame:
 
 def _pieces(spark: SparkSession, path: str) -> DataFrame:
     text = spark.read.option("lineSep", VERSION).text(path)
-    return text.select(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("seq"), "value")
+    _, begins, length = _sized(F.col("value"))
+    return text.select(
+        F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("seq"), "value",
+        F.octet_length("value").cast("bigint").alias("size"), (begins + length).alias("need"),
+    )
+
+
+def read(spark: SparkSession, path: str, keep: Callable[[DataFrame], DataFrame] = lambda found: found) -> DataFrame:
+    """What `keep` makes of the records of an archive, stored; `keep` maps rows of `_parsed`, each by itself.
+
+    The archive is read once. Only if some piece turns out shorter than its record says are the files
+    with such pieces read again, to put their pieces together.
+    """
+    pieces = _pieces(spark, path)
+    marked = [F.col(c) for c in ("file", "size", "need")]
+    stored = cut(keep(_parsed(pieces, *marked)))
+    odd = cut(stored.where("need IS NULL OR need > size").select("file").distinct())
+    if odd.isEmpty():
+        return stored.drop("file", "size", "need")
+    again = keep(_parsed(_joined(pieces.join(odd, "file", "left_semi"))))
+    return stored.join(odd, "file", "left_anti").drop("file", "size", "need").unionByName(cut(again))
 
 
 def records(spark: SparkSession, path: str) -> DataFrame:
-    """(record_id, type, target_uri, date, concurrent_to, refers_to, payload_digest, content_type, whole, block)."""
-    pieces = _pieces(spark, path).where(F.trim(F.translate("value", END, "")) != "")
-    _, begins, length = _sized(F.col("value"))
-    sizes = pieces.select("file", "seq", F.octet_length("value").cast("bigint").alias("size"), (begins + length).alias("need"))
-    odd = cut(sizes.where("need IS NULL OR need > size").select("file").distinct())
-    if not odd.isEmpty():
-        # Some text looks like a version line. The pieces of these files are written down, so that
-        # their numbers stay, and numbers and sizes alone decide what belongs together.
-        stored = cut(pieces.join(odd, "file", "left_semi"))
-        _, begins, length = _sized(F.col("value"))
-        narrow = stored.select("file", "seq", F.octet_length("value").cast("bigint").alias("size"), (begins + length).cast("double").alias("need"))
-        parts = narrow.groupBy("file").applyInPandas(_joined_pieces, "file string, seq bigint, head bigint")
-        turns = F.array_sort(F.collect_list(F.struct("seq", "value")))
-        whole = F.array_join(F.transform(turns, lambda t: t["value"]), VERSION)
-        merged = stored.join(parts, ["file", "seq"]).groupBy("file", "head").agg(whole.alias("value"))
-        pieces = pieces.join(odd, "file", "left_anti").select("value").unionByName(merged.select("value"))
-    return _parsed(pieces)
-
-
-def _parsed(pieces: DataFrame) -> DataFrame:
+    """(record_id, type, target_uri, date, concurrent_to, refers_to, payload_digest, content_type, whole, block), stored."""
+    return read(spark, path)
+
+
+def _joined(pieces: DataFrame) -> DataFrame:
+    """The pieces with those put together that make up one record.
+
+    The pieces are written down, so that their numbers stay, and numbers and sizes alone decide what
+    belongs together.
+    """
+    stored = cut(pieces)
+    parts = stored.select("file", "seq", "size", F.col("need").cast("double")).groupBy("file").applyInPandas(
+        _joined_pieces, "file string, seq bigint, head bigint"
+    )
+    turns = F.array_sort(F.collect_list(F.struct("seq", "value")))
+    whole = F.array_join(F.transform(turns, lambda t: t["value"]), VERSION)
+    return stored.join(parts, ["file", "seq"]).groupBy("file", "head").agg(whole.alias("value")).where(F.btrim("value", F.lit(END)) != "")
+
+
+def _parsed(pieces: DataFrame, *marked: Column) -> DataFrame:
     header, begins, length = _sized(F.col("value"))
-    headed = pieces.select("value", header.alias("header"), begins.alias("begins"), length.alias("length"))
+    headed = pieces.select("value", header.alias("header"), begins.alias("begins"), length.alias("length"), *marked)
     data = F.col("value").cast("binary")
     block = F.substr(data, F.col("begins") + 1, F.coalesce(F.col("length"), F.lit(2**31 - 1)).cast("int"))
     ids = F.regexp_extract_all("header", F.lit(r"(?i)(?:^|\r\n)WARC-Concurrent-To:[ \t]*([^\r\n]*)"), 1)
@@ -189,6 +211,7 @@ def _parsed(pieces: DataFrame) -> DataFrame:
         _header(F.col("header"), "Content-Type").alias("content_type"),
         F.coalesce(F.octet_length("value") >= F.col("begins") + F.col("length"), F.lit(False)).alias("whole"),
         block.alias("block"),
+        *marked,
     )
 
 
@@ -258,10 +281,8 @@ def round_trip(pages: DataFrame, least: int = 1000) -> DataFrame:
     path = checkpoint_path(spark)
     write(pages, path, least)
     about = F.when(F.col("type") == "metadata", F.col("block").cast("string")).alias("about")
-    read = with_payload(records(spark, path)).select(
-        "record_id", "type", "concurrent_to", "refers_to", "payload_bytes", "payload_sha1", about
-    )
-    found = captures(cut(read)).withColumn("page_id", page_id(F.col("metadata.about")).cast(id_type))
+    narrow = lambda found: with_payload(found).drop("block", "payload", "target_uri", "date", "payload_digest", "content_type", "whole")
+    found = captures(read(spark, path, lambda found: narrow(found.withColumn("about", about)))).withColumn("page_id", page_id(F.col("metadata.about")).cast(id_type))
     whole = resolved(
         found,
         {"bytes": F.col("response.payload_bytes"), "digest": F.col("response.payload_sha1"), "owner": F.col("page_id")},
