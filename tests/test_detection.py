@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from vulnloom.config import USER_CONFIG, RuleConfig
-from vulnloom.operators import detection, findings, manifest, repo_config, rules, scope
+from vulnloom.operators import blocks, detection, findings, manifest, repo_config, rules, scope
 from vulnloom.operators.rules import classify
 from vulnloom.operators.skew import fits_broadcast
 from vulnloom.plans import scan
@@ -224,15 +224,14 @@ def test_many_changes_filter_findings_instead_of_contents(spark, files, monkeypa
         assert [r.file_path for r in found.findings.collect()] == [r.file_path for r in found.functions.collect()] == ["a.py"]
 
 
-def test_bucketed_files_are_not_shuffled(spark, files, tmp_path):
-    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+def test_files_are_cut_up_where_they_lie(spark, files, tmp_path, monkeypatch):
+    """No exchange stands above the scan of a files table when its blocks are written."""
     table = save_files(files({"a.py": "x\ny"}), "bucketed_files", str(tmp_path / "t"), buckets=2)
     wanted = spark.createDataFrame([("r", "a.py", 1), ("r", "a.py", 2)], "repo_id string, file_path string, line_start int")
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    shown = findings.line_snippets(wanted, table)
-    plan = shown._jdf.queryExecution().executedPlan().toString()
-    assert shown.count() == 2
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
-    scan_side = plan[plan.rindex("Sort [repo_id"):]
-    assert "Bucketed: true" in scan_side and "Exchange" not in scan_side
+    plans, real = [], blocks.cut
+    monkeypatch.setattr(blocks, "cut", lambda df: plans.append(df) or real(df))
+    assert findings.line_snippets(wanted, table).count() == 2
+    trees = [p._jdf.queryExecution().executedPlan().treeString() for p in plans]
+    over_files = [t for t in trees if "bucketed_files" in t]
+    assert len(over_files) == 1 and "Exchange" not in over_files[0].split("Subquery")[0]
     spark.sql("DROP TABLE bucketed_files")

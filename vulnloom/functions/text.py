@@ -82,12 +82,14 @@ def numbered(number: Column, line: Column) -> Column:
     return F.concat(F.repeat(F.lit(" "), F.greatest(4 - F.length(digits), F.lit(0))), digits, F.lit(" | "), line)
 
 
+def numbered_lines(lines: Column | str, start: Column) -> Column:
+    """Lines that follow the first `start` lines of a file, with their numbers."""
+    return F.transform(lines, lambda line, i: numbered(start + i + 1, line))
+
+
 def numbered_range(lines: Column, start: Column, end: Column) -> Column:
     """Numbered lines of the zero-based half-open range [start, end) as an array."""
-    return F.transform(
-        F.slice(lines, start + 1, F.greatest(end - start, F.lit(0))),
-        lambda line, i: numbered(start + i + 1, line),
-    )
+    return numbered_lines(F.slice(lines, start + 1, F.greatest(end - start, F.lit(0))), start)
 
 
 def snippet(lines: Column, line: Column, context: int) -> Column:

@@ -11,12 +11,11 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from vulnloom.config import RuleConfig
 from vulnloom.constants import SNIPPET_CONTEXT_LINES
-from vulnloom.functions.text import let, snippet, split_lines
+from vulnloom.functions.text import numbered_lines
+from vulnloom.operators.blocks import BlockStore, Range
 from vulnloom.operators.skew import number_rows
 
 FINDING_KEY = ["repo_id", "file_path", "line_start"]
-# Lines of one file looked up together; bounds the array a task holds per row.
-LINES_PER_LOOKUP = 1024
 
 
 def finding_id() -> Column:
@@ -28,25 +27,10 @@ def finding_id() -> Column:
 
 
 def line_snippets(targets: DataFrame, files: DataFrame, context: int = SNIPPET_CONTEXT_LINES) -> DataFrame:
-    """`code_snippet` for each distinct (repo_id, file_path, line_start) of `targets`.
-
-    Each file is split once per lookup group rather than once per line, and only files that are
-    asked for take part in the join.
-    """
-    group = F.floor(F.col("line_start") / LINES_PER_LOOKUP).alias("_group")
-    wanted = targets.groupBy("repo_id", "file_path", group).agg(F.collect_set("line_start").alias("_lines"))
-    texts = files.select("repo_id", F.col("relative_path").alias("file_path"), "content")
-    shown = let(
-        split_lines(F.col("content")),
-        lambda lines: F.transform(
-            "_lines", lambda n: F.struct(n.alias("line_start"), snippet(lines, n, context).alias("code_snippet"))
-        ),
-    )
-    return (
-        wanted.join(texts, ["repo_id", "file_path"])
-        .select("repo_id", "file_path", F.explode(shown).alias("s"))
-        .select("repo_id", "file_path", "s.line_start", "s.code_snippet")
-    )
+    """`code_snippet` for each distinct (repo_id, file_path, line_start) of `targets`."""
+    at = targets.select(*FINDING_KEY, F.col("line_start").alias("line_end"))
+    shown = BlockStore(at, files).spans(at, Range(before=context + 1, after=context, short=0))
+    return shown.select(*FINDING_KEY, F.array_join(numbered_lines("lines", F.col("start")), "\n").alias("code_snippet"))
 
 
 def with_snippets(findings: DataFrame, files: DataFrame) -> DataFrame:

@@ -11,8 +11,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from vulnloom import constants as c
 from vulnloom.functions import replies
-from vulnloom.functions.text import let, split_lines
-from vulnloom.operators.findings import LINES_PER_LOOKUP
+from vulnloom.functions.text import split_lines
+from vulnloom.operators.blocks import SPAN, BlockStore, Range
 from vulnloom.operators.skew import cut
 from vulnloom.operators.verdicts import stage_replies
 
@@ -35,32 +35,17 @@ Answer with one JSON object with the members fixed_code (the whole code shown, f
 and changes_summary."""
 
 
-def original_code(findings: DataFrame, files: DataFrame) -> DataFrame:
-    """`original`, `first_line`, `last_line`, `total_lines` for each distinct span of findings.
+# A file of up to 200 lines is shown whole, of a longer one 50 lines around the finding.
+SHOWN = Range(before=c.PATCH_CONTEXT_LINES, after=c.PATCH_CONTEXT_LINES, short=c.SHORT_FILE_LINES)
 
-    A file of up to 200 lines is shown whole, a longer one 50 lines around the finding.
-    """
-    group = F.floor(F.col("line_start") / LINES_PER_LOOKUP).alias("_group")
-    wanted = findings.groupBy("repo_id", "file_path", group).agg(F.collect_set(F.struct("line_start", "line_end")).alias("_spans"))
-    texts = files.select("repo_id", F.col("relative_path").alias("file_path"), "content")
-
-    def shown(lines: Column, at: Column) -> Column:
-        total = F.size(lines)
-        whole = total <= c.SHORT_FILE_LINES
-        start = F.when(whole, 0).otherwise(F.greatest(at["line_start"] - c.PATCH_CONTEXT_LINES, F.lit(0)))
-        end = F.when(whole, total).otherwise(F.least(at["line_end"] + c.PATCH_CONTEXT_LINES, total))
-        part = F.array_join(F.slice(lines, start + 1, F.greatest(end - start, F.lit(0))), "\n")
-        return F.struct(
-            at["line_start"].alias("line_start"), at["line_end"].alias("line_end"),
-            F.when(whole, F.col("content")).otherwise(part).alias("original"),
-            (start + 1).alias("first_line"), end.alias("last_line"), total.alias("total_lines"),
-        )
-
-    spans = let(split_lines(F.col("content")), lambda lines: F.transform("_spans", lambda at: shown(lines, at)))
-    return (
-        wanted.join(texts, ["repo_id", "file_path"])
-        .select("repo_id", "file_path", F.explode(spans).alias("s"))
-        .select("repo_id", "file_path", "s.*")
+
+def original_code(findings: DataFrame, files: DataFrame) -> DataFrame:
+    """`original`, `first_line`, `last_line`, `total_lines` for each distinct span of findings."""
+    shown = BlockStore(findings, files, c.SHORT_FILE_LINES).spans(findings, SHOWN)
+    return shown.select(
+        *SPAN,
+        F.coalesce("whole", F.array_join("lines", "\n")).alias("original"),
+        (F.col("start") + 1).alias("first_line"), F.col("end").alias("last_line"), "total_lines",
     )
 
 

@@ -101,31 +101,36 @@ def top_n(
     )
 
 
+def sorted_slices(df: DataFrame, keys: list[str], order: list[str], slices: int | None = None) -> DataFrame:
+    """`df` written down in slices of the range of (`keys`, `order`), numbered in `_slice`.
+
+    Slice numbers are written with the rows, because a recomputed range sort could move a row.
+    """
+    slices = slices or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return cut(cut(df).repartitionByRange(slices, *keys, *order).withColumn("_slice", F.spark_partition_id()))
+
+
+def running_totals(sliced: DataFrame, keys: list[str], order: list[str], sums: dict[str, Column]) -> DataFrame:
+    """Rows of `sorted_slices` with running totals of the key, each row's own value included.
+
+    Each slice is added up on its own, and a table of slice totals gives the offsets, so no task
+    holds more than a slice of a key. `order` must be unique within a key.
+    """
+    valued = sliced.withColumns({f"_of_{n}": v for n, v in sums.items()})
+    totals = valued.groupBy(*keys, "_slice").agg(*[F.sum(f"_of_{n}").alias(f"_sum_{n}") for n in sums])
+    earlier = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    before = [F.coalesce(F.sum(f"_sum_{n}").over(earlier), F.lit(0)).alias(f"_before_{n}") for n in sums]
+    offsets = totals.select(*keys, "_slice", *before)
+    through = Window.partitionBy(*keys, "_slice").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    out = valued.withColumns({f"_through_{n}": F.sum(f"_of_{n}").over(through) for n in sums}).join(offsets, [*keys, "_slice"])
+    out = out.withColumns({n: (F.col(f"_before_{n}") + F.col(f"_through_{n}")).cast("bigint") for n in sums})
+    return out.drop(*[f"_{part}_{n}" for part in ("of", "before", "through") for n in sums])
+
+
 def number_rows(df: DataFrame, keys: list[str], order: list[str], name: str, running: str | None = None) -> DataFrame:
     """Number the rows of each key from 1 in `order`, which must be unique within the key.
 
-    With `running`, also add `<running>_total`, the sum of that column up to and including the
-    row. The rows are range-sorted into slices, each slice is numbered on its own, and a table of
-    slice sizes gives the offsets, so no task holds more than a slice of a key.
+    With `running`, also add `<running>_total`, the sum of that column up to and including the row.
     """
-    slices = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    # Written down first, so that finding the ranges does not repeat what led here, and the slice
-    # ids afterwards, because a recomputed range sort could move a row.
-    sliced = cut(cut(df).repartitionByRange(slices, *keys, *order).withColumn("_slice", F.spark_partition_id()))
-    amount = F.col(running) if running else F.lit(0)
-    sizes = sliced.groupBy(*keys, "_slice").agg(F.count("*").alias("_n"), F.sum(amount).alias("_sum"))
-    earlier = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select(
-        *keys,
-        "_slice",
-        F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_n_before"),
-        F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_sum_before"),
-    )
-    window = Window.partitionBy(*keys, "_slice").orderBy(*order)
-    numbered = sliced.withColumn("_local", F.row_number().over(window))
-    if running:
-        numbered = numbered.withColumn("_local_sum", F.sum(running).over(window.rowsBetween(Window.unboundedPreceding, 0)))
-    out = numbered.join(offsets, [*keys, "_slice"]).withColumn(name, (F.col("_n_before") + F.col("_local")).cast("bigint"))
-    if running:
-        out = out.withColumn(f"{running}_total", F.col("_sum_before") + F.col("_local_sum"))
-    return out.drop("_slice", "_n_before", "_sum_before", "_local", "_local_sum")
+    sums = {name: F.lit(1)} | ({f"{running}_total": F.col(running)} if running else {})
+    return running_totals(sorted_slices(df, keys, order), keys, order, sums).drop("_slice")
