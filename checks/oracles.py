@@ -154,33 +154,79 @@ DEFINED = (
     f"UNION ALL SELECT repo_id, file_path, language, regexp_extract(line, '{JAVA_METHOD}', 1), n, first_blank, '' "
     f"FROM lines WHERE language = 'java' AND regexp_matches(line, '{JAVA_METHOD}'))"
 )
+# What comments, strings and signs look like in each family of languages.
+HIDDEN_C = r"/\*[\s\S]*?\*/|//[^\n]*"
+LINE_STRING = r"""'[^'\\\n]*(?:\\.[^'\\\n]*)*'|"[^"\\\n]*(?:\\.[^"\\\n]*)*\""""
+SIGNS_C = r"[\n(){}\[\];]"
+TOKENS = {
+    "javascript": "|".join([HIDDEN_C, LINE_STRING, r"`[^`\\]*(?:\\[\s\S][^`\\]*)*`", SIGNS_C]),
+    "go": "|".join([HIDDEN_C, LINE_STRING, "`[^`]*`", SIGNS_C]),
+    "rust": "|".join([HIDDEN_C, r'''r#"[\s\S]*?"#|"[^"\\]*(?:\\[\s\S][^"\\]*)*"|'(?:\\.[^\n']*|[^'\\\n])' '''.strip(), SIGNS_C]),
+    "java": "|".join([HIDDEN_C, r'''"""[\s\S]*?"""''', LINE_STRING, SIGNS_C]),
+    "python": "|".join(
+        [r'''"""[\s\S]*?"""''', r"""'''[\s\S]*?'''""", LINE_STRING, r"#[^\n]*|\\\n|\n[ \t]*|[()\[\]{}]",
+         r"""[^\s#"'()\[\]{}][^\n#"'()\[\]{}\\]*|["'\\]"""]
+    ),
+}
+TOKENS["typescript"] = TOKENS["javascript"]
+NEWLINES = "(length(t) - length(replace(t, chr(10), '')))"
+# The tokens of the text from each definition's line on, with the brackets open after each and the line each ends on. An
+# arrow function without a brace is looked at from its arrow on.
+EXTENTS = (
+    "outset AS (SELECT row_number() OVER () AS d, *, array_to_string(ls[n:], chr(10)) AS rest, "
+    "language IN ('javascript', 'typescript') AND NOT regexp_matches(ls[n], 'function\\s+' || name) AS arrow FROM (SELECT DISTINCT d.*, l.ls FROM defined d "
+    "JOIN lines l USING (repo_id, file_path, n))), "
+    "headed AS (SELECT *, CASE WHEN arrow THEN substr(rest, strpos(rest, '=>') + 2) ELSE rest END AS body FROM outset), "
+    "cut_up AS (" + " UNION ALL ".join(
+        f"SELECT d, regexp_extract_all(body, '{regex.replace(chr(39), chr(39) * 2)}') AS ts FROM headed WHERE language = '{lang}'"
+        for lang, regex in TOKENS.items()
+    ) + "), "
+    "tokens AS (SELECT d, unnest(ts) AS t, generate_subscripts(ts, 1) AS i FROM cut_up), "
+    f"signs AS (SELECT d, t, i, sum({NEWLINES}) OVER w AS down, sum(CASE WHEN t IN ('(', '[') THEN 1 WHEN t IN (')', ']') THEN -1 ELSE 0 END) OVER w AS round, "
+    "sum(CASE WHEN t = '{' THEN 1 WHEN t = '}' THEN -1 ELSE 0 END) OVER w AS curly FROM tokens WINDOW w AS (PARTITION BY d ORDER BY i)), "
+    "opened AS (SELECT d, arg_min(t, i) AS t, min(i) AS i, arg_min(down, i) AS down, arg_min(curly, i) AS curly FROM signs "
+    "WHERE t IN ('{', ';') AND round = 0 GROUP BY d), "
+    "closed AS (SELECT s.d, arg_min(s.down, s.i) AS down FROM signs s JOIN opened o ON s.d = o.d AND s.i > o.i AND s.t = '}' AND s.curly = o.curly - 1 GROUP BY s.d), "
+    f"stopped AS (SELECT d, arg_min(down - CASE WHEN t = ';' THEN 0 ELSE 1 END, i) AS down FROM signs WHERE t IN (';', chr(10)) AND round + curly = 0 GROUP BY d), "
+    "indented AS (SELECT s.d, min(s.i) AS i FROM signs s JOIN signs x ON x.d = s.d AND x.i = s.i + 1 WHERE s.t = chr(10) AND s.round + s.curly = 0 "
+    "AND NOT starts_with(x.t, chr(10)) AND NOT starts_with(x.t, '#') GROUP BY s.d), "
+    "coded AS (SELECT s.d, max(s.down) AS down FROM signs s LEFT JOIN indented e USING (d) WHERE (e.i IS NULL OR s.i < e.i) AND NOT starts_with(s.t, chr(10)) "
+    "AND NOT starts_with(s.t, '#') AND s.t <> chr(92) || chr(10) GROUP BY s.d), "
+    "ended AS (SELECT h.*, CAST(n + CASE WHEN language = 'python' THEN g.down "
+    "WHEN arrow AND NOT starts_with(ltrim(body, ' ' || chr(9) || chr(10)), '{') THEN coalesce(z.down, len(ls) - n) "
+    "WHEN o.t = '{' THEN coalesce(k.down, len(ls) - n) WHEN o.t = ';' THEN o.down ELSE 0 END AS INTEGER) AS e "
+    "FROM headed h LEFT JOIN opened o USING (d) LEFT JOIN closed k USING (d) LEFT JOIN stopped z USING (d) LEFT JOIN coded g USING (d))"
+)
 ORACLES["function_defs"] = code(
     "SELECT repo_id, file_path, name, first_blank AS line_start, parameters FROM defined", FOUND, SOURCE_LINES, DEFINED
 )
 ORACLES["function_lines"] = code(
-    "SELECT language, name, count(*) AS functions, CAST(sum(n) AS BIGINT) AS lines, max(n) AS last_line FROM defined GROUP BY 1, 2",
-    FOUND, SOURCE_LINES, DEFINED,
+    "SELECT language, name, count(*) AS functions, CAST(sum(n) AS BIGINT) AS lines, CAST(sum(e) AS BIGINT) AS ends, max(e) AS last_line FROM ended GROUP BY 1, 2",
+    FOUND, SOURCE_LINES, DEFINED, EXTENTS,
 )
 JS_IMPORT = r"""import\s+[^\n]*?from\s+['"]([^'"]+)['"]|require\s*\(\s*['"]([^'"]+)['"]\s*\)""".replace("'", "''")
-ORACLES["imports_by_module"] = code(
-    rf"""SELECT repo_id, language, module, count(*) AS files, CAST(sum(n) AS BIGINT) AS lines FROM (
- SELECT repo_id, language, regexp_replace(regexp_extract(line, '^(?:from\s+([\w.]+)\s+import|import\s+([\w.]+))', 1)
+IMPORTED = (
+    rf"""imported AS (
+ SELECT repo_id, file_path, language, regexp_replace(regexp_extract(line, '^(?:from\s+([\w.]+)\s+import|import\s+([\w.]+))', 1)
   || regexp_extract(line, '^(?:from\s+([\w.]+)\s+import|import\s+([\w.]+))', 2), '\s', '') AS module, n FROM lines
   WHERE language = 'python' AND regexp_matches(line, '^(?:from\s+([\w.]+)\s+import|import\s+([\w.]+))')
- UNION ALL SELECT repo_id, language, unnest(list_filter(list_concat(regexp_extract_all(line, '{JS_IMPORT}', 1), regexp_extract_all(line, '{JS_IMPORT}', 2)),
+ UNION ALL SELECT repo_id, file_path, language, unnest(list_filter(list_concat(regexp_extract_all(line, '{JS_IMPORT}', 1), regexp_extract_all(line, '{JS_IMPORT}', 2)),
   lambda x: x <> '')), n FROM lines WHERE language IN ('javascript', 'typescript')
- UNION ALL SELECT repo_id, language, regexp_extract(line, '^\s*import\s+"([^"]+)"', 1), first_blank FROM lines
+ UNION ALL SELECT repo_id, file_path, language, regexp_extract(line, '^\s*import\s+"([^"]+)"', 1), first_blank FROM lines
   WHERE language = 'go' AND regexp_matches(line, '^\s*import\s+"([^"]+)"')
- UNION ALL SELECT repo_id, language, unnest(regexp_extract_all(regexp_extract({REST}, '(?s)^\s*import\s*\((.*?)\)', 1), '"([^"]+)"', 1)), first_blank
+ UNION ALL SELECT repo_id, file_path, language, unnest(regexp_extract_all(regexp_extract({REST}, '(?s)^\s*import\s*\((.*?)\)', 1), '"([^"]+)"', 1)), first_blank
   FROM lines WHERE language = 'go' AND regexp_matches(line, '^\s*import\s*\(')
- UNION ALL SELECT repo_id, language, regexp_extract({REST}, '^\s*use\s+([^;]+);', 1), first_blank FROM lines
+ UNION ALL SELECT repo_id, file_path, language, regexp_extract({REST}, '^\s*use\s+([^;]+);', 1), first_blank FROM lines
   WHERE language = 'rust' AND regexp_matches(line, '^\s*use\s') AND regexp_matches({REST}, '^\s*use\s+([^;]+);')
- UNION ALL SELECT repo_id, language, regexp_extract(line, '^\s*extern\s+crate\s+([A-Za-z_]\w*)\s*;', 1), first_blank FROM lines
+ UNION ALL SELECT repo_id, file_path, language, regexp_extract(line, '^\s*extern\s+crate\s+([A-Za-z_]\w*)\s*;', 1), first_blank FROM lines
   WHERE language = 'rust' AND regexp_matches(line, '^\s*extern\s+crate\s+([A-Za-z_]\w*)\s*;')
- UNION ALL SELECT repo_id, language, regexp_extract(line, '^\s*import\s+([\w.]+\*?)\s*;', 1), first_blank FROM lines
+ UNION ALL SELECT repo_id, file_path, language, regexp_extract(line, '^\s*import\s+([\w.]+\*?)\s*;', 1), first_blank FROM lines
   WHERE language = 'java' AND regexp_matches(line, '^\s*import\s+([\w.]+\*?)\s*;')
- ) GROUP BY 1, 2, 3""",
-    FOUND, SOURCE_LINES,
+ )"""
+)
+ORACLES["imports_by_module"] = code(
+    "SELECT repo_id, language, module, count(*) AS files, CAST(sum(n) AS BIGINT) AS lines FROM imported GROUP BY 1, 2, 3",
+    FOUND, SOURCE_LINES, IMPORTED,
 )
 DANGEROUS = (
     "dangers AS ("
@@ -356,12 +402,13 @@ SELECT concat('u', user_id) AS repo_id, 'xss' AS vuln_type, event_type || '.js'
 # ---- Digest -----------------------------------------------------------------
 
 CONTAINING = (
-    "located AS (SELECT f.*, (SELECT min(struct_pack(n := d.n, name := d.name, parameters := d.parameters)) FROM defined d WHERE d.repo_id = f.repo_id "
-    "AND d.file_path = f.file_path AND f.line_start BETWEEN d.n AND d.n + 9) AS d FROM v_code_findings f)"
+    "located AS (SELECT f.*, (SELECT min(struct_pack(shape := NOT contains(d.body, 'class ' || d.name), n := d.n, name := d.name, e := d.e, "
+    "parameters := d.parameters)) FROM ended d WHERE d.repo_id = f.repo_id AND d.file_path = f.file_path AND f.line_start BETWEEN d.n AND d.e) AS d "
+    "FROM v_code_findings f)"
 )
 ORACLES["containing_function"] = code(
     "SELECT id, line_start, d.name AS function FROM located WHERE d IS NOT NULL",
-    FOUND, SOURCE_LINES, DEFINED, CONTAINING, views=("v_code_findings",),
+    FOUND, SOURCE_LINES, DEFINED, EXTENTS, CONTAINING, views=("v_code_findings",),
 )
 ORACLES["structure_section"] = code(
     """SELECT repo_id, 'Project Structure' AS heading, body AS content, length(body) // 4 AS estimated_tokens FROM (
@@ -383,13 +430,13 @@ FINDING_TEXT = (
     "finding_text AS (SELECT *, '### ' || file_path || ' (lines ' || a || '-' || b || ', finding at L' || line_start || ')' || chr(10) || '```' || "
     "CASE WHEN ends_with(file_path, '.py') THEN 'python' ELSE 'javascript' END || chr(10) || array_to_string(list_transform(range(a, b + 1), "
     f"lambda i: CASE WHEN i BETWEEN line_start AND line_end THEN '>>> ' ELSE '    ' END || {NUMBERED}), chr(10)) || chr(10) || '```' || "
-    "CASE WHEN d IS NULL THEN '' ELSE chr(10) || chr(10) || '### Containing function: `' || d.name || '` (L' || d.n || '-' || (d.n + 9) || ')' || chr(10) || "
+    "CASE WHEN d IS NULL THEN '' ELSE chr(10) || chr(10) || '### Containing function: `' || d.name || '` (L' || d.n || '-' || d.e || ')' || chr(10) || "
     "'Parameters: ' || replace(d.parameters, '|', ', ') END AS body FROM excerpts)"
 )
 ORACLES["finding_section"] = code(
     """SELECT repo_id, seq AS pos, 'Finding Context: ' || vuln_type || ' in ' || file_path || ':' || line_start AS heading, body AS content,
  length(body) // 4 AS estimated_tokens FROM finding_text""",
-    FOUND, SOURCE_LINES, DEFINED, CONTAINING, SPLIT, FINDING_TEXT, views=("v_code_findings",),
+    FOUND, SOURCE_LINES, DEFINED, EXTENTS, CONTAINING, SPLIT, FINDING_TEXT, views=("v_code_findings",),
 )
 FILE_TEXT = (
     "file_text AS (SELECT m.repo_id, m.relative_path, m.rank, m.risk_level, m.language, m.content = '' AS empty, len(ls) AS n, CASE WHEN m.content = '' THEN '(empty or unreadable)' ELSE "
@@ -401,8 +448,8 @@ ORACLES["file_section"] = code(
     """SELECT repo_id, CASE WHEN empty THEN 5 WHEN risk_level = 'high' THEN 3 ELSE 4 END AS priority,
  CASE WHEN empty THEN 'File: ' || relative_path ELSE 'File: ' || relative_path || ' (' || n || ' lines, ' || risk_level || ' risk)' END AS heading,
  body AS content, length(body) // 4 AS estimated_tokens FROM file_text
- WHERE NOT EXISTS (SELECT 1 FROM v_code_findings f WHERE f.vuln_type = 'sqli' AND f.repo_id = file_text.repo_id AND f.file_path = file_text.relative_path)""",
-    *MANIFEST, SPLIT, FILE_TEXT, views=("v_code_findings",),
+ WHERE NOT EXISTS (SELECT 1 FROM v_some_findings f WHERE f.repo_id = file_text.repo_id AND f.file_path = file_text.relative_path)""",
+    *MANIFEST, SPLIT, FILE_TEXT, views=("v_some_findings",),
 )
 
 
@@ -449,10 +496,10 @@ BUILT = (
     "(SELECT 1 FROM v_code_findings f WHERE f.repo_id = file_text.repo_id AND f.file_path = file_text.relative_path))"
 )
 # Functions keep the line of their definition only, so the containing function is the one on the line.
-ON_LINE = CONTAINING.replace("BETWEEN d.n AND d.n + 9", "= d.first_blank").replace("n := d.n", "n := d.first_blank")
+FROM_BLANK = CONTAINING.replace("BETWEEN d.n AND d.e", "BETWEEN d.first_blank AND d.e").replace("n := d.n", "n := d.first_blank")
 ORACLES["digest_build"] = code(
     "SELECT repo_id, priority, kind, pos, heading, tokens AS estimated_tokens FROM packed WHERE kept",
-    *MANIFEST, SOURCE_LINES, DEFINED, ON_LINE, SPLIT, FINDING_TEXT.replace("(d.n + 9)", "d.n"), FILE_TEXT, BUILT, packing("built", 20_000),
+    *MANIFEST, SOURCE_LINES, DEFINED, EXTENTS, FROM_BLANK, SPLIT, FINDING_TEXT, FILE_TEXT, BUILT, packing("built", 20_000),
     views=("v_code_findings",),
 )
 ORACLES["section_context"] = code(
@@ -565,8 +612,7 @@ PROMPT_CONTEXT = (
     "o.body AS overview FROM v_code_findings f LEFT JOIN texts2 o USING (repo_id))"
 )
 PROMPT_TABLES = [
-    *MANIFEST, SPLIT, "located AS (SELECT *, CAST(NULL AS STRUCT(n BIGINT, name VARCHAR, parameters VARCHAR)) AS d FROM v_code_findings)",
-    FINDING_TEXT, PROMPT_CONTEXT,
+    *MANIFEST, SOURCE_LINES, DEFINED, EXTENTS, CONTAINING, SPLIT, FINDING_TEXT, PROMPT_CONTEXT,
 ]
 
 
@@ -604,12 +650,13 @@ ORACLES["patch_prompt"] = code(
  FROM v_code_findings f JOIN split USING (repo_id, file_path)""",
     SPLIT, views=("v_code_findings",),
 )
-# The header and the added line of the diff; whether Python parses is left to the unit tests.
-ORACLES["patch_assembly"] = oracle(
-    ["v_code_findings"],
-    """SELECT repo_id, id AS finding_id, 'why' AS explanation, file_path AS file,
+# Of the Python files those of even length get code that parses.
+ORACLES["patch_assembly"] = code(
+    """SELECT f.repo_id, id AS finding_id, 'why' AS explanation, file_path AS file,
  '--- a/' || file_path || chr(10) || '+++ b/' || file_path AS header, true AS adds_line,
- CASE WHEN NOT ends_with(file_path, '.py') THEN true END AS syntax_valid FROM v_code_findings""",
+ NOT ends_with(file_path, '.py') OR length(content) % 2 = 0 AS syntax_valid
+ FROM v_code_findings f JOIN v_code ON v_code.repo_id = f.repo_id AND relative_path = file_path""",
+    views=("v_code_findings",),
 )
 # A long file's reply holds the whole file and the excerpt is what it is compared with.
 ORACLES["patch_line_delta"] = code(
@@ -678,16 +725,44 @@ SELECT page_id, CASE WHEN page_id % 5 <> 0 THEN 'owner-' || page_id END AS owner
  CASE WHEN page_id % 5 <> 0 THEN 'owner-' || page_id || '/' || w || '.' || page_id END AS repo_name
  FROM (SELECT page_id, regexp_extract(regexp_replace(url, '^https?://[^/]*/', ''), '^([a-z]+)', 1) AS w FROM pages)"""
 ORACLES["repo_remote_name"] = "SELECT page_id, CASE WHEN page_id % 2 = 0 THEN 'o/r' || page_id ELSE 'checkout' END AS name FROM pages"
+IN_CHANGED = "SEMI JOIN (SELECT repo_id, relative_path AS file_path FROM changed) USING (repo_id, file_path) SEMI JOIN (SELECT repo_id, relative_path AS file_path FROM manifest) USING (repo_id, file_path)"
 ORACLES["scan_end_to_end"] = code(
     f"""SELECT r.repo_id, coalesce(m.n, 0) AS files_included, coalesce(m.lines, 0) AS total_lines, coalesce(s.sqli, 0) AS sqli, coalesce(s.secrets, 0) AS hardcoded_secret,
- 0 AS xss FROM (SELECT DISTINCT repo_id FROM found) r
+ 0 AS xss, coalesce(d.n, 0) AS functions, coalesce(d.a, 0) AS functions_line_start, coalesce(d.b, 0) AS functions_line_end,
+ coalesce(i.n, 0) AS imports, coalesce(i.a, 0) AS imports_line, coalesce(k.n, 0) AS calls, coalesce(k.a, 0) AS calls_line FROM (SELECT DISTINCT repo_id FROM found) r
  LEFT JOIN (SELECT repo_id, count(*) AS n, CAST(sum(line_count) AS BIGINT) AS lines FROM manifest SEMI JOIN changed USING (repo_id, relative_path) GROUP BY 1) m USING (repo_id)
+ LEFT JOIN (SELECT repo_id, count(*) AS n, CAST(sum(first_blank) AS BIGINT) AS a, CAST(sum(e) AS BIGINT) AS b FROM ended {IN_CHANGED} GROUP BY 1) d USING (repo_id)
+ LEFT JOIN (SELECT repo_id, count(*) AS n, CAST(sum(n) AS BIGINT) AS a FROM imported {IN_CHANGED} GROUP BY 1) i USING (repo_id)
+ LEFT JOIN (SELECT repo_id, count(*) AS n, CAST(sum(line) AS BIGINT) AS a FROM calls {IN_CHANGED} GROUP BY 1) k USING (repo_id)
  LEFT JOIN (SELECT repo_id, count(*) FILTER (vuln_type = 'sqli') AS sqli, count(*) FILTER (vuln_type <> 'sqli') AS secrets FROM (
   SELECT repo_id, vuln_type, row_number() OVER (PARTITION BY repo_id, file_path, line_start ORDER BY confidence DESC, detector, rule_id) AS k
   FROM (SELECT repo_id, file_path, relative_path, line_start, rule_id, confidence, vuln_type, 0 AS detector FROM rule_hits
    UNION ALL SELECT repo_id, file_path, relative_path, line_start, rule_id, confidence, 'hardcoded_secret', 1 FROM secret_hits)
   SEMI JOIN changed USING (repo_id, relative_path) WHERE NOT {DEFAULT_EXCLUDED}) WHERE k = 1 GROUP BY 1) s USING (repo_id)""",
-    *MANIFEST, CHANGED, RULE_HITS, SECRET_HITS, views=("v_changed",),
+    *MANIFEST, CHANGED, RULE_HITS, SECRET_HITS, SOURCE_LINES, DEFINED, EXTENTS, IMPORTED, DANGEROUS, views=("v_changed",),
+)
+ORACLES["large_file_scan"] = code(
+    f"""SELECT repo_id, file_path, line_start, rule_id AS what FROM rule_hits WHERE strlen(content) <= 1500
+ UNION ALL SELECT repo_id, relative_path, NULL, 'larger than 1500 bytes' FROM v_code WHERE strlen(content) > 1500 AND {LANGUAGE} IS NOT NULL""",
+    RULE_HITS.replace("SELECT repo_id, file_path, relative_path, n AS line_start, rule_id", "SELECT content, repo_id, file_path, relative_path, n AS line_start, rule_id"),
+)
+ORACLES["scanner_diff_scope"] = code(
+    f"""SELECT f.repo_id, file_path, line_start, line_start AS line_end, 'rules.xss-' || id AS rule_id,
+ coalesce(array_to_string(list_transform(range(greatest(line_start - 5, 1), least(len(ls), line_start + 5) + 1), lambda i: {NUMBERED}), chr(10)), '') AS code_snippet
+ FROM v_code_findings f LEFT JOIN split USING (repo_id, file_path)
+ SEMI JOIN (SELECT repo_id, relative_path AS file_path FROM changed) USING (repo_id, file_path)""",
+    SPLIT, CHANGED, views=("v_code_findings", "v_changed"),
+)
+# Every word before a comma is a rule, so the rules that hold on a line are its own words before commas.
+ORACLES["rule_table_scan"] = code(
+    """SELECT DISTINCT repo_id, file_path, line_start, 'sqli-' || trim(replace(w, ',', '')) AS rule_id, 'sqli' AS vuln_type, CAST(0.7 AS DOUBLE) AS confidence FROM (
+ SELECT repo_id, file_path, n AS line_start, line, unnest(regexp_extract_all(line, ' [a-z]{4,},')) AS w FROM lines)
+ SEMI JOIN (SELECT unnest(regexp_extract_all(text, ' [a-z]{4,},')) AS w FROM documents) USING (w)
+ WHERE regexp_matches(line, w || '([^,]|$)')""",
+    FOUND, SOURCE_LINES,
+)
+ORACLES["file_tree"] = oracle(
+    ["v_files"], "SELECT repo_id, relative_path, md5(content) AS md5, CAST(strlen(content) AS BIGINT) AS size_bytes FROM v_files"
 )
 
 # ---- Limits, retries, odd input ---------------------------------------------

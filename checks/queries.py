@@ -19,6 +19,7 @@ from vulnloom.operators import (
     patches,
     repo_config,
     report,
+    rule_index,
     rules,
     scope,
     secrets,
@@ -183,7 +184,7 @@ def function_defs(spark: SparkSession, sf: str) -> DataFrame:
 def function_lines(spark: SparkSession, sf: str) -> DataFrame:
     found = structure.functions(sources(spark, sf), exact_lines=True)
     return found.groupBy("language", "name").agg(
-        F.count("*").alias("functions"), F.sum("line_start").alias("lines"), F.max("line_end").alias("last_line")
+        F.count("*").alias("functions"), F.sum("line_start").alias("lines"), F.sum("line_end").alias("ends"), F.max("line_end").alias("last_line")
     )
 
 
@@ -335,15 +336,10 @@ def scanner_import(spark: SparkSession, sf: str) -> DataFrame:
 # ---- Digest -----------------------------------------------------------------
 
 
-def spans(found: DataFrame) -> DataFrame:
-    """Functions given a body of some lines, so that they can contain findings."""
-    return found.withColumn("line_end", F.col("line_start") + 9)
-
-
 @query
 def containing_function(spark: SparkSession, sf: str) -> DataFrame:
     located = digest.containing_functions(
-        view(spark, sf, "v_code_findings"), spans(structure.functions(sources(spark, sf), exact_lines=True))
+        view(spark, sf, "v_code_findings"), structure.functions(sources(spark, sf), exact_lines=True)
     )
     return located.filter(F.col("function").isNotNull()).select("id", "line_start", F.col("function.name").alias("function"))
 
@@ -362,7 +358,7 @@ def dependency_section(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def finding_section(spark: SparkSession, sf: str) -> DataFrame:
-    functions = spans(structure.functions(sources(spark, sf), exact_lines=True))
+    functions = structure.functions(sources(spark, sf), exact_lines=True)
     sections = digest.finding_sections(view(spark, sf, "v_code_findings"), code(spark, sf), functions)
     return sections.select("repo_id", "pos", "heading", "content", "estimated_tokens")
 
@@ -370,8 +366,7 @@ def finding_section(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def file_section(spark: SparkSession, sf: str) -> DataFrame:
     files = code(spark, sf)
-    found = view(spark, sf, "v_code_findings").filter(F.col("vuln_type") == "sqli")
-    plan = digest.file_section_plan(manifest.manifest(files), found, files)
+    plan = digest.file_section_plan(manifest.manifest(files), view(spark, sf, "v_some_findings"), files)
     return digest.file_sections(plan, files).select("repo_id", "priority", "heading", "content", "estimated_tokens")
 
 
@@ -396,8 +391,8 @@ def digest_pack(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def digest_pack_in_rounds(spark: SparkSession, sf: str) -> DataFrame:
-    """The same packing, forced through the rounds that large repositories take."""
-    return digest.pack_sections(document_sections(spark, sf), max_tokens=9000, sections_per_step=8)
+    """The same packing with every repository spread over many slices, as large ones are."""
+    return digest.pack_sections(document_sections(spark, sf), max_tokens=9000, slices=40)
 
 
 @query
@@ -540,9 +535,9 @@ def document_digest(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]
             "message": F.concat(F.lit("found "), "vuln_type"), "code_snippet": F.lit("none"),
         }
     )
-    none = structure.functions(structure.source_files(files)).filter(F.lit(False))
+    functions = structure.functions(structure.source_files(files), exact_lines=True)
     sections = digest.structure_sections(files, manifest.manifest(files)).unionByName(
-        digest.finding_sections(found, files, none)
+        digest.finding_sections(found, files, functions)
     )
     return found, sections
 
@@ -588,12 +583,21 @@ def patch_rows(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def patch_assembly(spark: SparkSession, sf: str) -> DataFrame:
-    file = F.element_at("files_modified", 1)
-    return patch_rows(spark, sf).select(
-        "repo_id", "finding_id", "explanation", file.alias("file"),
+    """Every file patched; of the Python ones every second gets code that does not parse."""
+    files = code(spark, sf)
+    found = view(spark, sf, "v_code_findings")
+    parses = F.when(F.length("content") % 2 == 0, "patched\nx = [1]\n").otherwise("patched\nx = [1\n")
+    fixed = F.when(F.endswith("relative_path", F.lit(".py")), parses).otherwise(F.concat(F.lit("patched\n"), "content"))
+    reply = F.to_json(F.struct(fixed.alias("fixed_code"), F.lit("why").alias("explanation")))
+    answers = files.select("repo_id", F.col("relative_path").alias("file_path"), reply.alias("content")).join(
+        found.select("repo_id", "file_path", F.col("id").alias("finding_id")), ["repo_id", "file_path"]
+    )
+    rows = patches.assemble_patches(found, answers.withColumns({"stage": F.lit("patch"), "success": F.lit(True)}), files)
+    return rows.select(
+        "repo_id", "finding_id", "explanation", F.element_at("files_modified", 1).alias("file"),
         F.substring_index("diff", "\n", 2).alias("header"),
         F.contains("diff", F.lit("\n+patched\n")).alias("adds_line"),
-        F.when(~F.endswith(file, F.lit(".py")), F.col("syntax_valid")).alias("syntax_valid"),
+        "syntax_valid",
     )
 
 
@@ -727,10 +731,69 @@ def repo_remote_name(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def scan_end_to_end(spark: SparkSession, sf: str) -> DataFrame:
-    """A detection-only scan of every repository, limited to the changed files."""
+    """A detection-only scan of every repository, limited to the changed files: all it finds, counted."""
     found = scan.detect(code(spark, sf), RuleConfig(), view(spark, sf, "v_changed"))
+
+    def counted(rows: DataFrame, name: str, *sums: str) -> DataFrame:
+        return rows.groupBy("repo_id").agg(F.count("*").alias(name), *[F.sum(c).alias(f"{name}_{c}") for c in sums])
+
+    out = found.summary.select("repo_id", "files_included", "total_lines")
     by_type = found.findings.groupBy("repo_id").pivot("vuln_type", ["sqli", "hardcoded_secret", "xss"]).count()
-    return found.summary.select("repo_id", "files_included", "total_lines").join(by_type, "repo_id", "left").na.fill(0)
+    parts = [by_type, counted(found.functions, "functions", "line_start", "line_end"), counted(found.imports, "imports", "line"), counted(found.calls, "calls", "line")]
+    for part in parts:
+        out = out.join(part, "repo_id", "left")
+    return out.na.fill(0)
+
+
+@query
+def large_file_scan(spark: SparkSession, sf: str) -> DataFrame:
+    """Rules on files of up to 1,500 bytes, and the files that this leaves out."""
+    files = code(spark, sf)
+    found = detection.detect(files, secret_patterns=[], max_bytes=1500)
+    skipped = detection.skipped_files(files, max_bytes=1500)
+    return found.select("repo_id", "file_path", "line_start", F.col("rule_id").alias("what")).unionByName(
+        skipped.select("repo_id", F.col("path").alias("file_path"), F.lit(None).cast("int").alias("line_start"), F.col("reason").alias("what"))
+    )
+
+
+@query
+def scanner_diff_scope(spark: SparkSession, sf: str) -> DataFrame:
+    """Results of an external scanner for every file, of which a diff scan keeps those in changed files."""
+    files = code(spark, sf)
+    at = view(spark, sf, "v_code_findings")
+    result = F.struct(
+        F.concat(F.lit("rules.xss-"), "id").alias("check_id"),
+        F.concat(F.lit("/work/"), "file_path").alias("path"),
+        F.struct(F.col("line_start").alias("line")).alias("start"),
+        F.struct(F.lit("innerHTML").alias("message"), F.lit("ERROR").alias("severity")).alias("extra"),
+    )
+    docs = at.groupBy("repo_id").agg(F.to_json(F.struct(F.collect_list(result).alias("results"))).alias("document"))
+    found = scanner.scanner_findings(scanner.scanner_results(docs), "/work")
+    kept = scope.in_diff(found, scope.changed_paths(view(spark, sf, "v_changed")), "file_path")
+    return findings.with_snippets(kept, files).select("repo_id", "file_path", "line_start", "line_end", "rule_id", "code_snippet")
+
+
+@query
+def rule_table_scan(spark: SparkSession, sf: str) -> DataFrame:
+    """A rule for every word that some document has before a comma: thousands of rules as data."""
+    words = table(spark, sf, "documents").select(F.explode(F.regexp_extract_all("text", F.lit(" [a-z]{4,},"), F.lit(0))).alias("needle")).distinct()
+    languages = F.array(*[F.lit(x) for x in ("python", "javascript", "typescript", "go", "rust", "java")])
+    rules_table = words.select(
+        F.concat(F.lit("sqli-"), F.trim(F.translate("needle", ",", ""))).alias("rule_id"), languages.alias("languages"),
+        F.concat("needle", F.lit("(?:[^,]|$)")).alias("regex"), F.lit("WARNING").alias("severity"), F.lit("a word").alias("message"), "needle",
+    )
+    found = rule_index.rule_findings(sources(spark, sf), rules_table)
+    return found.select("repo_id", "file_path", "line_start", "rule_id", "vuln_type", "confidence")
+
+
+@query
+def file_tree(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document written as a file of a tree, which is then listed and read as repositories."""
+    files = view(spark, sf, "v_files")
+    root = skew.checkpoint_path(spark)
+    file_source.write_tree(files, root)
+    read = file_source.read_trees(spark, root)
+    return read.select("repo_id", "relative_path", F.md5(F.col("content").cast("binary")).alias("md5"), "size_bytes")
 
 
 # ---- Limits, retries, odd input ---------------------------------------------

@@ -68,6 +68,8 @@ SELECT repo_id, relative_path AS file_path, CAST(1 + doc_id % 17 AS INT) AS line
 UNION ALL
 SELECT repo_id, relative_path, CAST(20 + doc_id % 31 AS INT), CAST(20 + doc_id % 31 + doc_id % 4 AS INT),
  2 * doc_id + 2, concat('b', CAST(doc_id AS STRING)), 'hardcoded_secret', CAST(0.7 AS DOUBLE) FROM v_files""",
+    # The findings of two files in three, so that the others are uncovered.
+    "v_some_findings": "SELECT * FROM v_code_findings WHERE CAST(floor((seq - 1) / 2) AS BIGINT) % 3 <> 0",
     # One finding per event, on a line of its own, with replies for every stage.
     "v_event_findings": """
 SELECT concat('r', CAST(user_id % 5 AS STRING)) AS repo_id, CAST(event_id AS STRING) AS id,
@@ -104,6 +106,7 @@ USES = {
     "v_code": ["v_files", "v_snippets"],
     "v_changed": ["v_files"],
     "v_code_findings": ["v_files"],
+    "v_some_findings": ["v_files", "v_code_findings"],
 }
 
 

@@ -110,6 +110,30 @@ def read_trees(spark: SparkSession, root: str) -> DataFrame:
     return read_with_errors(spark, root).filter("error is null").drop("error")
 
 
+def write_tree(files: DataFrame, root: str) -> None:
+    """Write each row of a `files` table as a file `root/repo_id/relative_path`, the inverse of `read_trees`.
+
+    A repeated task writes the same bytes again.
+    """
+
+    def write_files(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        store, base = fs.FileSystem.from_uri(root)
+        folders = set()
+        for batch in batches:
+            for repo, path, content in zip(batch["repo_id"], batch["relative_path"], batch["content"], strict=True):
+                target = f"{base}/{repo}/{path}"
+                folder = target.rsplit("/", 1)[0]
+                if folder not in folders:
+                    store.create_dir(folder, recursive=True)
+                    folders.add(folder)
+                with store.open_output_stream(target, compression=None) as stream:
+                    stream.write(content)
+            yield pd.DataFrame({"n": [len(batch)]})
+
+    rows = files.select("repo_id", "relative_path", F.coalesce("content", F.lit("")).cast("binary").alias("content"))
+    rows.mapInPandas(write_files, "n bigint").agg(F.sum("n")).collect()
+
+
 def unreadable(files: DataFrame) -> DataFrame:
     """`repo_id, path, stage, reason` of the files that could not be read."""
     return files.filter("error is not null").select(
