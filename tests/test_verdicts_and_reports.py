@@ -267,6 +267,37 @@ def test_json_report(reported):
     assert rows["empty"]["confirmed_findings"] == rows["empty"]["patches"] == []
 
 
+def test_documents_written_in_pieces(reported, tmp_path):
+    """The same bytes as the reports that are built as one text each."""
+    for n, (pieces, whole, suffix) in enumerate([(report.json_pieces, report.json_reports, ".json"), (report.sarif_pieces, report.sarif_reports, ".sarif.json")]):
+        folder = tmp_path / str(n)
+        listed = sinks.write_documents(pieces(*reported), str(folder), suffix).collect()
+        expected = {r.repo_id: r.report for r in whole(*reported).collect()}
+        assert {r.repo_id: (folder / r.file).read_text(encoding="utf-8") for r in listed} == expected
+        assert all(r.size == len(expected[r.repo_id].encode()) for r in listed)
+        assert sorted(p.name for p in folder.iterdir() if p.is_file() and not p.name.startswith(".")) == sorted(r.file for r in listed)
+
+
+def test_one_document_of_many_slices(spark, tmp_path):
+    n = 60_000
+    rows = spark.range(n).select(
+        F.when(F.col("id") % 1000 == 0, F.lit("a/b c")).otherwise("hot").alias("repo_id"), F.lit(1).alias("section"), "id",
+    )
+    middle = rows.select("repo_id", "section", F.col("id").alias("seq"), F.concat(F.lit(";é"), F.col("id").cast("string")).alias("text"))
+    ends = rows.select("repo_id").distinct().select("repo_id", F.explode(F.array(F.lit(0), F.lit(2))).alias("section"), F.lit(None).cast("bigint").alias("seq"))
+    ends = ends.withColumn("text", F.when(F.col("section") == 0, "<").otherwise(">"))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "5")
+    try:
+        listed = {r.repo_id: r.file for r in sinks.write_documents(middle.unionByName(ends), str(tmp_path / "out"), ".txt").collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert listed == {"a/b c": "a%2Fb%20c.txt", "hot": "hot.txt"}
+    for repo, name in listed.items():
+        own = [i for i in range(n) if (i % 1000 == 0) == (repo == "a/b c")]
+        assert (tmp_path / "out" / name).read_text(encoding="utf-8") == "<" + "".join(f";é{i}" for i in own) + ">"
+
+
 def test_text_report(reported):
     text = report.text_reports(reported[0], reported[1]).filter("repo_id = 'r'").first().report
     assert text.startswith("=" * 60 + "\nSecurity Report\n" + "=" * 60 + "\nRepository: test/r\nBranch: main (abc123de)\nScan Date: 2024-05-06T07:08:09\n")

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from vulnloom import constants as c
 from vulnloom.functions.paths import relative_uri
-from vulnloom.operators.skew import number_rows
+from vulnloom.operators.skew import cut, number_rows, salted_join
 
 SUMMARY_PROMPT = """\
 Sum up the security audit of repository "%s" for its owners in two or three sentences of plain
@@ -157,12 +157,22 @@ def _patch_struct() -> Column:
 
 
 def parted(confirmed: DataFrame, findings_per_part: int | None = None) -> DataFrame:
-    """Confirmed findings with `index` from 1 in finding order and the `part` they belong to."""
-    numbered = number_rows(confirmed, ["repo_id"], ["seq"], "index")
+    """Confirmed findings with `index` from 1 in finding order and the `part` they belong to.
+
+    `confirmed` is a table of a scan that is written down; it is read twice.
+    """
+    numbered = number_rows(confirmed, ["repo_id"], ["seq"], "index", stored=True)
     part = F.lit(0) if findings_per_part is None else F.floor((F.col("index") - 1) / findings_per_part)
     return numbered.withColumn("part", part.cast("int"))
 
 
+def _ordered(confirmed: DataFrame, findings_per_part: int | None) -> DataFrame:
+    """`parted` where only the order of the findings matters: a single part needs no numbers."""
+    if findings_per_part is not None:
+        return parted(confirmed, findings_per_part)
+    return confirmed.withColumns({"index": F.col("seq"), "part": F.lit(0)})
+
+
 def _patches_by_finding(patches: DataFrame) -> DataFrame:
     return latest_patches(patches).select(
         "repo_id", F.col("finding_id").alias("id"), F.to_json(_patch_struct(), SHOW_NULLS).alias("patch")
@@ -215,12 +225,8 @@ def finding_json() -> Column:
     )
 
 
-def json_reports(
-    results: DataFrame, confirmed: DataFrame, patches: DataFrame, findings_per_part: int | None = None
-) -> DataFrame:
-    """`repo_id, part, report`: result, its findings and their patches as one JSON text."""
-    rows = parted(confirmed, findings_per_part).join(_patches_by_finding(patches), ["repo_id", "id"], "left")
-    parts = _part_lists(rows, {"findings": finding_json(), "patches": F.col("patch")}, ",")
+def _json_frame() -> tuple[Column, Column, Column]:
+    """What stands before the findings, between them and the patches, and after these, of a row of results."""
     head = F.to_json(
         F.struct(
             "repo_name", "repo_url", "branch", "commit_hash", _iso("scan_timestamp").alias("scan_timestamp"),
@@ -229,10 +235,46 @@ def json_reports(
         SHOW_NULLS,
     )
     tail = F.to_json(F.struct("executive_summary", "scan_duration_seconds"), SHOW_NULLS)
-    report = F.concat(
-        _open(head), F.lit(',"confirmed_findings":['), "findings", F.lit('],"patches":['), "patches", F.lit("],"),
-        F.substring(tail, 2, F.length(tail)),
-    )
+    last = F.concat(F.lit("],"), F.substring(tail, 2, F.length(tail)))
+    return F.concat(_open(head), F.lit(',"confirmed_findings":[')), F.lit('],"patches":['), last
+
+
+def _pieces(frame: DataFrame, lists: list[DataFrame]) -> DataFrame:
+    """`repo_id, section, seq, text`: the fixed texts of `frame` (even sections) and the elements between them.
+
+    `frame` has an array `texts` for each repository, `lists` are `repo_id, seq, text` for the sections
+    in between. Every element but the first of its list brings its comma with it.
+    """
+    rows = frame.select("repo_id", F.posexplode("texts").alias("at", "text"))
+    out = rows.select("repo_id", (F.col("at") * 2).alias("section"), F.lit(None).cast("bigint").alias("seq"), "text")
+    for i, elements in enumerate(lists):
+        firsts = elements.groupBy("repo_id").agg(F.min("seq").alias("first"))
+        joined = salted_join(elements, firsts, ["repo_id"], ["seq"])
+        comma = F.when(F.col("seq") > F.col("first"), ",").otherwise("")
+        out = out.unionByName(joined.select("repo_id", F.lit(2 * i + 1).alias("section"), "seq", F.concat(comma, "text").alias("text")))
+    return out
+
+
+def json_pieces(results: DataFrame, confirmed: DataFrame, patches: DataFrame) -> DataFrame:
+    """The JSON reports in pieces of a finding or patch each, for `sinks.write_documents`.
+
+    In the order of (section, seq) the pieces of a repository are its report, byte by byte.
+    """
+    rows = cut(json_rows(confirmed, patches).withColumn("seq", F.col("seq").cast("bigint")))
+    frame = results.select("repo_id", F.array(*_json_frame()).alias("texts"))
+    found = rows.select("repo_id", "seq", F.col("finding").alias("text"))
+    fixes = rows.filter(F.col("patch").isNotNull()).select("repo_id", "seq", F.col("patch").alias("text"))
+    return _pieces(frame, [found, fixes])
+
+
+def json_reports(
+    results: DataFrame, confirmed: DataFrame, patches: DataFrame, findings_per_part: int | None = None
+) -> DataFrame:
+    """`repo_id, part, report`: result, its findings and their patches as one JSON text."""
+    rows = _ordered(confirmed, findings_per_part).join(_patches_by_finding(patches), ["repo_id", "id"], "left")
+    parts = _part_lists(rows, {"findings": finding_json(), "patches": F.col("patch")}, ",")
+    head, between, tail = _json_frame()
+    report = F.concat(head, "findings", between, "patches", tail)
     return _with_part_zero(results, parts, ["findings", "patches"]).select("repo_id", "part", report.alias("report"))
 
 
@@ -319,11 +361,28 @@ def _sarif_result_json() -> Column:
     return F.concat(_open(result), F.lit(',"properties":'), with_patch, F.lit("}"))
 
 
+# What stands before the rules of a SARIF log, between them and the results, and after these.
+SARIF_FRAME = (
+    f'{{"$schema":"{c.SARIF_SCHEMA}","version":"{c.SARIF_VERSION}","runs":[{{"tool":{{"driver":'
+    f'{{"name":"{c.TOOL_NAME}","version":"{c.TOOL_VERSION}","rules":[',
+    ']}},"results":[',
+    "]}]}",
+)
+
+
+def sarif_pieces(results: DataFrame, confirmed: DataFrame, patches: DataFrame) -> DataFrame:
+    """The SARIF logs in pieces of a rule or result each, for `sinks.write_documents`."""
+    rows = cut(sarif_rows(confirmed, patches).withColumn("seq", F.col("seq").cast("bigint")))
+    frame = results.select("repo_id", F.array(*map(F.lit, SARIF_FRAME)).alias("texts"))
+    kinds = [rows.filter(F.col("kind") == k).select("repo_id", "seq", F.col("json").alias("text")) for k in ("rule", "result")]
+    return _pieces(frame, kinds)
+
+
 def sarif_reports(
     results: DataFrame, confirmed: DataFrame, patches: DataFrame, findings_per_part: int | None = None
 ) -> DataFrame:
     """`repo_id, part, file_name, report`: SARIF 2.1.0 logs, every part with all rules."""
-    rows = parted(confirmed, findings_per_part).join(_patches_by_finding(patches), ["repo_id", "id"], "left")
+    rows = _ordered(confirmed, findings_per_part).join(_patches_by_finding(patches), ["repo_id", "id"], "left")
     parts = _part_lists(rows, {"findings": _sarif_result_json()}, ",")
     rules = (
         sarif_rules(confirmed)
@@ -331,13 +390,8 @@ def sarif_reports(
         .agg(F.array_sort(F.collect_list(F.struct("first_seq", _sarif_rule_json().alias("rule")))).alias("rules"))
         .select("repo_id", F.array_join(F.transform("rules", lambda r: r["rule"]), ",").alias("rules"))
     )
-    head = (
-        f'{{"$schema":"{c.SARIF_SCHEMA}","version":"{c.SARIF_VERSION}","runs":[{{"tool":{{"driver":'
-        f'{{"name":"{c.TOOL_NAME}","version":"{c.TOOL_VERSION}","rules":['
-    )
-    report = F.concat(
-        F.lit(head), F.coalesce("rules", F.lit("")), F.lit(']}},"results":['), "findings", F.lit("]}]}")
-    )
+    head, between, tail = map(F.lit, SARIF_FRAME)
+    report = F.concat(head, F.coalesce("rules", F.lit("")), between, "findings", tail)
     stem = F.concat_ws(
         "_", F.translate("repo_name", "/", "_"), F.date_format("scan_timestamp", "yyyyMMdd_HHmmss"),
         F.when(F.col("part") > 0, F.concat(F.lit("part"), F.col("part").cast("string"))),

@@ -101,13 +101,17 @@ def top_n(
     )
 
 
-def sorted_slices(df: DataFrame, keys: list[str], order: list[str], slices: int | None = None) -> DataFrame:
+def sorted_slices(
+    df: DataFrame, keys: list[str], order: list[str], slices: int | None = None, stored: bool = False
+) -> DataFrame:
     """`df` written down in slices of the range of (`keys`, `order`), numbered in `_slice`.
 
-    Slice numbers are written with the rows, because a recomputed range sort could move a row.
+    Slice numbers are written with the rows, because a recomputed range sort could move a row. Finding
+    the ranges reads `df` once more, so it is written down first, unless it is little more than the
+    rows of a `stored` table.
     """
     slices = slices or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return cut(cut(df).repartitionByRange(slices, *keys, *order).withColumn("_slice", F.spark_partition_id()))
+    return cut((df if stored else cut(df)).repartitionByRange(slices, *keys, *order).withColumn("_slice", F.spark_partition_id()))
 
 
 def running_totals(sliced: DataFrame, keys: list[str], order: list[str], sums: dict[str, Column]) -> DataFrame:
@@ -127,10 +131,13 @@ def running_totals(sliced: DataFrame, keys: list[str], order: list[str], sums: d
     return out.drop(*[f"_{part}_{n}" for part in ("of", "before", "through") for n in sums])
 
 
-def number_rows(df: DataFrame, keys: list[str], order: list[str], name: str, running: str | None = None) -> DataFrame:
+def number_rows(
+    df: DataFrame, keys: list[str], order: list[str], name: str, running: str | None = None, stored: bool = False
+) -> DataFrame:
     """Number the rows of each key from 1 in `order`, which must be unique within the key.
 
     With `running`, also add `<running>_total`, the sum of that column up to and including the row.
+    `stored` says that `df` is little more than the rows of a table (`sorted_slices`).
     """
     sums = {name: F.lit(1)} | ({f"{running}_total": F.col(running)} if running else {})
-    return running_totals(sorted_slices(df, keys, order), keys, order, sums).drop("_slice")
+    return running_totals(sorted_slices(df, keys, order, stored=stored), keys, order, sums).drop("_slice")
