@@ -8,7 +8,7 @@ from functools import reduce
 
 import pandas as pd
 from pyarrow import fs
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from vulnloom.functions.paths import normalize_path
 from vulnloom.functions.text import decode_utf8, universal_newlines
@@ -86,28 +86,30 @@ def list_trees(spark: SparkSession, root: str) -> DataFrame:
             return reduce(DataFrame.unionByName, levels)
 
 
-def read_with_errors(spark: SparkSession, root: str) -> DataFrame:
+def read_with_errors(spark: SparkSession, root: str, wanted: Column | None = None) -> DataFrame:
     """A `files` table of the repositories below `root`, one folder each, with an `error` column.
 
+    `wanted` is a condition on `repo_id`, `relative_path` and `size_bytes`, which the listing knows, such as
+    `paths.language(...)` or a limit: no other file is opened.
+
     The folder name is the repo_id; `root` is a path or address that all executors can read. Write
     the result as parquet once: a table lists and prunes far faster than a tree of small files, and
     `unreadable` then needs no second reading.
     """
     tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    listed = list_trees(spark, root).filter(F.contains("path", F.lit("/"))).repartition(tasks, "path")
-    read = listed.mapInPandas(_contents(root), "path string, content binary, size bigint, error string")
-    return read.select(
-        F.split("path", "/")[0].alias("repo_id"),
-        F.regexp_replace("path", "^[^/]*/", "").alias("relative_path"),
-        decode_utf8(F.col("content")).alias("content"),
-        F.col("size").alias("size_bytes"),
-        "error",
+    repo, path = F.split("path", "/")[0].alias("repo_id"), F.regexp_replace("path", "^[^/]*/", "").alias("relative_path")
+    listed = list_trees(spark, root).filter(F.contains("path", F.lit("/")))
+    if wanted is not None:
+        listed = listed.select("path", "size", repo, path, F.col("size").alias("size_bytes")).filter(wanted)
+    read = listed.select("path", "size").repartition(tasks, "path").mapInPandas(
+        _contents(root), "path string, content binary, size bigint, error string"
     )
+    return read.select(repo, path, decode_utf8(F.col("content")).alias("content"), F.col("size").alias("size_bytes"), "error")
 
 
-def read_trees(spark: SparkSession, root: str) -> DataFrame:
+def read_trees(spark: SparkSession, root: str, wanted: Column | None = None) -> DataFrame:
     """The files of `read_with_errors` that could be read."""
-    return read_with_errors(spark, root).filter("error is null").drop("error")
+    return read_with_errors(spark, root, wanted).filter("error is null").drop("error")
 
 
 def write_tree(files: DataFrame, root: str) -> None:
