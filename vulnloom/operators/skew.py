@@ -55,9 +55,9 @@ def _local_folder(application: str) -> str:
 
 
 def fits_broadcast(df: DataFrame, limit: int = BROADCAST_BYTES) -> bool:
-    """True if the text columns of `df` add up to at most `limit` bytes."""
-    size = sum((F.octet_length(c) for c in df.columns), start=F.lit(0))
-    return (df.agg(F.sum(size.cast("bigint"))).first()[0] or 0) <= limit
+    """True if the rows of `df`, with all that their columns hold, come to at most `limit` bytes as JSON."""
+    size = F.octet_length(F.to_json(F.struct(*df.columns))).cast("bigint")
+    return (df.agg(F.sum(size)).first()[0] or 0) <= limit
 
 
 def _salts(spark: SparkSession) -> int:

@@ -90,7 +90,7 @@ def stage_replies(responses: DataFrame, stage: str) -> DataFrame:
     An empty object, list or text and a bare null, zero or false count as nothing. Verdicts are
     worked out on these rows, so that only their few columns are shuffled to the findings. Of the
     replies to a retried call one counts: a successful one, then that of the last `attempt` if
-    there is such a column.
+    there is such a column. Sets `spark.sql.variant.allowDuplicateKeys` in the session (`replies.lenient`).
     """
     replies.lenient(responses.sparkSession)
     rows = responses.filter(F.col("stage") == stage).select("*", F.col("finding_id").alias("id"))

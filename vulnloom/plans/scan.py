@@ -82,7 +82,7 @@ def extracted(
         scanned = F.col("_changed").isNotNull()
     if repo_configs is not None:
         excluded = F.lit(False)
-        if fits_broadcast(repo_configs.select("repo_id")):
+        if fits_broadcast(repo_configs):
             rows = rows.join(F.broadcast(repo_configs), "repo_id", "left")
             excluded = repo_config.excluded_by(path, F.col("config"), config)
     # What depends on the path alone becomes a column first, so that it is not repeated for each line.
