@@ -25,9 +25,11 @@ from pyspark.sql import DataFrame, functions as F
 from vulnloom.llm.common import process_cache, text_chunks
 from vulnloom.llm.pretokens import pieces
 
-# Merged slices that a worker keeps in each of two generations; longer slices are merged each time.
-CACHED_SLICES = 200_000
+# Bytes that a worker keeps for merged slices in each of two generations; longer slices are merged each time.
+CACHE_BYTES = 12 << 20
 CACHED_BYTES = 48
+# What an entry takes besides its slice and its ids: the objects' heads and its place in the table.
+ENTRY_BYTES = 180
 # Above this many symbols a heap of pairs is faster than looking for the lowest rank.
 HEAP_FROM = 64
 _NONE = 1 << 62
@@ -106,7 +108,7 @@ class Cache(dict):
     """Results by slice, in two generations, so that frequent slices stay and memory is bounded."""
 
     def __init__(self, make) -> None:
-        self.make, self.older = make, {}
+        self.make, self.older, self.held = make, {}, 0
 
     def __missing__(self, piece: bytes):
         found = self.older.get(piece)
@@ -114,10 +116,11 @@ class Cache(dict):
             found = self.make(piece)
             if len(piece) > CACHED_BYTES:
                 return found
-        if len(self) >= CACHED_SLICES:
-            self.older = dict(self)
+        if self.held >= CACHE_BYTES:
+            self.older, self.held = dict(self), 0
             self.clear()
         self[piece] = found
+        self.held += ENTRY_BYTES + len(piece) + (len(found) if isinstance(found, bytes) else 0)
         return found
 
 
