@@ -31,12 +31,13 @@ WITH texts AS (
 found AS ({" UNION ALL ".join(_matches(*p) for p in _PATTERNS)}),
 owners AS (
  SELECT val, count(DISTINCT coalesce(owner, chr(0))) AS n_owners,
+  count(DISTINCT concat(coalesce(owner, chr(0)), chr(1), coalesce(repo, chr(0)))) AS n_repos,
   length(val) >= 12 AND regexp_matches(val, '[0-9]') AND regexp_matches(val, '[A-Za-z]')
    AND NOT regexp_matches(lower(val), 'example|sample|dummy|placeholder|changeme|xxxx|0000000') AS random
  FROM found GROUP BY val),
 judged AS (
- SELECT found.*, a + size AS b,
-  CASE WHEN n_owners >= 3 THEN 'copied' WHEN random THEN 'live' ELSE 'plain' END AS verdict
+ SELECT found.*, n_owners, n_repos, a + size AS b,
+  CASE WHEN n_owners >= 3 THEN 'copied' WHEN n_repos >= 3 THEN 'shared' WHEN random THEN 'live' ELSE 'plain' END AS verdict
  FROM found JOIN owners USING (val)),
 spans AS (
  SELECT * FROM judged j WHERE rank < 3 OR (verdict = 'live' AND NOT EXISTS (
@@ -46,11 +47,13 @@ summed AS (
   count(*) FILTER (rank = 2) AS n_hex,
   string_agg(concat(kind, ':', a, ':', b), ',' ORDER BY a, rank) FILTER (rank < 3) AS base,
   string_agg(concat(kind, ':', a, ':', b), ',' ORDER BY a, rank) AS spans,
-  count(*) FILTER (verdict = 'live') AS n_live, count(*) FILTER (verdict = 'copied') AS n_copied
+  count(*) FILTER (verdict = 'live') AS n_live, count(*) FILTER (verdict = 'copied') AS n_copied,
+  count(*) FILTER (verdict = 'shared') AS n_shared, max(n_owners) AS max_owners, max(n_repos) AS max_repos
  FROM spans GROUP BY doc_id)
 SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live,
- coalesce(n_copied, 0) AS n_copied
+ coalesce(n_copied, 0) AS n_copied, coalesce(n_shared, 0) AS n_shared, coalesce(max_owners, 0) AS max_owners,
+ coalesce(max_repos, 0) AS max_repos
 FROM documents LEFT JOIN summed USING (doc_id)"""
 
 OP3 = """
