@@ -6,7 +6,7 @@ over the document at the same distance and compared word by word, so a passage i
 words in it were replaced. Every stretch similar enough to be reported holds one of the masks for items
 of its length, so hashing loses none.
 
-Documents are read in place: a bitmap of the benchmark's hashes, of fixed size, tells which positions
+Documents are read in place: a bitmap of the benchmark's hashes, of bounded size, tells which positions
 can hit at all, and only documents with such positions go on, as word hashes instead of texts. Equal
 texts are searched once, and so are equal items; they are reported as the one with the smallest id, or
 as all of them with `every_id`.
@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from vulnloom.llm import bitmap, text_features
-from vulnloom.llm.common import cut, text_chunks
+from vulnloom.llm.common import cut, packed, text_chunks
 
 # Any stretch with at least four equal words that earns more than it loses holds one of these; an item of
 # `LEAST_ITEM` words needs four.
@@ -37,6 +37,8 @@ MASKS = ["1111", "11011"]
 LONG_ITEM = 12
 LONG_MASKS = ["1011111", "1110111", "101100111", "110010111", "110100111"]
 LEAST_ITEM = 5
+# Bits of the bitmap for each hash of an item: every place of every document is looked up in it.
+SEED_BITS = 512
 # What the best stretch of an item must hold: so many equal words, or this share of a short item.
 MATCHED_WORDS = 12
 MATCHED_SHARE = 0.7
@@ -209,7 +211,7 @@ def contaminated(
     long = distinct.select((F.octet_length("words") >= 4 * LONG_ITEM).alias("long")).distinct().collect()
     masks = sorted({m for r in long for m in (LONG_MASKS if r.long else MASKS)}) or MASKS
     item_seeds = cut(_item_seeds(distinct))
-    words = bitmap.build(item_seeds.select("h"), "h")
+    words = bitmap.build(item_seeds.select("h"), "h", SEED_BITS)
     rows = documents.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     hits = cut(_document_hits(rows, words, masks))
 
@@ -238,14 +240,16 @@ def contaminated(
 def clean(
     documents: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", null_ids: bool = False
 ) -> DataFrame:
-    """`documents` without those that hold a passage of the benchmark.
+    """`documents` without those that hold a passage of the benchmark; columns may have any names.
 
     Documents with a null id stay, and items with a null id are not searched, unless `null_ids` is set.
     """
-    if not null_ids:
-        return bitmap.without(documents, contaminated(documents, benchmark, id_col, text_col), id_col)
-    text = F.sha2(F.col(text_col).cast("string"), 256)
-    own = F.when(F.col(id_col).isNotNull(), F.concat(F.lit("id "), F.col(id_col).cast("string")))
-    keyed = documents.withColumn("_key", own.otherwise(F.concat(F.lit("text "), text)))
-    found = contaminated(keyed, benchmark, "_key", text_col, null_ids=True)
-    return bitmap.without(keyed, found, "_key").drop("_key")
+    text = F.col(text_col).cast("string")
+    key = F.col(id_col).cast("string")
+    if null_ids:
+        own = F.when(F.col(id_col).isNotNull(), F.concat(F.lit("id "), key))
+        key = own.otherwise(F.concat(F.lit("text "), F.sha2(text, 256)))
+    rows = documents.select(packed(documents), key.alias("key"), text.alias("text"))
+    found = contaminated(rows, benchmark, "key", "text", null_ids=null_ids)
+    named = cut(found.select(F.col("key").alias("id")).where("id is not null").distinct())
+    return bitmap.without_keys(rows.drop("text"), named, documents.columns)

@@ -15,7 +15,7 @@ What keeps this linear where many documents are alike:
   else, and their buckets are salted.
 
 N-grams are 64-bit hashes; a pair could be misjudged only if two of its own n-grams collide. What is
-broadcast has a fixed size: the `FREQUENT` most frequent n-grams, which only improve the order, and a
+broadcast has a bounded size: the `FREQUENT` most frequent n-grams, which only improve the order, and a
 bitmap that lets tasks pass over documents without candidates.
 
 A null text, and one without words, has an empty set and is linked with nothing. A text with fewer
@@ -32,10 +32,11 @@ import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import LongType
 
 from vulnloom.llm import bitmap
-from vulnloom.llm.common import cut, release, text_chunks
+from vulnloom.llm.common import cut, packed, release, text_chunks, unpacked
 from vulnloom.llm.components import components
 from vulnloom.llm.text_features import word_hashes
 
@@ -48,6 +49,8 @@ LEAST_COUNT = 3
 FRAGMENT_BITS = 3
 # Pairs of one document whose sets are compared in one place.
 HUB_PAIRS = 1000
+# Members of a bucket that are compared with each other in one place.
+BUCKET = 2000
 # Rounds of pivots before the members left in different components are compared pair by pair.
 ROUNDS = 1
 
@@ -98,13 +101,12 @@ def _sketch(grams: np.ndarray) -> bytes | None:
 @F.pandas_udf(LongType())
 def _most_shared(a: pd.Series, b: pd.Series) -> pd.Series:
     """What two sets can share at most: in each fragment no more than the smaller of both has."""
-
-    def bound(x: bytes | None, y: bytes | None) -> int:
-        if x is None or y is None:
-            return 1 << 40
-        return int(np.minimum(np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)).sum(dtype=np.int64))
-
-    return pd.Series([bound(x, y) for x, y in zip(a, b)], dtype="int64")
+    known = (a.notna() & b.notna()).to_numpy()
+    out = np.full(len(a), 1 << 40, np.int64)
+    if known.any():
+        x, y = (np.frombuffer(b"".join(side[known]), np.uint8).reshape(-1, 256) for side in (a, b))
+        out[known] = np.minimum(x, y).sum(axis=1, dtype=np.int64)
+    return pd.Series(out)
 
 
 def _promising(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
@@ -127,7 +129,7 @@ def _profile(df: DataFrame) -> DataFrame:
     id_type = df.schema["id"].dataType.simpleString()
     schema = f"id {id_type}, version bigint, n bigint, digest binary, sketch binary, gram bigint, seen bigint"
     names = ["id", "version", "n", "digest", "sketch", "gram", "seen"]
-    id_arrow = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[id_type]
+    id_arrow = to_arrow_type(df.schema["id"].dataType)
 
     def frequent(held: list[np.ndarray]) -> pa.RecordBatch:
         grams, seen = np.unique(np.concatenate(held), return_counts=True)
@@ -295,11 +297,23 @@ def _left_pairs(members: DataFrame, percent: int) -> DataFrame:
 
     A pair is similar enough only if it is so by the n-grams from the first that it shares on, and it
     meets in the bucket of that one; so each set can share no more than it has from its place on.
+    A bucket of more than `BUCKET` members is cut into parts of about that size, and every two parts
+    meet in a place of their own, so that no task compares more than the members of two parts.
     """
-    x = members.select("gram", *[F.col(c).alias(f"x_{c}") for c in ("node", "n", "place", "label")])
-    y = members.select("gram", *[F.col(c).alias(f"y_{c}") for c in ("node", "n", "place", "label")])
-    possible = _possible("x_n", "x_place", "y_n", "y_place", percent)
-    near = x.join(y, "gram").where("x_label <> y_label and x_node < y_node").where(possible)
+    parts = members.groupBy("gram").agg(F.ceil(F.count(F.lit(1)) / BUCKET).cast("int").alias("parts")).where("parts > 1")
+    parts = cut(parts)
+    columns = ("node", "n", "place", "label")
+    side = lambda df, x, *keys: df.select("gram", *keys, *[F.col(c).alias(f"{x}_{c}") for c in columns])
+    small = members.join(parts, "gram", "left_anti")
+    near = side(small, "x").join(side(small, "y"), "gram").where("x_node < y_node")
+    if not parts.isEmpty():
+        large = members.join(parts, "gram").withColumn("part", F.pmod(F.xxhash64("node"), "parts").cast("int"))
+        # A member is sent to the places of its part and each later one on one side, each earlier one on the other.
+        later = large.withColumn("other", F.explode(F.sequence(F.col("part"), F.col("parts") - 1)))
+        earlier = large.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("part"))))
+        x, y = side(later, "x", "part", "other"), side(earlier, "y", F.col("other").alias("part"), F.col("part").alias("other"))
+        near = near.unionByName(x.join(y, ["gram", "part", "other"]).where("part < other or x_node < y_node").drop("part", "other"))
+    near = near.where("x_label <> y_label").where(_possible("x_n", "x_place", "y_n", "y_place", percent))
     return _pairs(near, "x_node", "x_n", "y_node", "y_n", percent)
 
 
@@ -445,7 +459,7 @@ def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", p
     """`df` with one row of each component, that with its smallest id; rows with empty sets all stay.
 
     Rows are told apart by id and text. Texts are shuffled only for rows that go and for rows that
-    repeat in both.
+    repeat in both. Columns may have any names.
     """
     named = cut(assigned(df, id_col, text_col, percent))
     key = lambda i, v: F.concat_ws(":", F.coalesce(i.cast("string"), F.lit("null")), v.cast("string"))
@@ -456,14 +470,13 @@ def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", p
     others = rows.join(first, "label").groupBy("_key").agg(
         F.count(F.lit(1)).alias("times"), F.first(F.col("first._key")).alias("first_key")
     )
-    touched = others.where("first_key <> _key or times > 1").select("_key", (F.col("first_key") == F.col("_key")).alias("_stays"))
-    touched = cut(touched)
+    touched = cut(others.where("first_key <> _key or times > 1").select("_key", (F.col("first_key") == F.col("_key")).alias("stays")))
     words = bitmap.build(touched.select(F.xxhash64("_key").alias("h")), "h")
     shared = df.sparkSession.sparkContext.broadcast(words)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    keyed = df.withColumn("_row_key", key(F.col(id_col), F.xxhash64(text)))
-    inside = bitmap.possible(shared, F.xxhash64("_row_key"))
-    joined = keyed.where(inside).join(touched, F.col("_row_key") == F.col("_key"), "left")
-    once = joined.where("_stays").dropDuplicates(["_row_key"])
+    keyed = df.select(packed(df), key(F.col(id_col), F.xxhash64(text)).alias("row_key"))
+    inside = bitmap.possible(shared, F.xxhash64("row_key"))
+    joined = keyed.where(inside).join(touched, F.col("row_key") == F.col("_key"), "left")
+    once = joined.where("stays").dropDuplicates(["row_key"])
     kept = joined.where("_key is null").unionByName(once)
-    return keyed.where(~inside).select(*df.columns).unionByName(kept.select(*df.columns))
+    return unpacked(keyed.where(~inside), df.columns).unionByName(unpacked(kept, df.columns))

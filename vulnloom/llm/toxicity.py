@@ -27,7 +27,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from vulnloom.llm.common import held_out, text_chunks
+from vulnloom.llm.common import held_out, packed, text_chunks, unpacked
 from vulnloom.llm.text_features import lowered, word_features
 
 SAMPLE_PER_LABEL = 4000
@@ -218,6 +218,7 @@ def predictions(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id",
 
 
 def clean(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """`documents` without those that are predicted to be toxic."""
-    scored = score(documents, trained(documents, labels, id_col, text_col), text_col, "_toxicity")
-    return scored.where("_toxicity < 0.5").drop("_toxicity")
+    """`documents` without those that are predicted to be toxic; columns may have any names."""
+    rows = documents.select(packed(documents), F.col(text_col).cast("string").alias("text"))
+    scored = score(rows, trained(documents, labels, id_col, text_col))
+    return unpacked(scored.where("score < 0.5"), documents.columns)
