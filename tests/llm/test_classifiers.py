@@ -1,6 +1,7 @@
 """Toxicity and language: held-out accuracy, counterfactuals, and texts of every odd kind."""
 
 import random
+import re
 import zlib
 
 import numpy as np
@@ -138,3 +139,64 @@ def test_codewords_tell_all_languages_apart(n):
     codes = language_id.codewords(n)
     assert codes.shape[0] == n and len({tuple(r) for r in codes}) == n
     assert (np.abs(codes.sum(axis=0)) < n).all()
+
+
+def test_scores_equal_a_slow_sum(spark):
+    """Scores against hashes of words and word beginnings worked out letter by letter."""
+    rows = sentences(300)
+    documents = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id bigint, text string")
+    model = toxicity.trained(documents, spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id bigint, toxic int"))
+    odd = ["", "Vile, VILE ünicode-words 12ab?", "é" * 300 + " idiotic", "x"]
+    texts = [t for _, t, _ in rows[:60]] + odd
+    found = toxicity.score(spark.createDataFrame(list(enumerate(texts)), "i int, text string"), model).collect()
+
+    def mixed(value: int) -> int:
+        odd_factor, full = 0x9E3779B97F4A7C15, (1 << 64) - 1
+        value = ((value ^ (value >> 29)) * odd_factor) & full
+        value = ((value ^ (value >> 32)) * odd_factor) & full
+        return value >> (64 - toxicity.BITS)
+
+    def slow_score(text: str) -> float:
+        words = re.findall(r"[^\W\d_]+", text.lower())
+        total = 0.0
+        for word in words:
+            hashed = lambda part: sum((ord(c) + 1) * pow(text_features._BASE, j % 64, 1 << 64) for j, c in enumerate(part)) % (1 << 64)
+            total += float(model.weights[mixed(hashed(word))]) + float(model.weights[mixed(hashed(word[: toxicity.PREFIX]) ^ 0x5BD1E995)])
+        return 1 / (1 + np.exp(-np.clip(model.bias + total / max(len(words), toxicity.LEAST_WORDS), -50, 50)))
+
+    for r in found:
+        assert r.score == pytest.approx(slow_score(texts[r.i]), abs=1e-6)
+
+
+def test_decoding_equals_a_slow_sum(spark):
+    """Six languages, so codewords are drawn: every loss summed up bit by bit and n-gram by n-gram."""
+    draw = random.Random(12)
+    syllables = {f"l{k}": ["".join(draw.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(2)) for _ in range(6)] for k in range(6)}
+    rows = [(i, " ".join("".join(draw.choice(syllables[f"l{i % 6}"]) for _ in range(3)) for _ in range(12)), f"l{i % 6}") for i in range(240)]
+    documents = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    model = language_id.trained(documents)
+    assert model.codes.shape == (6, model.weights.shape[1]) and model.weights.shape[1] <= language_id.RANDOM_BITS
+    found = {r.doc_id: r for r in language_id.predictions(documents, model).collect()}
+    tested = [r for r in rows if is_held_out(r[0])]
+    assert sum(found[i].lang_pred == lang for i, _, lang in tested) >= 0.95 * len(tested)
+    full = (1 << 64) - 1
+
+    def bucket(gram: str) -> int:
+        value = len(gram)
+        for c in gram:
+            value = (value * text_features._BASE + (ord(c) if c.isalpha() else 32)) & full
+        value = ((value ^ (value >> 29)) * 0x9E3779B97F4A7C15) & full
+        value = ((value ^ (value >> 32)) * 0x9E3779B97F4A7C15) & full
+        return value >> (64 - language_id.BITS)
+
+    for i, text, _ in rows[:40]:
+        closed = text.lower() + " "
+        grams = [closed[k : k + n] for n in (2, 3) for k in range(len(closed) - n + 1)]
+        grams = [g for g in grams if any(c.isalpha() for c in g)]
+        sums = [sum(float(model.weights[bucket(g), b]) for g in grams) / len(grams) * min(len(grams), language_id.EVIDENCE) for b in range(model.codes.shape[1])]
+        losses = [sum(t * np.log1p(np.exp(-c * e)) for t, c, e in zip(model.trust[k], model.codes[k], sums)) for k in range(6)]
+        best = int(np.argmin(losses))
+        assert found[i].lang_pred == model.languages[best]
+        assert found[i].score == pytest.approx(1 / sum(np.exp(min(losses) - x) for x in losses), rel=1e-4)
+        second = sorted(losses)[1]
+        assert found[i].ambiguous == (second - min(losses) < language_id.AMBIGUOUS)

@@ -12,22 +12,13 @@ WORDS = ["w%d" % i for i in range(400)]
 
 
 def slow(doc: str, item: str) -> bool:
-    """Any alignment of the item with a good stretch that also holds a hit of a mask."""
+    """Any alignment of the item with a good stretch, whether a mask hits it or not."""
     words, own = (decontaminate.word_hashes(t.encode()) for t in (doc, item))
     if len(own) < decontaminate.LEAST_ITEM:
         return False
-    masks = [m for m in decontaminate.MASKS if len(m) <= len(own)] or ["1" * len(own)]
     least = min(decontaminate.MATCHED_WORDS, -(-70 * len(own) // 100))
-    for offset in range(1 - len(own), len(words)):
-        hit = any(
-            0 <= offset + p and offset + p + len(m) <= len(words)
-            and all(words[offset + p + i] == own[p + i] for i, c in enumerate(m) if c == "1")
-            for m in masks
-            for p in range(len(own) - len(m) + 1)
-        )
-        if hit and decontaminate.best_stretch(words, own, offset)[0] >= least:
-            return True
-    return False
+    offsets = range(1 - len(own), len(words))
+    return any(decontaminate.best_stretch(words, own, d)[0] >= least for d in offsets)
 
 
 def corpus() -> tuple[list, list]:

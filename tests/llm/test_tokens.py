@@ -78,7 +78,7 @@ def test_encode_and_decode(spark, library):
 
 
 def test_cache_stays_bounded(monkeypatch):
-    monkeypatch.setattr(byte_bpe, "CACHED_SLICES", 10)
+    monkeypatch.setattr(byte_bpe, "CACHE_BYTES", 10 * byte_bpe.ENTRY_BYTES)
     cache = byte_bpe.Cache(len)
     assert [cache[b"x" * (i % 25)] for i in range(200)] == [i % 25 for i in range(200)]
     assert len(cache) <= 10 and len(cache.older) <= 10
