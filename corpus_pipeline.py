@@ -10,24 +10,28 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from vulnloom.llm import byte_bpe, decontaminate, ngram_join, secret_scan, toxicity
-from vulnloom.llm.common import table
+from vulnloom.llm.common import small_batches, table
 from vulnloom.operators.skew import cut as stored
 
 
 def remove_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return toxicity.clean(docs, table(spark, sf_dir, "labels"))
 
 
 def remove_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return ngram_join.one_of_each(docs)
 
 
 def remove_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"), null_ids=True)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Live-looking credentials are masked; examples that many sources hold stay as they are."""
+    small_batches(spark)
     repo = F.concat_ws("/", F.coalesce("source", F.lit("")), "lang")
     scanned = secret_scan.scan(docs.select("doc_id", "text", "source", repo.alias("repo")))
     masked = secret_scan.redact(docs, scanned, "doc_id", "text")
@@ -36,6 +40,7 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256, ids)."""
+    small_batches(spark)
     return byte_bpe.digests(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), with_ids=True)
 
 
