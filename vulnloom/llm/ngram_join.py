@@ -47,6 +47,8 @@ FREQUENT = 100_000
 COUNTED = 1_000_000
 LEAST_COUNT = 3
 FRAGMENT_BITS = 3
+# Sets that a task remembers having passed on; copies beyond them meet in the shuffle.
+HELD_SETS = 50_000
 # Pairs of one document whose sets are compared in one place.
 HUB_PAIRS = 1000
 # Members of a bucket that are compared with each other in one place.
@@ -116,6 +118,21 @@ def _promising(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame
     return joined.where(f"(100 + {percent}) * most >= {percent} * (an + bn)").select("a", "an", "b", "bn")
 
 
+class _Once:
+    """Which sets a task has passed on already; forgets them when it holds `HELD_SETS`, so memory is bounded."""
+
+    def __init__(self) -> None:
+        self.held: set[bytes] = set()
+
+    def is_new(self, digest: bytes) -> bool:
+        if digest in self.held:
+            return False
+        if len(self.held) >= HELD_SETS:
+            self.held.clear()
+        self.held.add(digest)
+        return True
+
+
 def _signed(grams: np.ndarray) -> np.ndarray:
     return grams.view(np.int64)
 
@@ -182,15 +199,15 @@ def _prefixes(df: DataFrame, frequent: np.ndarray, percent: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, rank = shared.value
+        once = _Once()
         for batch in batches:
             for _, texts in text_chunks(batch, "text"):
-                seen, digests, sizes, rares, prefixes = set(), [], [], [], []
+                digests, sizes, rares, prefixes = [], [], [], []
                 for grams in ngram_sets(texts):
                     n = len(grams)
                     digest = _digest(grams)
-                    if not n or digest in seen:
+                    if not n or not once.is_new(digest):
                         continue
-                    seen.add(digest)
                     length = n - -(-n * percent // 100) + 1
                     at = np.searchsorted(known, grams)
                     often = np.zeros(n, bool)
@@ -286,10 +303,11 @@ def _pairs(df: DataFrame, a: str, an: str, b: str, bn: str, percent: int) -> Dat
 
 
 def _mixed_buckets(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """Members with the label of their component, without buckets that lie inside one component."""
+    """Members with the label of their component and the parts of their bucket, without buckets inside one component."""
     labelled = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    mixed = labelled.groupBy("gram").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi")
-    return labelled.join(mixed.select("gram"), "gram")
+    parts = F.ceil(F.count(F.lit(1)) / BUCKET).cast("int").alias("parts")
+    mixed = labelled.groupBy("gram").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), parts).where("lo <> hi")
+    return labelled.join(mixed.select("gram", "parts"), "gram")
 
 
 def _left_pairs(members: DataFrame, percent: int) -> DataFrame:
@@ -297,17 +315,15 @@ def _left_pairs(members: DataFrame, percent: int) -> DataFrame:
 
     A pair is similar enough only if it is so by the n-grams from the first that it shares on, and it
     meets in the bucket of that one; so each set can share no more than it has from its place on.
-    A bucket of more than `BUCKET` members is cut into parts of about that size, and every two parts
+    A bucket of more than `BUCKET` members is cut into `parts` of about that size, and every two parts
     meet in a place of their own, so that no task compares more than the members of two parts.
     """
-    parts = members.groupBy("gram").agg(F.ceil(F.count(F.lit(1)) / BUCKET).cast("int").alias("parts")).where("parts > 1")
-    parts = cut(parts)
     columns = ("node", "n", "place", "label")
     side = lambda df, x, *keys: df.select("gram", *keys, *[F.col(c).alias(f"{x}_{c}") for c in columns])
-    small = members.join(parts, "gram", "left_anti")
+    small, large = members.where("parts = 1"), members.where("parts > 1")
     near = side(small, "x").join(side(small, "y"), "gram").where("x_node < y_node")
-    if not parts.isEmpty():
-        large = members.join(parts, "gram").withColumn("part", F.pmod(F.xxhash64("node"), "parts").cast("int"))
+    if not large.isEmpty():
+        large = large.withColumn("part", F.pmod(F.xxhash64("node"), "parts").cast("int"))
         # A member is sent to the places of its part and each later one on one side, each earlier one on the other.
         later = large.withColumn("other", F.explode(F.sequence(F.col("part"), F.col("parts") - 1)))
         earlier = large.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("part"))))
@@ -327,14 +343,14 @@ def _fragments(df: DataFrame, wanted: np.ndarray, frequent: np.ndarray) -> DataF
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits, known = shared.value
+        once = _Once()
         for batch in batches:
             for _, texts in text_chunks(batch, "text"):
-                seen, digests, parts = set(), [], []
+                digests, parts = [], []
                 for grams in ngram_sets(texts):
                     digest = _digest(grams)
-                    if not len(grams) or digest in seen or not bitmap.contains(bits, np.frombuffer(digest[:8], ">u8"))[0]:
+                    if not len(grams) or not bitmap.contains(bits, np.frombuffer(digest[:8], ">u8"))[0] or not once.is_new(digest):
                         continue
-                    seen.add(digest)
                     at = np.minimum(np.searchsorted(known, grams), max(len(known) - 1, 0))
                     often = known[at] == grams if len(known) else np.zeros(len(grams), bool)
                     number = (grams >> np.uint64(64 - FRAGMENT_BITS)).astype(np.int64)
@@ -420,6 +436,8 @@ def assigned(df: DataFrame, id_col: str, text_col: str, percent: int = PERCENT,
     labels, tested, links = None, None, None
     opened = members.withColumn("label", F.col("node"))
     for turn in range(rounds + 1):
+        if turn == rounds and labels is None:
+            opened = cut(_mixed_buckets(members, sets.select("node", F.col("node").alias("label"))))
         pairs = _pivots(opened, turn, percent) if turn < rounds else _left_pairs(opened, percent)
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
