@@ -113,6 +113,16 @@ def test_failed_and_absent_replies(spark):
     assert {r.finding_id for r in missing} == {"1", "2"}
 
 
+def test_texts_that_cannot_be_json_are_not_parsed(spark):
+    """A parser would raise and catch an error for each of them."""
+    texts = [" {\"a\": NaN}", "[1]", "NaN", "\t\"x\"", "-1", "true", "null", "Sure", "", "+1", ".5", "#", "{", "null\u0001NaN"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    found = df.select("i", F.to_json(replies._parsed(F.col("t"))).alias("j")).orderBy("i").collect()
+    assert [r.j for r in found] == ['{"a":"NaN"}', "[1]", '"NaN"', '"x"', "-1", "true", "null", *[None] * 6, "null"]
+    plan = df.select(replies._parsed(F.col("t")))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RLIKE") >= 2
+
+
 def test_verdicts_are_not_broadcast(spark):
     """Their estimated size says nothing of the number of findings, so they are shuffled to them."""
     found, replied = raw_rows(spark, 3), reply_rows(spark, [{"is_vulnerable": True}] * 3, "analyze")

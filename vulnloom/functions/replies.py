@@ -19,12 +19,18 @@ def lenient(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
 
 
+# What a JSON text can begin with. Parsing other texts would raise and catch an error for each of them.
+BEGINS = r"^[ \t\r\n]*+[\[{\"\-0-9tfn]"
+
+
 def _parsed(text: Column) -> Column:
     """Variant of a JSON text. Bare NaN and infinities are read as texts, from which numbers are read."""
     marked = F.regexp_replace(text, UNQUOTED, "$1\u0001$2\u0001")
     quoted = F.replace(F.replace(marked, F.lit("\u0001\u0001"), F.lit("")), F.lit("\u0001"), F.lit('"'))
     odd = F.contains(text, F.lit("NaN")) | F.contains(text, F.lit("Infinity"))
-    return F.coalesce(F.try_parse_json(text), F.when(odd, F.try_parse_json(quoted)))
+    parsed = lambda t: F.when(t.rlike(BEGINS), F.try_parse_json(t))
+    # A text that is JSON as it stands has such words within quotes only, and reads the same with all others quoted.
+    return F.coalesce(F.when(odd, parsed(quoted)), parsed(text))
 
 
 def extract_json(text: Column) -> Column:
