@@ -32,6 +32,15 @@ def test_entropy(spark):
     assert found[0] == found[1] == 0.0 and found[3] > 3.5 and found[4] < 1.5
 
 
+def test_entropy_sorts_rare_characters_only(spark):
+    values = [text.COMMON, text.COMMON * 3 + "Zß€😀", "".join(map(chr, range(32, 900))), " " * 500 + "漢字" * 9, "\n", "é"]
+    assert len(text.COMMON.encode()) == len(text.COMMON) == len(set(text.COMMON))
+    assert column(spark, values, text.shannon_entropy) == pytest.approx([entropy(v) for v in values])
+    df = spark.createDataFrame([(v,) for v in values], "v string")
+    plan = df.select(text.shannon_entropy(F.col("v")))._jdf.queryExecution().optimizedPlan().toString()
+    assert "sort_array(split(v" not in plan and "replace(" in plan
+
+
 def test_line_definitions(spark):
     values = ["", "a", "a\n", "a\nb", "\n", "\n\n", "a\n\n", "a b", "a\x0cb\n", "a\x1fb", "x\x85"]
     assert column(spark, values, text.manifest_line_count) == [

@@ -99,20 +99,40 @@ def snippet(lines: Column, line: Column, context: int) -> Column:
     return F.array_join(numbered_range(lines, start, end), "\n")
 
 
+# Characters that make up most of a text as a rule, the most frequent first; each is one byte long.
+COMMON = " etaonisrhldcumpgf.,bv\nywkz-jxq"
+
+
 def shannon_entropy(value: Column) -> Column:
-    """Bits per character; 0.0 for an empty string. Equal characters are counted as sorted runs."""
+    """Bits per character; 0.0 for an empty string.
 
-    def bits(chars: Column) -> Column:
-        size = F.size(chars)
-        last_of_run = lambda i: (i == size) | (F.get(chars, i) != F.get(chars, i - 1))
-        ends = F.filter(F.sequence(F.lit(1), size), last_of_run)
+    The common characters are taken out of the text one after the other and counted by what that takes off
+    its length; of the rest, equal characters are counted as sorted runs.
+    """
+
+    def without(state: Column, character: Column) -> Column:
+        rest = state["rest"]
         return let(
-            ends,
-            lambda at: F.aggregate(
-                F.transform(at, lambda end, k: (end - F.coalesce(F.get(at, k - 1), F.lit(0))) / size),
-                F.lit(0.0),
-                lambda total, share: total - share * F.log2(share),
+            F.replace(rest, character, F.lit("")),
+            lambda left: F.struct(
+                left.alias("rest"), F.array_append(state["counts"], F.octet_length(rest) - F.octet_length(left)).alias("counts")
             ),
         )
 
-    return F.when(value == "", F.lit(0.0)).otherwise(let(F.sort_array(F.split(value, "")), bits))
+    def of_runs(chars: Column) -> Column:
+        size = F.size(chars)
+        last_of_run = lambda i: (i == size) | (F.get(chars, i) != F.get(chars, i - 1))
+        ends = F.filter(F.sequence(F.lit(1), size), last_of_run)
+        return let(ends, lambda at: F.transform(at, lambda end, k: end - F.coalesce(F.get(at, k - 1), F.lit(0))))
+
+    def counts(state: Column) -> Column:
+        rare = let(F.sort_array(F.split(state["rest"], "")), of_runs)
+        return F.when(state["rest"] == "", state["counts"]).otherwise(F.concat(state["counts"], rare))
+
+    def bits(found: Column) -> Column:
+        shares = let(F.length(value), lambda size: F.transform(F.filter(found, lambda n: n > 0), lambda n: n / size))
+        return F.aggregate(shares, F.lit(0.0), lambda total, share: total - share * F.log2(share))
+
+    start = F.struct(value.alias("rest"), F.array().cast("array<int>").alias("counts"))
+    found = F.aggregate(F.array(*map(F.lit, COMMON)), start, without, counts)
+    return F.when(value == "", F.lit(0.0)).otherwise(let(found, bits))
