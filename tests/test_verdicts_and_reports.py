@@ -276,6 +276,26 @@ def test_reports_in_parts(reported):
     assert "\n".join(p.report for p in parts) == whole
 
 
+def test_documents_are_no_side_of_a_join(reported):
+    """Nothing tells the optimizer how large a document is, so a join could send all of them to the driver."""
+    results, confirmed, patch_rows = reported
+    made = [
+        f(results, *args, n)
+        for n in (None, 1)
+        for f, args in ((report.text_reports, [confirmed]), (report.json_reports, [confirmed, patch_rows]), (report.sarif_reports, [confirmed, patch_rows]))
+    ]
+    for df in made:
+        above = []  # the operators from the root to the present one, with their depths
+        for line in df._jdf.queryExecution().optimizedPlan().toString().splitlines():
+            depth = len(line) - len(line.lstrip(" :+-"))
+            above = [x for x in above if x[0] < depth] + [(depth, line.lstrip(" :+-"))]
+            if "collect_list" in line and "_sarif_rule" not in line and "first_seq" not in line:
+                assert not any(x.startswith("Join") for _, x in above)
+        assert {r.repo_id for r in df.collect()} == {"r", "empty"}
+    strangers = confirmed.unionByName(confirmed.withColumn("repo_id", F.lit("elsewhere")))
+    assert {r.repo_id for r in report.json_reports(results, strangers, patch_rows).collect()} == {"r", "empty"}
+
+
 def test_json_report(reported):
     rows = {r.repo_id: json.loads(r.report) for r in report.json_reports(*reported).collect()}
     data = rows["r"]

@@ -195,18 +195,29 @@ def sarif_rows(confirmed: DataFrame, patches: DataFrame) -> DataFrame:
     )
 
 
-def _part_lists(rows: DataFrame, values: dict[str, Column], separator: str) -> DataFrame:
-    """`repo_id, part` and each value joined in `index` order, nulls left out."""
-    lists = [F.array_sort(F.collect_list(F.struct("index", v.alias("v")))).alias(n) for n, v in values.items()]
-    grouped = rows.groupBy("repo_id", "part").agg(*lists)
-    joined = [F.array_join(F.transform(n, lambda x: x["v"]), separator).alias(n) for n in values]
-    return grouped.select("repo_id", "part", *joined)
+def _frames(results: DataFrame, confirmed: DataFrame, findings_per_part: int | None) -> DataFrame:
+    """`repo_id, part, result`: a row of results for each part of its documents, part 0 without findings too."""
+    rows, last = results, F.lit(0)
+    if findings_per_part is not None:
+        last = F.floor((F.col("_count") - 1) / findings_per_part).cast("int")
+        counts = confirmed.groupBy("repo_id").agg(F.count("*").alias("_count"))
+        rows, last = results.join(counts, "repo_id", "left"), F.coalesce(last, F.lit(0))
+    part = F.explode(F.sequence(F.lit(0), last)).alias("part")
+    return rows.select("repo_id", part, F.struct(*results.columns).alias("result"))
 
 
-def _with_part_zero(results: DataFrame, parts: DataFrame, names: list[str]) -> DataFrame:
-    """Scan results with their parts; a repository without findings keeps an empty part 0."""
-    joined = results.join(parts, "repo_id", "left")
-    return joined.withColumns({n: F.coalesce(n, F.lit("")) for n in names} | {"part": F.coalesce("part", F.lit(0))})
+def _documents(frames: DataFrame, rows: DataFrame, values: dict[str, Column], separator: str) -> DataFrame:
+    """Results with their `part` and each value of its rows joined in `index` order, nulls left out.
+
+    Frames are grouped with the rows, so that the texts of documents are never a side of a join.
+    """
+    found = rows.filter(F.col("repo_id").isNotNull()).select("repo_id", "part", "index", *[v.alias(n) for n, v in values.items()])
+    item = lambda n: F.when(F.col("index").isNotNull(), F.struct("index", F.col(n).alias("v")))
+    lists = [F.array_sort(F.collect_list(item(n))).alias(n) for n in values]
+    both = found.unionByName(frames, allowMissingColumns=True).groupBy("repo_id", "part")
+    grouped = both.agg(F.first("result", ignorenulls=True).alias("result"), *lists).filter(F.col("result").isNotNull())
+    joined = [F.array_join(F.transform(n, lambda x: x["v"]), separator).alias(n) for n in values]
+    return grouped.select("result.*", "part", *joined)
 
 
 def finding_json() -> Column:
@@ -272,10 +283,11 @@ def json_reports(
 ) -> DataFrame:
     """`repo_id, part, report`: result, its findings and their patches as one JSON text."""
     rows = _ordered(confirmed, findings_per_part).join(_patches_by_finding(patches), ["repo_id", "id"], "left")
-    parts = _part_lists(rows, {"findings": finding_json(), "patches": F.col("patch")}, ",")
+    frames = _frames(results, confirmed, findings_per_part)
+    documents = _documents(frames, rows, {"findings": finding_json(), "patches": F.col("patch")}, ",")
     head, between, tail = _json_frame()
     report = F.concat(head, "findings", between, "patches", tail)
-    return _with_part_zero(results, parts, ["findings", "patches"]).select("repo_id", "part", report.alias("report"))
+    return documents.select("repo_id", "part", report.alias("report"))
 
 
 def _open(json_object: Column) -> Column:
@@ -383,7 +395,6 @@ def sarif_reports(
 ) -> DataFrame:
     """`repo_id, part, file_name, report`: SARIF 2.1.0 logs, every part with all rules."""
     rows = _ordered(confirmed, findings_per_part).join(_patches_by_finding(patches), ["repo_id", "id"], "left")
-    parts = _part_lists(rows, {"findings": _sarif_result_json()}, ",")
     rules = (
         sarif_rules(confirmed)
         .groupBy("repo_id")
@@ -396,11 +407,9 @@ def sarif_reports(
         "_", F.translate("repo_name", "/", "_"), F.date_format("scan_timestamp", "yyyyMMdd_HHmmss"),
         F.when(F.col("part") > 0, F.concat(F.lit("part"), F.col("part").cast("string"))),
     )
-    return (
-        _with_part_zero(results, parts, ["findings"])
-        .join(rules, "repo_id", "left")
-        .select("repo_id", "part", F.concat(stem, F.lit(".sarif.json")).alias("file_name"), report.alias("report"))
-    )
+    frames = _frames(results.join(rules, "repo_id", "left"), confirmed, findings_per_part)
+    documents = _documents(frames, rows, {"findings": _sarif_result_json()}, ",")
+    return documents.select("repo_id", "part", F.concat(stem, F.lit(".sarif.json")).alias("file_name"), report.alias("report"))
 
 
 def text_reports(
@@ -420,7 +429,8 @@ def text_reports(
         F.concat(F.lit("Confidence: "), percent(F.col("final_confidence"))),
         F.lit(""),
     )
-    parts = _part_lists(parted(confirmed, findings_per_part), {"findings": block}, "\n")
+    frames = _frames(results, confirmed, findings_per_part)
+    documents = _documents(frames, parted(confirmed, findings_per_part), {"findings": block}, "\n")
     ruler = "=" * 60
     header = F.concat_ws(
         "\n",
@@ -442,4 +452,4 @@ def text_reports(
     )
     body = F.nullif(F.col("findings"), F.lit(""))
     report = F.when(F.col("part") == 0, F.concat_ws("\n", header, body)).otherwise(body)
-    return _with_part_zero(results, parts, ["findings"]).select("repo_id", "part", report.alias("report"))
+    return documents.select("repo_id", "part", report.alias("report"))
