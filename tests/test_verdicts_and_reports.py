@@ -1,4 +1,5 @@
 import json
+import re
 from datetime import datetime
 
 import pytest
@@ -296,6 +297,17 @@ def test_documents_are_no_side_of_a_join(reported):
     assert {r.repo_id for r in report.json_reports(results, strangers, patch_rows).collect()} == {"r", "empty"}
 
 
+def test_patches_are_not_broadcast(reported):
+    """Their estimated size says nothing of their diffs or number, so they are shuffled to the findings."""
+    results, confirmed, patch_rows = reported
+    made = [f(confirmed, patch_rows) for f in (report.json_rows, report.sarif_rows)]
+    made += [f(results, confirmed, patch_rows, n) for n in (None, 1) for f in (report.json_reports, report.sarif_reports)]
+    for df in made:
+        df.collect()
+        joins = [x for x in df._jdf.queryExecution().executedPlan().toString().splitlines() if re.search(r"Join.*\bid#\d+.*finding_id|Join \[repo_id#\d+, id#\d+\]", x)]
+        assert joins and all("SortMergeJoin" in x for x in joins)
+
+
 def test_json_report(reported):
     rows = {r.repo_id: json.loads(r.report) for r in report.json_reports(*reported).collect()}
     data = rows["r"]

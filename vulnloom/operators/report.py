@@ -179,15 +179,24 @@ def _patches_by_finding(patches: DataFrame) -> DataFrame:
     )
 
 
+def _with_patches(confirmed: DataFrame, patches: DataFrame) -> DataFrame:
+    """Confirmed findings joined to the JSON of their patch, by shuffles on both sides.
+
+    The optimizer takes a patch for a short text and the table it is made from for as large as its
+    file, so that it would send all patches to the driver and to every task. They are already spread by the key.
+    """
+    return confirmed.join(_patches_by_finding(patches).hint("merge"), ["repo_id", "id"], "left")
+
+
 def json_rows(confirmed: DataFrame, patches: DataFrame) -> DataFrame:
     """`repo_id, seq, finding, patch`: a confirmed finding and its patch as JSON, a row each."""
-    rows = confirmed.join(_patches_by_finding(patches), ["repo_id", "id"], "left")
+    rows = _with_patches(confirmed, patches)
     return rows.select("repo_id", "seq", finding_json().alias("finding"), "patch")
 
 
 def sarif_rows(confirmed: DataFrame, patches: DataFrame) -> DataFrame:
     """`repo_id, kind, seq, json`: the rules and results of SARIF logs, a row each."""
-    rows = confirmed.join(_patches_by_finding(patches), ["repo_id", "id"], "left")
+    rows = _with_patches(confirmed, patches)
     found = rows.select("repo_id", F.lit("result").alias("kind"), "seq", _sarif_result_json().alias("json"))
     rules = sarif_rules(confirmed)
     return found.unionByName(
@@ -282,7 +291,7 @@ def json_reports(
     results: DataFrame, confirmed: DataFrame, patches: DataFrame, findings_per_part: int | None = None
 ) -> DataFrame:
     """`repo_id, part, report`: result, its findings and their patches as one JSON text."""
-    rows = _ordered(confirmed, findings_per_part).join(_patches_by_finding(patches), ["repo_id", "id"], "left")
+    rows = _with_patches(_ordered(confirmed, findings_per_part), patches)
     frames = _frames(results, confirmed, findings_per_part)
     documents = _documents(frames, rows, {"findings": finding_json(), "patches": F.col("patch")}, ",")
     head, between, tail = _json_frame()
@@ -394,7 +403,7 @@ def sarif_reports(
     results: DataFrame, confirmed: DataFrame, patches: DataFrame, findings_per_part: int | None = None
 ) -> DataFrame:
     """`repo_id, part, file_name, report`: SARIF 2.1.0 logs, every part with all rules."""
-    rows = _ordered(confirmed, findings_per_part).join(_patches_by_finding(patches), ["repo_id", "id"], "left")
+    rows = _with_patches(_ordered(confirmed, findings_per_part), patches)
     rules = (
         sarif_rules(confirmed)
         .groupBy("repo_id")
