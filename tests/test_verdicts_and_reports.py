@@ -335,6 +335,14 @@ def test_json_reports_are_no_list_of_a_task(reported):
         assert sorted(texts) == [("empty", 0), *[("r", i) for i in range(4 if n else 1)]]
 
 
+def test_json_reports_as_lines(spark, reported, tmp_path):
+    made = report.json_reports(*reported)
+    sinks.write_reports(made, str(tmp_path / "out"))
+    lines = spark.read.json(str(tmp_path / "out"))
+    assert sorted(lines.columns) == ["part", "repo_id", "report"]
+    assert {(r.repo_id, r.report) for r in lines.collect()} == {(r.repo_id, r.report) for r in made.collect()}
+
+
 def test_documents_written_in_pieces(reported, tmp_path):
     """The same bytes as the reports that are built as one text each."""
     for n, (pieces, whole, suffix) in enumerate([(report.json_pieces, report.json_reports, ".json"), (report.sarif_pieces, report.sarif_reports, ".sarif.json")]):

@@ -19,8 +19,10 @@ COPY_BYTES = 8 << 20
 def write_reports(reports: DataFrame, path: str) -> None:
     """Write reports as JSON lines, one line per row, spread over files by a hash of the repository.
 
-    The number of files follows the shuffle partitions, not the number of repositories.
+    The number of files follows the shuffle partitions, not the number of repositories. Where a
+    report was put together (`place`) is left out.
     """
+    reports = reports.drop("place")
     keys = [c for c in ("repo_id", "part") if c in reports.columns]
     reports.repartition(*keys).sortWithinPartitions(*keys).write.mode("overwrite").json(path)
 
